@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, secret_ledger, simhash, toxicity
+from barloom.llm import byte_bpe, decontam, line_dedup, secret_ledger, simhash, toxicity, url_rules
 from barloom.llm.common import table
 
 
@@ -21,6 +22,77 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        F.col("line_dedup_lines").cast("long").alias("n_lines"),
+        F.col("line_dedup_dropped").cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM docs
+), worded AS (
+  SELECT doc_id, pos, line,
+         list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '') AS w
+  FROM places
+), marked AS (
+  SELECT doc_id, pos, line, w, len(w) AS n, array_to_string(w, ' ') AS k FROM worded
+), firsts AS (
+  SELECT k, any_value(w) AS w, any_value(n) AS n,
+         min(struct_pack(d := doc_id, p := pos)) AS spot
+  FROM marked WHERE n > 0 GROUP BY k
+), without AS (
+  SELECT k, spot, n, j,
+         array_to_string(list_concat(w[1:j - 1], w[j + 1:]), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM firsts WHERE n >= 8)
+), replaced AS (
+  SELECT a.k FROM without a
+  JOIN (SELECT n, j, rest, min(spot) AS m FROM without GROUP BY n, j, rest) g
+    ON a.n = g.n AND a.j = g.j AND a.rest = g.rest
+  WHERE g.m < a.spot
+), apart AS (
+  SELECT a.k AS long_k, a.spot AS long_spot, b.k AS short_k, b.spot AS short_spot
+  FROM without a JOIN firsts b ON a.rest = b.k AND b.n >= 8
+), near AS (
+  SELECT k FROM replaced
+  UNION SELECT long_k FROM apart WHERE short_spot < long_spot
+  UNION SELECT short_k FROM apart WHERE long_spot < short_spot
+), verdict AS (
+  SELECT m.doc_id, m.pos, m.line,
+         m.n > 0 AND (f.spot < struct_pack(d := m.doc_id, p := m.pos) OR m.k IN (SELECT k FROM near)) AS gone
+  FROM marked m LEFT JOIN firsts f ON m.k = f.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM verdict GROUP BY doc_id
+"""
+
+
+#: The host rules of the contract.
+HOST_RULES = [
+    url_rules.HostRule("block", "com", "/en/"),
+    url_rules.HostRule("allow", "example.com", "/en/7"),
+    url_rules.HostRule("allow", "net", "/de/"),
+    url_rules.HostRule("block", "example.net", "/de/8"),
+    url_rules.HostRule("block", "org", "/es/"),
+]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of the same id: bad if of low quality or toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    return url_rules.judge(pages, pages.select("page_id", "url").join(bad, "page_id"), HOST_RULES)
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan(table(spark, sf_dir, "documents"))[0]
 
@@ -32,7 +104,12 @@ def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op2_byte_bpe, op7_secret_ledger, op8_toxicity_nb)
+    f.__name__: f for f in (op1_simhash_pivots, op2_byte_bpe, op3_line_dedup, op4_url_rules, op7_secret_ledger, op8_toxicity_nb, op10_decontamination)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
