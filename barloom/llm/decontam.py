@@ -12,8 +12,8 @@ A window without any shingle of the benchmark has similarity zero with all items
 fingerprints are made only around places where a shingle of an item occurs; this screen
 loses nothing.
 
-Words are ASCII-lower-cased and split at ASCII white space; shingles have five words (all
-words of an item with fewer). Null and blank texts match nothing, nor do null or blank
+Words are lower-cased and split at ASCII white space and punctuation; shingles have five
+words (all words of an item with fewer). Null and blank texts match nothing, nor do null or blank
 items. Items that repeat are reported each. Documents are read whole; repeated rows are
 judged each. Empty tables give empty results.
 """
@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import BROADCAST_LIMIT, ship
-from barloom.llm.simhash import words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 24, 8
@@ -41,6 +40,13 @@ _multiplier = np.uint64(0x9E3779B97F4A7C15)
 _close = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype="u1") ^ np.uint8(v)) <= RADIUS // BLOCKS) for v in range(256)]
 
 
+_table = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").translate(_table).split()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _multiplier
     return h ^ (h >> np.uint64(29))

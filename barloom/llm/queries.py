@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, decontam, line_dedup, secret_ledger, simhash, toxicity, url_rules
-from barloom.llm.common import table
+from barloom.llm import bm25, byte_bpe, decontam, line_dedup, secret_ledger, simhash, token_store, toxicity, url_rules, warc_zip
+from barloom.llm.common import table, work_path
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,46 @@ FROM verdict GROUP BY doc_id
 """
 
 
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), heads AS (
+  SELECT digest, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN head IS NULL OR head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN heads ON p.digest = heads.digest
+"""
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')) AS term
+  FROM documents
+), tfs AS (
+  SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), dls AS (
+  SELECT doc_id, sum(tf) AS dl FROM tfs GROUP BY doc_id
+), stats AS (
+  SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dls) / (SELECT count(*) FROM documents) AS avgdl
+), idfs AS (
+  SELECT term, greatest(0, ln((n - df + 0.5) / (df + 0.5))) AS idf
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), stats
+), scored AS (
+  SELECT q.doc_id AS doc_id, t.doc_id AS found_id,
+         round(sum(q.tf * idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM tfs q JOIN idfs USING (term) JOIN tfs t USING (term) JOIN dls ON dls.doc_id = t.doc_id, stats
+  WHERE q.doc_id % 100 = 0 AND idf > 0
+  GROUP BY q.doc_id, t.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, found_id) AS rank FROM scored WHERE score > 0
+)
+SELECT doc_id, rank::INTEGER AS rank, found_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 #: The host rules of the contract.
 HOST_RULES = [
     url_rules.HostRule("block", "com", "/en/"),
@@ -93,6 +133,20 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, pages.select("page_id", "url").join(bad, "page_id"), HOST_RULES)
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store goes to a new folder under spark.checkpoint.dir."""
+    path = work_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_index(spark, path).withColumnRenamed("doc", "doc_id")
+
+
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives go to a new folder under spark.checkpoint.dir."""
+    path = work_path(spark, "archives")
+    warc_zip.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc_zip.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan(table(spark, sf_dir, "documents"))[0]
 
@@ -104,12 +158,19 @@ def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op9_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of the documents whose id is divisible by 100, against all documents."""
+    docs, path = table(spark, sf_dir, "documents"), work_path(spark, "bm25")
+    bm25.build_index(docs, path)
+    return bm25.search(spark, path, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op2_byte_bpe, op3_line_dedup, op4_url_rules, op7_secret_ledger, op8_toxicity_nb, op10_decontamination)
+    f.__name__: f for f in (op1_simhash_pivots, op2_byte_bpe, op3_line_dedup, op4_url_rules, op5_token_store, op6_warc_zip, op7_secret_ledger, op8_toxicity_nb, op9_bm25_wand, op10_decontamination)
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_warc_zip": OP6_SQL, "op9_bm25_wand": OP9_SQL}
