@@ -24,10 +24,12 @@ from barloom.llm.common import ship
 
 FEATURE_BITS = 20
 LEAST, MOST = 3, 6
-#: At most so many labelled rows are fitted, the ones whose hash comes first.
+#: About so many labelled rows are fitted at most: where there are more, those whose hash is
+#: in the first FIT_ROWS / rows of all hashes.
 FIT_ROWS = 20_000
 #: At most so many features are fitted, those with the largest ratio against its error.
 FIT_FEATURES = 4096
+FIT_PARTS = 24
 _multiplier = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,26 +77,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> Model:
+def _sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
+    share = min(1.0, most / max(1, rows.count()))
+    return rows.where(F.pmod(by, F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fit_rows: int | None = FIT_ROWS, fit_features: int = FIT_FEATURES) -> Model:
     """Learns from text_col and label_col (0 or 1; other labels are left out) alone.
 
     The counts are made in Spark and reach the driver for at most fit_features features;
-    the sample's bound is fit_rows, the only limit on what is learned from.
+    the sample's bound is fit_rows (None: rows is a sample already), the only limit on what
+    is learned from.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
 
     ship(labelled.sparkSession)
-    sample = (
-        labelled.where(F.col(label_col).isin(0, 1))
-        .select(F.col(label_col).cast("int").alias("y"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-        .withColumn("h", F.xxhash64("t"))
-        .orderBy("h", "y")
-        .limit(fit_rows)
-        .select("y", "t")
-        .repartition(24, F.xxhash64("t"))
-        .cache()
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(
+        F.col(label_col).cast("int").alias("y"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")
     )
+    if fit_rows is not None:
+        rows = _sample(rows, F.xxhash64("t"), fit_rows)
+    sample = rows.repartition(FIT_PARTS).cache()
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     flat = np.zeros(1 << FEATURE_BITS, dtype="f4")
@@ -132,21 +136,25 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     return Model(float(fitted.intercept), flat)
 
 
+def _scores(held, texts: pa.Array) -> np.ndarray:
+    intercept, weights = held.value
+    used = weights != 0
+    made = []
+    for text in texts:
+        own = _feature_runs(text.as_py())
+        own = np.unique(own[used[own]])
+        made.append(1 / (1 + np.exp(-(intercept + float(weights[own].sum(dtype="f8"))))))
+    return np.array(made, dtype="f8")
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score and predicted (1 from 0.5 on) of every row."""
     ship(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast((model.intercept, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        intercept, weights = held.value
-        used = weights != 0
         for batch in batches:
-            made = []
-            for text in batch.column(1):
-                own = _feature_runs(text.as_py())
-                own = np.unique(own[used[own]])
-                made.append(1 / (1 + np.exp(-(intercept + float(weights[own].sum(dtype="f8"))))))
-            out = np.array(made, dtype="f8")
+            out = _scores(held, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out), pa.array((out >= 0.5).astype("i4"))], names=["id", "score", "predicted"]
             )
@@ -159,8 +167,25 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df that score below 0.5, all columns as they are."""
+    ship(df.sparkSession)
+    held, at = df.sparkSession.sparkContext.broadcast((model.intercept, model.weights)), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(held, batch.column(at)) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def train_outside_fold(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the labelled rows that are not held out. An id with several labels counts
-    as toxic if any of them says so."""
+    as toxic if any of them says so.
+
+    The labels are sampled before the texts are read, so that the sample can be broadcast:
+    it has FIT_ROWS pairs of id and label, give or take its chance.
+    """
     known = labels.where(~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    return train(docs.select(id_col, text_col).join(known, id_col), text_col, "y")
+    known = _sample(known, F.xxhash64(id_col), FIT_ROWS)
+    return train(docs.select(id_col, text_col).join(F.broadcast(known), id_col), text_col, "y", fit_rows=None)
