@@ -12,7 +12,9 @@ BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers that start from another folder import this package."""
+    """Lets Python workers that start from another folder import this package, and lets Spark
+    delete a query's shuffle files when it ends: what is needed later is cut first."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

@@ -35,16 +35,19 @@ from barloom.llm.common import BROADCAST_LIMIT, ship
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 24, 8
 SCREEN_BITS = 22
-CACHE_WORDS = 500_000
+SCREENED_BYTES = 1 << 20
 _multiplier = np.uint64(0x9E3779B97F4A7C15)
 _close = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype="u1") ^ np.uint8(v)) <= RADIUS // BLOCKS) for v in range(256)]
 
 
 _table = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_bytes = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype="u8")
+_powers = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype="u8"))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_table).split()
+def normal(text: str | None) -> bytes:
+    """Words in lower case with spaces between."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_table)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -52,6 +55,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and where it starts: sums over its bytes, weighted by place."""
+    a = np.frombuffer(data, dtype="u1")
+    letter = a != 32
+    edge = np.flatnonzero(np.diff(letter.astype("i1"), prepend=0, append=0))
+    starts, lengths = edge[0::2], edge[1::2] - edge[0::2]
+    if not len(starts):
+        return np.empty(0, dtype="u8"), starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    return _mixed(np.add.reduceat(_bytes[a[letter]] * _powers[place & 0xFFFF], first)), starts
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of size word hashes, in order."""
     n = len(words) - size + 1
@@ -105,10 +121,10 @@ class Matcher:
     """The items of one broadcast block in a worker."""
 
     def __init__(self, items: list[tuple], threshold: float):
-        self.threshold, self.seen = threshold, {}
+        self.threshold = threshold
         by_words: dict[int, Items] = {}
         for item_id, text in items:
-            words = self.hashes(words_of(text))
+            words, _ = word_hashes(normal(text))
             if not len(words):
                 continue
             own = by_words.setdefault(len(words), Items(len(words), min(SHINGLE, len(words))))
@@ -127,25 +143,36 @@ class Matcher:
             quick[known >> np.uint64(64 - SCREEN_BITS)] = True
             self.screens[size] = (quick, known)
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        seen, out = self.seen, []
-        for w in words:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return np.array(out, dtype="u8")
-
-    def find(self, text: str | None) -> dict:
+    def hits(self, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle hashes, and the places where one is a shingle of an item."""
+        quick, known = self.screens[size]
+        h = shingles(words, size)
+        at = np.flatnonzero(quick[h >> np.uint64(64 - SCREEN_BITS)])
+        return h, at[np.isin(h[at], known)] if len(at) else at
+
+    def find_all(self, texts: list[str | None]) -> list[dict]:
+        """find of each text; texts are screened together, about a megabyte at a time."""
+        found: list[dict] = [{} for _ in texts]
+        data, first, size = [], 0, 0
+        for k, text in enumerate(texts):
+            data.append(normal(text))
+            size += len(data[-1]) + 1
+            if size >= SCREENED_BYTES or k + 1 == len(texts):
+                words, starts = word_hashes(b" ".join(data))
+                ends = np.cumsum([len(x) + 1 for x in data])
+                of = np.searchsorted(ends, starts, side="right")
+                some = {int(of[p]) for s in self.by_size for p in self.hits(words, s)[1]}
+                for d in sorted(some):
+                    a, b = np.searchsorted(of, (d, d + 1))
+                    found[first + d] = self.find(words[a:b])
+                data, first, size = [], k + 1, 0
+        return found
+
+    def find(self, words: np.ndarray) -> dict:
         """item id -> (similarity, first word) of its best window, the earliest of equals."""
-        words, best = self.hashes(words_of(text)), {}
+        best: dict = {}
         for size, group in self.by_size.items():
-            quick, known = self.screens[size]
-            h = shingles(words, size)
-            hits = np.flatnonzero(quick[h >> np.uint64(64 - SCREEN_BITS)])
-            hits = hits[np.isin(h[hits], known)] if len(hits) else hits
+            h, hits = self.hits(words, size)
             if not len(hits):
                 continue
             for own in group:
@@ -214,7 +241,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             m = _matcher(held, threshold)
             for batch in batches:
-                found = [(k, i, s, w) for k, t in enumerate(batch.column(1)) for i, (s, w) in m.find(t.as_py()).items()]
+                found = [(k, i, s, w) for k, x in enumerate(m.find_all(batch.column(1).to_pylist())) for i, (s, w) in x.items()]
                 rows, ids, sims, at = zip(*found) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -242,7 +269,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             m = _matcher(held, threshold)
             for batch in batches:
-                yield batch.filter(pa.array([not m.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in m.find_all(batch.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

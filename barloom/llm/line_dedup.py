@@ -26,16 +26,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut
+from barloom.llm.common import cut, ship
 
 NEAR_WORDS = 8
-#: Lines with more words get their keys from a window over word rows, not within one row.
-ROW_WORDS = 2048
+#: Words whose sums are made in one array.
+CHUNK = 128
 MASK = (1 << 40) - 1
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+def _normal(line: Column) -> Column:
+    """The words with single spaces between. Most lines are so already."""
+    odd = line.rlike(r"^\s|\s$|\s\s|[\t-\r]")
+    return F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+
+
+def _words(normal: Column) -> Column:
+    return F.split(normal, " ")
 
 
 def _lines(text: Column) -> Column:
@@ -46,7 +52,7 @@ def _half(words: Column, n: Column, side: str) -> Column:
     """Hash of the first n // 2 words, or of the last n - n // 2 ones."""
     m = F.floor(n / 2).cast("int")
     part = F.slice(words, F.lit(1), m) if side == "head" else F.slice(words, F.size(words) - (n - m) + 1, n - m)
-    return F.xxhash64(n, F.lit(side), F.array_join(part, " "))
+    return F.xxhash64(n, F.lit(side), part)
 
 
 def _forward(w: Column, j: Column) -> Column:
@@ -57,54 +63,40 @@ def _backward(w: Column, left: Column) -> Column:
     return F.xxhash64(F.lit("b"), w, left.cast("int")).bitwiseAND(F.lit(MASK))
 
 
-def _in_row(lines: DataFrame) -> DataFrame:
-    """key, spot, flags, n, j, before, after, own: sums of word hashes by place, from the
-    start before word j and from the end after it, and the end hash of word j itself."""
-    hashes = F.transform("words", lambda w, j: F.struct(_forward(w, j).alias("f"), _backward(w, F.col("n") - 1 - j).alias("b")))
-    begin = F.struct(
-        F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("b"),
-        F.array().cast("array<struct<f:bigint,b:bigint,own:bigint>>").alias("a"),
+def _running(values: Column, field: str) -> Column:
+    """Sums of a field before each element. Chunks are summed apart and then moved by the
+    chunks before them, since an array grows by copying."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    begin = F.struct(zero.alias("s"), none.alias("a"))
+    sums = lambda a: F.aggregate(
+        a, begin, lambda acc, x: F.struct((acc["s"] + x[field]).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
     )
-    step = lambda acc, x: F.struct(
-        (acc["f"] + x["f"]).alias("f"), (acc["b"] + x["b"]).alias("b"),
-        F.concat(acc["a"], F.array(F.struct(acc["f"].alias("f"), (acc["b"] + x["b"]).alias("b"), x["b"].alias("own")))).alias("a"),
+    chunks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK)), lambda at: sums(F.slice(values, at + 1, CHUNK)))
+    return F.aggregate(
+        chunks, begin, lambda acc, c: F.struct((acc["s"] + c["s"]).alias("s"), F.concat(acc["a"], F.transform(c["a"], lambda x: x + acc["s"])).alias("a"))
     )
-    return (
-        lines.withColumn("s", F.aggregate(hashes, begin, step))
-        .select("key", "spot", "flags", "n", F.col("s.b").alias("total"), F.posexplode("s.a").alias("j", "x"))
-        .select("key", "spot", "flags", "n", "j", F.col("x.f").alias("before"), (F.col("total") - F.col("x.b")).alias("after"), F.col("x.own").alias("own"))
-    )
-
 
-def _in_window(lines: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("key").orderBy("j")
-    rows = lines.dropDuplicates(["key"]).select("key", "spot", "flags", "n", F.posexplode("words").alias("j", "w"))
-    rows = rows.select("*", _forward(F.col("w"), F.col("j")).alias("f"), _backward(F.col("w"), F.col("n") - 1 - F.col("j")).alias("own"))
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return rows.select("key", "spot", "flags", "n", "j", zero(F.sum("f").over(before)).alias("before"), zero(F.sum("own").over(after)).alias("after"), "own")
-
-
-def _variants(sums: DataFrame) -> DataFrame:
+def _variants(lines: DataFrame) -> DataFrame:
     """key, spot, role and vkey. Role s: word j replaced; role a: word j taken out of the
-    longer line; role b: a gap before word j of the shorter line, or at its end."""
+    longer line; role b: a gap before word j of the shorter line, or at its end. A key is
+    made of the words' sums of hashes by place: from the start before word j, and from the
+    end after it."""
     c = F.col
-    made = F.array(
-        F.when(c("flags.same"), F.struct(F.lit("s").alias("role"), F.xxhash64(F.lit("s"), "n", "j", "before", "after").alias("vkey"))),
-        F.when(c("flags.longer"), F.struct(F.lit("a").alias("role"), F.xxhash64(F.lit("g"), c("n") - 1, "j", "before", "after").alias("vkey"))),
-        F.when(c("flags.shorter"), F.struct(F.lit("b").alias("role"), F.xxhash64(F.lit("g"), "n", "j", "before", c("after") + c("own")).alias("vkey"))),
-    )
-    return sums.select("key", "spot", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("v")).select("key", "spot", "v.role", "v.vkey")
-
-
-def _end_gaps(lines: DataFrame) -> DataFrame:
-    """The gap after the last word of the shorter line."""
-    total = F.aggregate(F.transform("words", _forward), F.lit(0).cast("long"), lambda a, x: a + x)
-    return lines.where("flags.shorter").select(
-        "key", "spot", F.lit("b").alias("role"), F.xxhash64(F.lit("g"), "n", F.col("n"), total, F.lit(0).cast("long")).alias("vkey")
+    zero = F.lit(0).cast("long")
+    end = F.struct(c("n").alias("j"), c("fs.s").alias("before"), zero.alias("after"), zero.alias("from"))
+    item = lambda x, j: F.struct(
+        j.alias("j"), F.get(c("fs.a"), j).alias("before"),
+        (c("bs.s") - F.get(c("bs.a"), j) - x["b"]).alias("after"), (c("bs.s") - F.get(c("bs.a"), j)).alias("from"),
     )
+    spread = lines.select("key", "spot", "flags", "n", F.explode(F.concat(F.transform("x", item), F.array(end))).alias("i")).select("key", "spot", "flags", "n", "i.*")
+    inside = c("j") < c("n")
+    made = F.array_compact(F.array(
+        F.when(c("flags.same") & inside, F.struct(F.lit("s").alias("role"), F.xxhash64(F.lit("s"), "n", "j", "before", "after").alias("vkey"))),
+        F.when(c("flags.longer") & inside, F.struct(F.lit("a").alias("role"), F.xxhash64(F.lit("g"), c("n") - 1, "j", "before", "after").alias("vkey"))),
+        F.when(c("flags.shorter"), F.struct(F.lit("b").alias("role"), F.xxhash64(F.lit("g"), "n", "j", "before", "from").alias("vkey"))),
+    ))
+    return spread.select("key", "spot", F.explode(made).alias("v")).select("key", "spot", "v.role", "v.vkey")
 
 
 def _within_one_edit(x: Column, y: Column) -> Column:
@@ -128,21 +120,22 @@ def _within_one_edit(x: Column, y: Column) -> Column:
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
     """All columns of df, text_col without its dropped lines, and n_lines and n_dropped
     (under the names line_dedup_lines and line_dedup_dropped)."""
+    ship(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ref = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\x01"), text).cast("binary")))
+    ref = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), ref.alias("ref"))
-    by_ref = docs.select("ref", "text")
     split = (
         docs.select("id", "ref", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-        .withColumn("words", _words(F.col("line")))
-        .where(F.size("words") > 0)
-        .withColumn("n", F.size("words"))
-        .withColumn("key", F.unhex(F.md5(F.array_join("words", " ").cast("binary"))))
+        .withColumn("normal", _normal(F.col("line")))
+        .where("normal <> ''")
+        .withColumn("key", F.unhex(F.md5(F.col("normal").cast("binary"))))
     )
     spot = F.struct("id", "pos", "ref")
     places = split.select("key", spot.alias("at"))
+    same_text = (F.col("ref") == F.col("r")) & F.col("id").eqNullSafe(F.col("i"))
 
     # 1. distinct lines
+    split = split.withColumn("words", _words(F.col("normal"))).withColumn("n", F.size("words"))
     n, words = F.col("n"), F.col("words")
     halves = F.when(n >= near_words, F.struct(n, *(_half(words, k, s).alias(f"{s}{i}") for i, k in enumerate((n, n - 1)) for s in ("head", "tail"))))
     distinct = cut(
@@ -172,40 +165,37 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
     wanted = flagged.join(long_enough, "key").select("key", "spot", F.struct("same", "shorter", "longer").alias("flags"))
 
-    def with_words(rows: DataFrame, at: str, *cols: str) -> DataFrame:
-        """rows and the words of the line at the named spot; each text is read once."""
-        per_text = rows.groupBy(F.col(f"{at}.ref").alias("ref")).agg(F.collect_set(F.struct(at, *cols)).alias("all"))
-        return (
-            by_ref.join(per_text, "ref")
-            .select(_lines(F.col("text")).alias("l"), F.explode("all").alias("x"))
-            .select("x.*", _words(F.col("l")[F.col(f"x.{at}.pos")]).alias("words"))
-        )
-
-    lines = with_words(wanted, "spot", "key", "flags").withColumn("n", F.size("words"))
+    per_text = wanted.groupBy(F.col("spot.ref").alias("r"), F.col("spot.id").alias("i")).agg(F.collect_set(F.struct("spot", "key", "flags")).alias("all"))
+    lines = cut(
+        docs.join(per_text.hint("shuffle_hash"), same_text)
+        .select(_lines(F.col("text")).alias("l"), F.explode("all").alias("x"))
+        .select("x.*", _words(_normal(F.col("l")[F.col("x.spot.pos")])).alias("words"))
+        .withColumn("n", F.size("words"))
+    )
+    lines = cut(
+        lines.withColumn("x", F.transform("words", lambda w, j: F.struct(_forward(w, j).alias("f"), _backward(w, n - 1 - j).alias("b"))))
+        .withColumns({"fs": _running(F.col("x"), "f"), "bs": _running(F.col("x"), "b")})
+    )
 
     # 3. the deletion neighbourhood
-    variants = (
-        _variants(_in_row(lines.where(n <= ROW_WORDS)))
-        .unionAll(_variants(_in_window(lines.where(n > ROW_WORDS))))
-        .unionAll(_end_gaps(lines))
-    )
+    variants = _variants(lines)
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("spot"))).alias(role)
     earliest = variants.groupBy("vkey").agg(least("s"), least("a"), least("b"), F.count("*").alias("c")).where("c > 1")
     partner = F.when(F.col("role") == "s", F.col("s")).when(F.col("role") == "a", F.col("b")).otherwise(F.col("a"))
-    found = variants.join(earliest, "vkey").withColumn("partner", partner).where("partner < spot").select("key", "spot", "partner").distinct()
+    found = variants.join(earliest, "vkey").withColumn("partner", partner).where("partner < spot").select("key", "partner").distinct()
 
     # 4. verified
-    ours = with_words(found, "spot", "key", "partner").withColumnRenamed("words", "own_words")
-    both = with_words(ours, "partner", "key", "own_words")
-    near = both.where(_within_one_edit(F.col("own_words"), F.col("words"))).select("key").distinct()
+    ours = found.join(lines.select("key", F.col("words").alias("own_words")), "key")
+    both = ours.join(lines.select(F.col("spot").alias("partner"), "words"), "partner")
+    near = cut(both.where(_within_one_edit(F.col("own_words"), F.col("words"))).select("key").distinct())
 
     # what goes, and the texts without it
     verdict = distinct.select("key", "spot").join(near.withColumn("near", F.lit(True)), "key", "left")
     marks = (
         places.join(verdict, "key")
-        .select("at.ref", "at.pos", (F.coalesce("near", F.lit(False)) | (F.col("at") > F.col("spot"))).alias("drop"))
+        .select("at.ref", "at.id", "at.pos", (F.coalesce("near", F.lit(False)) | (F.col("at") > F.col("spot"))).alias("drop"))
         .where("drop")
-        .groupBy("ref")
+        .groupBy(F.col("ref").alias("r"), F.col("id").alias("i"))
         .agg(F.sort_array(F.collect_set("pos")).alias("drops"))
     )
     # a flag for each line, so that the filter looks up its own place only
@@ -213,8 +203,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         F.concat(F.array(F.lit(-1)), F.col("drops")).alias("from"), F.concat(F.col("drops"), F.array(F.size("l"))).alias("to")
     )
     flags = F.split(F.array_join(F.transform(runs, lambda x: F.concat(F.repeat(F.lit("0"), x["to"] - x["from"] - 1), F.lit("1"))), ""), "")
-    whole = df.select(F.struct(*df.columns).alias("row"), ref.alias("ref"), _lines(text).alias("l"))
-    marked = whole.join(marks, "ref", "left").withColumn("f", F.when(F.col("drops").isNotNull(), flags))
+    whole = df.select(F.struct(*df.columns).alias("row"), ref.alias("ref"), F.col(id_col).alias("id"))
+    marked = (
+        whole.join(marks.hint("shuffle_hash"), same_text, "left")
+        .withColumn("l", _lines(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))))
+        .withColumn("f", F.when(F.col("drops").isNotNull(), flags))
+    )
     out = F.when(F.col("drops").isNull(), F.col("row")[text_col]).otherwise(
         F.array_join(F.filter("l", lambda x, i: F.get(F.col("f"), i) == "0"), "\n")
     )

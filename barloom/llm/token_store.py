@@ -27,6 +27,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from barloom.llm.common import file_broadcast, ship
 
 #: Rolling hash: ids in the window, and one cut in 2**CUT_BITS ids; least and most ids of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 128, 8192
-CACHE_WORDS = 300_000
+CACHE_WORDS = 350_000
 #: The steps of a tokenizer whose words can be encoded one by one.
 WORD_STEPS = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
@@ -78,15 +79,16 @@ class WordBpe:
         if ids is None:
             if len(self.letters) >= CACHE_WORDS:
                 self.letters.clear()
-            chars = word.encode("utf-8").decode("latin-1").translate(self.chars)
-            ids = self.letters[word] = np.array([t.id for t in self.model.tokenize(chars)], dtype="<u4").tobytes()
+            chars = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.chars)
+            ids = self.letters[word] = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
         return ids
 
     def _word(self, word: str) -> bytes:
         low = word.lower()
-        if low.isalpha() and max(low) < "ɐ":
+        near = low.isascii() or max(low) < "ɐ"
+        if near and low.isalpha():
             ids = self._letters(low)
-        elif low[-1] in ".,;:!?" and low[:-1].isalpha() and max(low) < "ɐ":
+        elif near and low[-1] in ".,;:!?" and low[:-1].isalpha():
             ids = self._letters(low[:-1]) + self._letters(low[-1])
         else:
             ids = self._full(word)
@@ -96,6 +98,10 @@ class WordBpe:
             self.seen[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.letters.clear()
+
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
         if not self.by_word or _odd_space.search(text):
@@ -211,6 +217,8 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
                 )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bpe in _tokenizers.values():
+            bpe.forget()  # the worker has other uses for the memory now
         seen = set()
         for batch in batches:
             keys, has = batch.column(6).to_pylist(), batch.column(7).is_valid().to_pylist()

@@ -75,7 +75,7 @@ def eight_hourly_funding(bars: DataFrame) -> DataFrame:
     """A funding series out of bars: the scaled mean close of each eight hours."""
     slot = F.col("open_time_ms") - F.pmod(F.col("open_time_ms"), F.lit(8 * HOUR_MS))
     cents = F.sum(F.round(F.col("close") * 100).cast("long")).cast("double")
-    return bars.groupBy("symbol", slot.alias("open_time_ms")).agg((cents / F.count("*") / 1e4).alias("funding_rate"))
+    return bars.groupBy("symbol", slot.alias("open_time_ms")).agg((cents / F.count("*") / 7e5).alias("funding_rate"))
 
 
 def open_interest(bars: DataFrame) -> DataFrame:
