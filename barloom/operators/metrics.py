@@ -72,10 +72,11 @@ def as_of(bars: DataFrame, facts: DataFrame, name: str, tie: str | None = None,
 
 
 def eight_hourly_funding(bars: DataFrame) -> DataFrame:
-    """A funding series out of bars: the scaled mean close of each eight hours."""
+    """A funding series out of bars: the scaled mean close of each eight hours. The scale is
+    a prime, so that no rate lies halfway between two roundings."""
     slot = F.col("open_time_ms") - F.pmod(F.col("open_time_ms"), F.lit(8 * HOUR_MS))
     cents = F.sum(F.round(F.col("close") * 100).cast("long")).cast("double")
-    return bars.groupBy("symbol", slot.alias("open_time_ms")).agg((cents / F.count("*") / 7e5).alias("funding_rate"))
+    return bars.groupBy("symbol", slot.alias("open_time_ms")).agg((cents / F.count("*") / 700_001).alias("funding_rate"))
 
 
 def open_interest(bars: DataFrame) -> DataFrame:

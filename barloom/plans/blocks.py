@@ -206,7 +206,7 @@ def metrics() -> str:
     """met: funding, open interest and liquidations of ALL by hour. Needs bars of 1h."""
     m = "PARTITION BY symbol ORDER BY open_time_ms"
     return f"""
-fund0 AS (SELECT symbol, open_time_ms - open_time_ms % 28800000 AS open_time_ms, sum(CAST(round(close * 100) AS BIGINT))::DOUBLE / count(*) / 7e5 AS funding_rate
+fund0 AS (SELECT symbol, open_time_ms - open_time_ms % 28800000 AS open_time_ms, sum(CAST(round(close * 100) AS BIGINT))::DOUBLE / count(*) / 700001 AS funding_rate
           FROM bars GROUP BY symbol, open_time_ms - open_time_ms % 28800000),
 fund AS (SELECT *, CASE WHEN row_number() OVER ({m}) > 30 THEN CASE WHEN stddev_pop(funding_rate) OVER w > 0
               THEN (funding_rate - avg(funding_rate) OVER w) / stddev_pop(funding_rate) OVER w ELSE 0 END END AS funding_rate_zscore
