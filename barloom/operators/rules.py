@@ -215,8 +215,10 @@ def discover(bars: DataFrame, stats: DataFrame, future: int = 3, min_win: float
     spark = bars.sparkSession
     names = spark.createDataFrame([(k, " + ".join(sorted(x.signature for x in conds))) for k, conds in enumerate(found)], "candidate int, signature string")
     score = (F.col("win_rate") * F.col("avg_return")).alias("score")
-    best = Window.partitionBy(*SERIES, "signature").orderBy(F.desc("score"), "candidate")
-    order = Window.partitionBy(*SERIES).orderBy(F.desc("score"), "candidate")
+    # sums of doubles differ in their last digits by the order of rows: equal scores stay equal
+    by_score = F.round("score", 6).desc()
+    best = Window.partitionBy(*SERIES, "signature").orderBy(by_score, "candidate")
+    order = Window.partitionBy(*SERIES).orderBy(by_score, "candidate")
     return (
         tested.join(F.broadcast(names), "candidate")
         .select("*", score)

@@ -26,10 +26,20 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, which is computed once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def min_max(a: Column) -> Column:
     """To 0..1; all alike: 0.5."""
-    low, spread = F.array_min(a), F.array_max(a) - F.array_min(a)
-    return F.transform(a, lambda x: F.when(spread <= EPSILON, 0.5).otherwise((x - low) / F.when(spread <= EPSILON, 1.0).otherwise(spread)))
+
+    def scaled(v: Column, m: Column) -> Column:
+        flat = m["spread"] <= EPSILON
+        return F.transform(v, lambda x: F.when(flat, 0.5).otherwise((x - m["low"]) / F.when(flat, 1.0).otherwise(m["spread"])))
+
+    ends = lambda v: F.struct(F.array_min(v).alias("low"), (F.array_max(v) - F.array_min(v)).alias("spread"))
+    return _let(a, lambda v: _let(ends(v), lambda m: scaled(v, m)))
 
 
 def _log_returns(w: Column) -> Column:
@@ -56,21 +66,21 @@ def vector(feature: str, w: Column) -> Column:
     elif feature == "returns_log":
         v = min_max(_log_returns(w))
     elif feature == "volume_norm":
-        mean = _mean(F.transform(w, lambda b: b["volume"]))
-        v = min_max(F.transform(w, lambda b: F.when(mean > EPSILON, b["volume"] / F.when(mean > EPSILON, mean)).otherwise(0.0)))
+        over = lambda mean: F.transform(w, lambda b: F.when(mean > EPSILON, b["volume"] / F.when(mean > EPSILON, mean)).otherwise(0.0))
+        v = min_max(_let(_mean(F.transform(w, lambda b: b["volume"])), over))
     elif feature == "volatility":
-        r = _log_returns(w)
-        def spread(x, i):
-            part = F.slice(r, F.greatest(i - 3, F.lit(1)), F.least(i + 1, F.lit(5)))
-            return F.sqrt(_mean(F.transform(part, lambda y: (y - _mean(part)) * (y - _mean(part)))))
-        v = min_max(F.transform(w, spread))
+        def deviation(part):
+            return _let(_mean(part), lambda m: F.sqrt(_mean(F.transform(part, lambda y: (y - m) * (y - m)))))
+        near = lambda r, i: F.slice(r, F.greatest(i - 3, F.lit(1)), F.least(i + 1, F.lit(5)))
+        v = min_max(_let(_log_returns(w), lambda r: F.transform(r, lambda x, i: _let(near(r, i), deviation))))
     elif feature == "trend":
-        n, closes = F.size(w), F.transform(w, lambda b: b["close"])
-        xm, ym = (n - 1) / 2, _mean(closes)
-        num = F.aggregate(F.transform(closes, lambda y, i: (i - xm) * (y - ym)), F.lit(0.0), lambda s, x: s + x)
-        den = n * (n * n - 1) / F.lit(12.0)
-        slope = F.coalesce(F.try_divide(num, den), F.lit(0.0))
-        v = min_max(F.transform(closes, lambda y, i: y - (slope * i + ym - slope * xm)))
+        n = F.size(w)
+        xm, den = (n - 1) / 2, n * (n * n - 1) / F.lit(12.0)
+        def rest(closes, ym):
+            num = F.aggregate(F.transform(closes, lambda y, i: (i - xm) * (y - ym)), F.lit(0.0), lambda s, x: s + x)
+            slope = F.coalesce(F.try_divide(num, den), F.lit(0.0))
+            return _let(slope, lambda k: F.transform(closes, lambda y, i: y - (k * i + ym - k * xm)))
+        v = min_max(_let(F.transform(w, lambda b: b["close"]), lambda closes: _let(_mean(closes), lambda ym: rest(closes, ym))))
     else:
         raise ValueError(f"no feature type {feature!r}")
     return F.transform(v, lambda x: x.cast("float"))

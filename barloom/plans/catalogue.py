@@ -228,11 +228,12 @@ def asof_metrics(spark, d):
 # features
 
 def feature_rows(spark, d) -> DataFrame:
+    """Indicators and features are stored tables, each built from the one before."""
     bars = fx.bars(spark, d)
-    ind = ti.technical_indicators(bars)
+    ind = tb.stored(ti.technical_indicators(bars), "indicators")
     found = pt.recognise(bars).groupBy("symbol", "open_time_ms").agg(F.max("pattern_type").alias("pattern_type"))
     both = mm.as_of(mm.as_of(ind, market_metrics(spark, d), "metric"), found, "pattern")
-    return ft.feature_store(both, "1h")
+    return tb.stored(ft.feature_store(both, "1h", gate=None), "features").where("null_ratio <= 0.25")
 
 
 FEAT = f"{IND}, {b.trends()}, {b.patterns()}, {b.metrics()}, {b.features()}"
@@ -246,7 +247,7 @@ def ml_features(spark, d):
 W = f"""
 win AS (
   SELECT symbol, timeframe, open_time_ms AS start_time_ms, lead(open_time_ms, 4) OVER w AS end_time_ms, count(*) OVER (PARTITION BY symbol) AS m,
-         avg(null_ratio) OVER f AS mean_null_ratio, list([{", ".join(ft.WINDOW_FEATURES)}]) OVER f AS parts
+         avg(null_ratio) OVER f AS mean_null_ratio, list([{", ".join(f"{x}::FLOAT::DOUBLE" for x in ft.WINDOW_FEATURES)}]) OVER f AS parts
   FROM feat WINDOW w AS ({b.S}), f AS ({b.S} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))"""
 
 
@@ -434,9 +435,9 @@ def rule_eval(spark, d):
     return ru.evaluate(fx.bars(spark, d), RULES)
 
 
-COOLED = f"""{_rule_sql()}, asof AS (SELECT max(open_time_ms) + 3600000 AS a FROM bars),
+COOLED = f"""{_rule_sql()}, latest AS (SELECT max(open_time_ms) + 3600000 AS a FROM bars),
 sig AS (SELECT event_id % 6 + 1 AS rule_id, epoch_ms(ts) AS created_ms FROM events)
-SELECT fired.* FROM fired, asof WHERE NOT EXISTS (SELECT 1 FROM sig WHERE sig.rule_id = fired.rule_id AND sig.created_ms >= a - fired.cooldown_minutes * 60000)
+SELECT fired.* FROM fired, latest WHERE NOT EXISTS (SELECT 1 FROM sig WHERE sig.rule_id = fired.rule_id AND sig.created_ms >= a - fired.cooldown_minutes * 60000)
 """
 
 
@@ -463,9 +464,9 @@ d2 AS (SELECT symbol, timeframe, candidate, count(*) AS sample_count, count(*) F
               sum(greatest(ret, 0)) AS plus, sum(least(ret, 0)) AS minus FROM d1 WHERE candidate IS NOT NULL GROUP BY symbol, timeframe, candidate HAVING count(*) >= 10),
 d3 AS (SELECT symbol, timeframe, candidate, sample_count, w / (w + l + 0.0001) AS win_rate, avg_return, plus / (-minus + 0.0001) AS profit_factor, -minus AS max_drawdown FROM d2),
 names(candidate, signature) AS (VALUES {names}),
-d4 AS (SELECT *, win_rate * avg_return AS score, row_number() OVER (PARTITION BY symbol, signature ORDER BY win_rate * avg_return DESC, candidate) AS best
+d4 AS (SELECT *, win_rate * avg_return AS score, row_number() OVER (PARTITION BY symbol, signature ORDER BY round(win_rate * avg_return, 6) DESC, candidate) AS best
        FROM d3 JOIN names USING (candidate) WHERE win_rate >= 0.5 AND avg_return >= 0.1),
-d5 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, candidate) AS rank FROM d4 WHERE best = 1)
+d5 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 6) DESC, candidate) AS rank FROM d4 WHERE best = 1)
 SELECT symbol, timeframe, candidate, sample_count, {cols(['win_rate', 'avg_return', 'profit_factor', 'max_drawdown', 'score'])}, signature, rank::INT AS rank FROM d5 WHERE rank <= 100"""
 
 
@@ -497,7 +498,7 @@ WITH {b.bars()}, wv AS (
          list(struct_pack(o := open, h := high, l := low, c := close, v := volume)) OVER (PARTITION BY symbol ORDER BY open_time_ms ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS w
   FROM bars WHERE symbol = 'ALL'),
 wx AS (SELECT *, list_min(list_transform(w, lambda x: x.l)) AS lo, list_max(list_transform(w, lambda x: x.h)) AS hi FROM wv WHERE end_time_ms IS NOT NULL),
-vec AS (SELECT *, {sql} AS vector FROM wx)
+vec AS (SELECT *, list_transform({sql}, lambda x: x::FLOAT::DOUBLE) AS vector FROM wx)
 SELECT symbol, timeframe, start_time_ms, end_time_ms, len(vector)::INT AS vector_dim, round(list_sum(vector), 3) + 0.0 AS vector_sum,
        round(sqrt(list_sum(list_transform(vector, lambda x: x * x))), 3) + 0.0 AS vector_norm
 FROM vec WHERE vector IS NOT NULL""", name)(run)

@@ -6,6 +6,8 @@ that a failed job leaves the old one whole.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 def append_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of new whose key is not stored, the first of each key in new's order of keys:
     what an insert-only job appends."""
-    one = F.row_number().over(Window.partitionBy(*keys).orderBy(*(c for c in new.columns if c not in keys) or keys))
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(*([c for c in new.columns if c not in keys] or keys)))
     return new.withColumn("_r", one).where("_r = 1").drop("_r").join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
@@ -63,3 +65,14 @@ def write_version(rows: DataFrame, path: str, version: int, partition_by: list[s
     writer = rows.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
     return out
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The same rows from a table written to a new folder under the shared one
+    (spark.checkpoint.dir, or the warehouse where that is unset): plans that build on them
+    start from a scan, and survive lost executors."""
+    spark = rows.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
