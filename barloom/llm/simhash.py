@@ -16,6 +16,7 @@ Survivors are verified by their true Hamming distance. No pair within the radius
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -177,7 +178,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-# Near copies by shingle similarity: wide fingerprints find candidates, shingle sets decide.
+# Near copies by shingle similarity: wide fingerprints find most links, a prefix filter the
+# rest; shingle sets decide.
 
 #: Words of 64 bits in a wide fingerprint, tables of keys, bits of a key at each level.
 WIDE, TABLES, LEVELS = 3, 64, (18, 28, 40, 60)
@@ -189,6 +191,8 @@ WIDE_SHINGLE = 3
 WIDE_RADIUS = 46
 WIDE_PIVOTS = 32
 LEADER_SAMPLE = 64
+#: Slots and texts that order the shingles of prefixes; texts in a slice of a hot shingle.
+ORDER_BITS, ORDER_TEXTS, HOT_SLICE = 20, 200_000, 512
 _mixers = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -310,11 +314,120 @@ def _candidates(rows: DataFrame, paired_group: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """key and hashes: the distinct shingle hashes of each text, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "hashes"])
+
+    return texts.mapInArrow(run, "key binary, hashes binary")
+
+
+def _judged(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs(a, b) whose shingle sets reach the similarity. pairs are read twice."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for p, q in zip(batch.column(2), batch.column(3)):
+                u, v = np.frombuffer(p.as_py(), dtype="<u8"), np.frombuffer(q.as_py(), dtype="<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(both >= similarity * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    hashed = _shingle_sets(texts.join(involved, "key", "left_semi"), shingle)
+    first, second = hashed.toDF("a", "ha"), hashed.toDF("b", "hb")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
+
+
+def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles fall in each of 2**ORDER_BITS slots, from at most about ORDER_TEXTS
+    texts. It only sets the order of the shingles in prefixes, and any order is exact."""
+    n = max(1, texts.count() // ORDER_TEXTS)
+    chunk = 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, dtype="u4")
+        for batch in batches:
+            for t in batch.column(1):
+                total[np.unique(shingle_hashes(words_of(t.as_py()), shingle) >> np.uint64(64 - ORDER_BITS))] += 1
+        at = [c for c in range(len(total) // chunk) if total[c * chunk : (c + 1) * chunk].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array([total[c * chunk : (c + 1) * chunk].tobytes() for c in at], pa.binary())], names=["chunk", "counts"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [np.sum([np.frombuffer(x, dtype="u4") for x in some], axis=0, dtype="u4").tobytes() for some in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], names=["chunk", "counts"])
+
+    out = np.zeros(1 << ORDER_BITS, dtype="u4")
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(n)) == 0).mapInArrow(count, "chunk int, counts binary")
+    for r in some.groupBy("chunk").agg(F.collect_list("counts").alias("some")).mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype="u4")
+    return out
+
+
+def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """key, size and tokens: the rarest shingles of each text, so many that two texts of at
+    least the similarity have one of them in common."""
+    held = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = held.value
+        for batch in batches:
+            sizes, tokens = [], []
+            for t in batch.column(1):
+                h = np.unique(shingle_hashes(words_of(t.as_py()), shingle))
+                order = np.lexsort((h, often[h >> np.uint64(64 - ORDER_BITS)]))
+                sizes.append(len(h))
+                tokens.append(h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]].view("i8"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["key", "size", "tokens"]
+            )
+
+    return texts.mapInArrow(run, "key binary, size long, tokens array<long>").where("size > 0")
+
+
+def _unlinked(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: all pairs of texts of different groups that can reach the similarity, by a prefix
+    and a size filter. groups(node, label); a text outside them is its own.
+
+    A shingle whose texts are all in one group gives no pair and is passed over, so that
+    large groups of near copies cost nothing here. Texts of a hot shingle are cut into slices
+    of about HOT_SLICE: each text meets one slice as the lesser of a pair and all as the
+    other, and no pair is lost."""
+    labelled = _prefixes(texts, shingle, similarity).join(groups.withColumnRenamed("node", "key"), "key", "left")
+    tokens = cut(labelled.select("key", F.coalesce("label", "key").alias("label"), "size", F.explode("tokens").alias("token")))
+    mixed = (
+        tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low <> high")
+        .select("token", F.ceil(F.col("n") / HOT_SLICE).alias("slices"))
+    )
+    members = cut(tokens.join(mixed, "token"))
+    x = members.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices"))).alias("x")
+    y = members.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).alias("y")
+    return (
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.key") < F.col("y.key")))
+        .where(F.col("x.label") != F.col("y.label"))
+        .where(F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
+        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        .distinct()
+    )
+
+
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, paired_group: int = PAIRED_GROUP) -> DataFrame:
     """texts(key, text), distinct -> links(a, b) of Jaccard similarity of shingle sets at
-    least the given one. Candidates share a key of wide fingerprints; those whose sizes
-    can't fit, whose distances to some pivot differ by more than WIDE_RADIUS, or that differ
-    in more bits are discarded; the shingle sets decide on the rest."""
+    least the given one: enough of them to connect all that such links connect.
+
+    First, candidates share a key of wide fingerprints; those whose sizes can't fit, whose
+    distances to some pivot differ by more than WIDE_RADIUS, or that differ in more bits are
+    discarded; the shingle sets decide on the rest. That finds most links, but not all. Then
+    all pairs between the groups so linked that a prefix filter leaves are judged: no link
+    between two groups is lost."""
     texts = texts.select("key", "text")
     rows = cut(_wide_rows(texts, shingle).where("size > 0"))
     x, y = rows.drop("at").alias("x"), rows.drop("at").alias("y")
@@ -329,25 +442,9 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, p
         .where(_differing("x", "y") <= WIDE_RADIUS)
         .select("a", "b")
     )
-    involved = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "hashes"])
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(p.as_py(), dtype="<u8"), np.frombuffer(q.as_py(), dtype="<u8")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(both >= similarity * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    hashed = texts.join(involved, "key", "left_semi").mapInArrow(sets, "key binary, hashes binary")
-    first, second = hashed.toDF("a", "ha"), hashed.toDF("b", "hb")
-    return likely.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(judged, "a binary, b binary")
+    links = cut(_judged(likely, texts, shingle, similarity))
+    rest = cut(_unlinked(texts, connected_components(links), shingle, similarity))
+    return links.unionAll(_judged(rest, texts, shingle, similarity))
 
 
 def dedup_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
