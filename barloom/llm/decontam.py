@@ -10,7 +10,8 @@ threshold.
 
 A window without any shingle of the benchmark has similarity zero with all items, so that
 fingerprints are made only around places where a shingle of an item occurs; this screen
-loses nothing.
+loses nothing. A document with fewer words than an item is one window, and is verified
+against all items that share a shingle with it.
 
 Words are lower-cased and split at ASCII white space and punctuation; shingles have five
 words (all words of an item with fewer). Null and blank texts match nothing, nor do null or blank
@@ -98,8 +99,12 @@ class Items:
     counts: list[Counter] = field(default_factory=list)
     prints: list[int] = field(default_factory=list)
     lists: list[dict[int, list[int]]] = field(default_factory=list)
+    with_shingle: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
 
     def index(self) -> None:
+        for i, c in enumerate(self.counts):
+            for x in c:
+                self.with_shingle[x].append(i)
         self.lists = [defaultdict(list) for _ in range(BLOCKS)]
         for i, fp in enumerate(self.prints):
             for b in range(BLOCKS):
@@ -178,6 +183,8 @@ class Matcher:
             for own in group:
                 width = own.words - size + 1
                 if len(h) < width:
+                    if len(h) >= self.threshold * width - 1e-9:
+                        self._whole(own, h, hits, best)
                     continue
                 # starts of windows with a hit, joined to runs
                 low, high = np.maximum(hits - width + 1, 0), np.minimum(hits, len(h) - width)
@@ -193,6 +200,15 @@ class Matcher:
                     self._run(own, h, a, b, width, best)
         return best
 
+    def _whole(self, own: Items, h: np.ndarray, hits: np.ndarray, best: dict) -> None:
+        """A document with fewer words than the items is one window, compared with every item
+        that shares a shingle with it."""
+        window = Counter(h.tolist())
+        for i in sorted({i for x in h[hits].tolist() for i in own.with_shingle.get(x, ())}):
+            s = similarity(window, own.counts[i])
+            if s >= self.threshold and s > best.get(own.ids[i], (0, 0))[0]:
+                best[own.ids[i]] = (s, 0)
+
     def _run(self, own: Items, h: np.ndarray, a: int, b: int, width: int, best: dict) -> None:
         for k, fp in enumerate(window_fingerprints(h[a : b + width], width).tolist()):
             near = own.near(fp)
