@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAD = "label=bad"
-#: Tokens of a URL that take part in mining: the most frequent ones.
-MINED_TOKENS = 12
 FIT_ROWS = 200_000
 
 
@@ -70,8 +68,9 @@ def tokens_of(url: Column) -> Column:
 def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.01, min_confidence: float = 0.8, min_count: int = 20, fit_rows: int = FIT_ROWS) -> DataFrame:
     """rules(rule_id, tokens, confidence, support) for the bad label, by FP-growth on at most
     fit_rows labelled URLs (those whose hash comes first). A rule holds for a share of
-    min_support of them and for min_count at least. Tokens below the support can be in
-    no rule and are left out; a URL with many others brings its MINED_TOKENS most frequent."""
+    min_support of them and for min_count at least. Tokens that fewer bad URLs have can be
+    in no rule and are left out. Tokens of the very same URLs are mined as one and stand for
+    each other in the rules, so that each such choice is a rule; nothing else is left out."""
     from pyspark.ml.fpm import FPGrowth
 
     sample = (
@@ -83,14 +82,16 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
         .cache()
     )
     n = max(1, sample.count())
-    min_support = min(1.0, max(min_support, min_count / n))
+    # a hair less, so that the count of it does not round up
+    min_support = min(1.0, max(min_support, min_count / n)) * (1 - 1e-12)
     spread = sample.select("r", "bad", F.explode("t").alias("token"))
-    often = spread.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= min_support * n)
-    baskets = (
-        spread.join(often, "token")
-        .groupBy("r", "bad")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "token")), asc=False), 1, MINED_TOKENS).alias("x"))
-        .select(F.concat(F.col("x.token"), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    places = [F.bit_xor(F.xxhash64("r", F.lit(salt))).alias(f"p{salt}") for salt in (0, 1)]
+    often = spread.groupBy("token").agg(F.count("*").alias("c"), F.count_if("bad").alias("b"), *places).where(F.col("b") >= min_support * n)
+    classes = often.groupBy("c", "p0", "p1").agg(F.min("token").alias("token"), F.collect_list("token").alias("alike")).select("token", "alike").cache()
+    held = spread.join(classes, "token").groupBy("r").agg(F.collect_list("token").alias("x"))
+    none = F.array().cast("array<string>")
+    baskets = sample.join(held, "r", "left").select(
+        F.concat(F.coalesce("x", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)).alias("items")
     )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = (
@@ -105,7 +106,21 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
     covered = index.join(first, "token").where(
         (F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0)
     )
-    return rules.join(covered.select("rule_id").distinct(), "rule_id", "left_anti")
+    least = rules.join(covered.select("rule_id").distinct(), "rule_id", "left_anti")
+    # every choice of one token out of each class
+    choices = F.aggregate(
+        F.col("sets"), F.array(none),
+        lambda made, alike: F.flatten(F.transform(made, lambda m: F.transform(alike, lambda t: F.concat(m, F.array(t))))),
+    )
+    return (
+        least.select("rule_id", "confidence", "support", F.explode("tokens").alias("token"))
+        .join(classes, "token")
+        .groupBy("rule_id", "confidence", "support")
+        .agg(F.collect_list("alike").alias("sets"))
+        .select(F.explode(choices).alias("tokens"), "confidence", "support")
+        .select(F.sort_array("tokens").alias("tokens"), "confidence", "support")
+        .select(F.xxhash64(F.array_join("tokens", " ")).alias("rule_id"), "tokens", "confidence", "support")
+    )
 
 
 def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
