@@ -165,14 +165,21 @@ def top_similar(rows_: DataFrame, query: list[float], k: int = 8, id_col: str =
 
 
 def principal_components(vectors: DataFrame, n: int = 5, least: int = 100) -> DataFrame:
-    """Projections on the first n principal components of centred vectors; each component's
-    largest loading is positive. Fewer than `least` vectors give no rows."""
+    """Projections on the first n principal components of a series' centred vectors; each
+    component's largest loading is positive. A series of fewer than `least` vectors gives no
+    rows. The vectors are read for every series."""
+    out = vectors.where(F.lit(False)).select(*SERIES, "start_time_ms", "end_time_ms", F.array().cast("array<double>").alias("pca"))
+    for series in vectors.groupBy(*SERIES).count().where(F.col("count") >= least).orderBy(*SERIES).collect():
+        own = [F.col(c).eqNullSafe(F.lit(series[c])) for c in SERIES]
+        out = out.unionByName(_projected(vectors.where(own[0] & own[1]), n))
+    return out
+
+
+def _projected(vectors: DataFrame, n: int) -> DataFrame:
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows_ = vectors.withColumn("_x", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
-    if rows_.limit(least).count() < least:
-        return vectors.where(F.lit(False)).select(*SERIES, "start_time_ms", "end_time_ms", F.array().cast("array<double>").alias("pca"))
     centred = StandardScaler(inputCol="_x", outputCol="_c", withMean=True, withStd=False).fit(rows_).transform(rows_)
     model = PCA(k=n, inputCol="_c", outputCol="_p").fit(centred)
     loads = model.pc.toArray()

@@ -485,10 +485,14 @@ def rule_pairs_band_join(spark, d):
 
 # vectors and retrieval
 
-def _vector_query(name: str, feature: str, size: int, sql: str) -> None:
-    """The vector is compared by its length, sum and norm, which floats make good to four places."""
+def _vector_query(name: str, feature: str, size: int, sql: str, by_type: bool = False) -> None:
+    """The vector is compared by its length, sum and norm, which floats make good to four places.
+    Under the name the series of all events, under by_series_ and the name every series."""
+    if not by_type:
+        _vector_query(f"by_series_{name}", feature, size, sql, by_type=True)
+
     def run(spark, d):
-        v = ve.window_vectors(fx.bars(spark, d, by_type=False), feature, size)
+        v = ve.window_vectors(fx.bars(spark, d, by_type=by_type), feature, size)
         total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
         return v.select("symbol", "timeframe", "start_time_ms", "end_time_ms", "vector_dim", F.round(total, 3).alias("vector_sum"), F.round(ve.norm(F.col("vector")), 3).alias("vector_norm"))
 
@@ -496,7 +500,7 @@ def _vector_query(name: str, feature: str, size: int, sql: str) -> None:
 WITH {b.bars()}, wv AS (
   SELECT symbol, timeframe, open_time_ms AS start_time_ms, lead(open_time_ms, {size - 1}) OVER (PARTITION BY symbol ORDER BY open_time_ms) AS end_time_ms,
          list(struct_pack(o := open, h := high, l := low, c := close, v := volume)) OVER (PARTITION BY symbol ORDER BY open_time_ms ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS w
-  FROM bars WHERE symbol = 'ALL'),
+  FROM bars{"" if by_type else " WHERE symbol = 'ALL'"}),
 wx AS (SELECT *, list_min(list_transform(w, lambda x: x.l)) AS lo, list_max(list_transform(w, lambda x: x.h)) AS hi FROM wv WHERE end_time_ms IS NOT NULL),
 vec AS (SELECT *, list_transform({sql}, lambda x: x::FLOAT::DOUBLE) AS vector FROM wx)
 SELECT symbol, timeframe, start_time_ms, end_time_ms, len(vector)::INT AS vector_dim, round(list_sum(vector), 3) + 0.0 AS vector_sum,
@@ -561,7 +565,7 @@ def chunk_retrieval(spark, d):
 
 @query(None)
 def pca_components(spark, d):
-    p = ve.principal_components(ve.window_vectors(fx.bars(spark, d, by_type=False), "close", 10))
+    p = ve.principal_components(tb.stored(ve.window_vectors(fx.bars(spark, d), "returns_shape", 25), "pca-vectors"))
     return p.select("symbol", "timeframe", "start_time_ms", *(F.col("pca")[k].alias(f"pca{k + 1}") for k in range(5)))
 
 
