@@ -274,7 +274,8 @@ ORACLE_SQL["window_dataset"] = ORACLE_SQL["window_dataset"].replace("round(list_
 
 @query(None)
 def window_datasets(spark, d):
-    return ft.window_datasets(feature_rows(spark, d), tg.price_targets(fx.bars(spark, d), "1h"), "1h", (5, 10), ("1h", "4h", "1d")).drop("vector")
+    targets = tb.stored(tg.price_targets(fx.bars(spark, d), "1h"), "targets")
+    return ft.window_datasets(feature_rows(spark, d), targets, "1h").drop("vector")
 
 
 # patterns
