@@ -32,18 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import BROADCAST_LIMIT, ship
+from barloom.llm.shingles import shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 24, 8
 SCREEN_BITS = 22
 SCREENED_BYTES = 1 << 20
-_multiplier = np.uint64(0x9E3779B97F4A7C15)
 _close = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype="u1") ^ np.uint8(v)) <= RADIUS // BLOCKS) for v in range(256)]
 
 
 _table = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_bytes = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype="u8")
-_powers = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype="u8"))
 
 
 def normal(text: str | None) -> bytes:
@@ -51,35 +49,6 @@ def normal(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace").translate(_table)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _multiplier
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, and where it starts: sums over its bytes, weighted by place."""
-    a = np.frombuffer(data, dtype="u1")
-    letter = a != 32
-    edge = np.flatnonzero(np.diff(letter.astype("i1"), prepend=0, append=0))
-    starts, lengths = edge[0::2], edge[1::2] - edge[0::2]
-    if not len(starts):
-        return np.empty(0, dtype="u8"), starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    return _mixed(np.add.reduceat(_bytes[a[letter]] * _powers[place & 0xFFFF], first)), starts
-
-
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of size word hashes, in order."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype="u8")
-    h = np.zeros(n, dtype="u8")
-    for k in range(size):
-        h = h * _multiplier + words[k : k + n]
-    return _mixed(h)
-
-
 def window_fingerprints(hashes: np.ndarray, width: int) -> np.ndarray:
     """The fingerprint of each run of width shingle hashes, from running bit counts."""
     bits = np.unpackbits(hashes.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")

@@ -23,11 +23,13 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, ship
+from barloom.llm.common import BROADCAST_LIMIT, cut, ship, work_path
 from barloom.llm.components import connected_components
+from barloom.llm.shingles import shingle_lists
 
 BITS, SEED = 64, 42
 #: Fingerprints that share a key and are compared pair by pair; beyond, see near_fingerprints.
@@ -178,272 +180,197 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-# Near copies by shingle similarity: wide fingerprints find most links, a prefix filter the
-# rest; shingle sets decide.
+# Near copies by shingle similarity. A prefix of rare shingles gives the candidates, pivot
+# distances and fingerprints discard most of them, shingle sets decide.
 
-#: Words of 64 bits in a wide fingerprint, tables of keys, bits of a key at each level.
-WIDE, TABLES, LEVELS = 3, 64, (18, 28, 40, 60)
-#: Words of the shingles in wide fingerprints: fewer than those that decide, since an edited
-#: word changes fewer of them.
-WIDE_SHINGLE = 3
-#: Differing bits of WIDE * 64 up to which a pair is verified by its shingles. A similarity
-#: of 0.8 gives 29 of 192 at most on average, with a deviation of 5; unlike texts give 96.
-WIDE_RADIUS = 46
-WIDE_PIVOTS = 32
-LEADER_SAMPLE = 64
+#: Differing bits up to which a pair of the first pass is verified by its shingles. A
+#: similarity of 0.8 gives 10 of 64 on average, with a deviation of 3; unlike texts give 32.
+FIRST_RADIUS = 20
+#: Orders in which the texts of a shingle choose their leader.
+LEADER_ORDERS = 4
 #: Slots and texts that order the shingles of prefixes; texts in a slice of a hot shingle.
-ORDER_BITS, ORDER_TEXTS, HOT_SLICE = 20, 200_000, 512
-_mixers = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-
-
-def _draw(n: int, salt: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(f"{salt}/{i}".encode()) for i in range(n)], dtype="u8")
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WIDE words; the further ones are of the same hashes, mixed."""
-    if not len(hashes):
-        return np.zeros(WIDE, dtype="u8")
-    lanes = [hashes]
-    for m in _mixers[: WIDE - 1]:
-        h = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(m)
-        lanes.append((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-    return np.array([np.packbits(bit_counts(x) * 2 > len(x), bitorder="little").view("<u8")[0] for x in lanes], dtype="u8")
-
-
-class WideTables:
-    """The fixed choices: the bits of each table's key, in order, and the pivots."""
-
-    def __init__(self):
-        self.bits = np.stack([np.argsort(_draw(WIDE * 64, t), kind="stable")[: LEVELS[-1]] for t in range(TABLES)])
-        self.pivots = _draw(WIDE_PIVOTS * WIDE, -1).reshape(WIDE_PIVOTS, WIDE)
-
-    def keys(self, fp: np.ndarray) -> np.ndarray:
-        bit = np.unpackbits(fp.view("u1"), bitorder="little").astype("u8")
-        return (bit[self.bits] << np.arange(LEVELS[-1] - 1, -1, -1, dtype="u8")).sum(axis=1, dtype="u8").view("i8")
-
-    def distances(self, fp: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(fp ^ self.pivots).sum(axis=1).astype("i2")
-
-
-def _differing(x: str, y: str) -> Column:
-    one = lambda i: F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}")))
-    return sum((one(i) for i in range(1, WIDE)), one(0))
-
-
-def _wide_rows(texts: DataFrame, shingle: int) -> DataFrame:
-    """key, w0.., size (distinct shingles of shingle words), pivot (distances) and at (a key
-    for each table). Wide fingerprints are of shingles of WIDE_SHINGLE words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = WideTables()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                words = [words_of(t.as_py()) for t in part.column(1)]
-                fps = np.array([wide_fingerprint(shingle_hashes(w, WIDE_SHINGLE)) for w in words], dtype="u8").reshape(-1, WIDE)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        *(pa.array(fps[:, i].view("i8")) for i in range(WIDE)),
-                        pa.array([len({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}) if w else 0 for w in words], pa.int64()),
-                        pa.array([tables.distances(f).tolist() for f in fps], pa.list_(pa.int16())),
-                        pa.array([tables.keys(f).tolist() for f in fps], pa.list_(pa.int64())),
-                    ],
-                    names=["key", *(f"w{i}" for i in range(WIDE)), "size", "pivot", "at"],
-                )
-
-    return texts.mapInArrow(run, "key binary, " + "".join(f"w{i} long, " for i in range(WIDE)) + "size long, pivot array<smallint>, at array<long>")
-
-
-def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        middle = []
-        for rows in batch.column(2).to_pylist():
-            bits = np.unpackbits(np.array([[r[f"w{i}"] for i in range(WIDE)] for r in rows], dtype="i8").view("u1").reshape(len(rows), -1), axis=1, bitorder="little")
-            middle.append(np.packbits(bits.sum(axis=0) * 2 > len(rows), bitorder="little").view("<i8"))
-        middle = np.array(middle, dtype="i8").reshape(-1, WIDE)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(middle[:, i]) for i in range(WIDE))], names=["t", "bucket", *(f"w{i}" for i in range(WIDE))]
-        )
-
-
-def _candidates(rows: DataFrame, paired_group: int) -> DataFrame:
-    """a, b: pairs of texts that share a key.
-
-    A key has 18 bits at first. Texts of a bucket with few members are paired with each
-    other. In a larger bucket every text is paired with the bucket's leader, the text nearest
-    to the majority of the bits (in a group of near copies, the one they are copies of), and
-    the bucket is split by further bits of the same table, down to 60. Rows thus grow with
-    the bucket, not with its square.
-    """
-    words = [f"w{i}" for i in range(WIDE)]
-    level = rows.select("key", *words, F.posexplode("at").alias("t", "full")).withColumn("bucket", F.shiftright("full", LEVELS[-1] - LEVELS[0]))
-    out = []
-    for depth in range(len(LEVELS)):
-        n = F.count("*").over(Window.partitionBy("t", "bucket"))
-        level = cut(level.withColumn("n", n).where("n > 1"))
-        few = level.where(F.col("n") <= paired_group).select("t", "bucket", "key")
-        x, y = few.alias("x"), few.alias("y")
-        out.append(
-            x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")))
-            .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        )
-        many = level.where(F.col("n") > paired_group)
-        if many.isEmpty():
-            break
-        # a few members by hash give the majority; every member is compared with it
-        sampled = F.pmod(F.xxhash64("key", "t"), F.lit(1 << 30)) * F.col("n") < F.lit(LEADER_SAMPLE << 30)
-        middle = (
-            many.where(sampled).groupBy("t", "bucket").agg(F.collect_list(F.struct(*words)).alias("some"))
-            .mapInArrow(_majority, "t int, bucket long, " + ", ".join(f"w{i} long" for i in range(WIDE)))
-        )
-        near = (
-            many.alias("x").join(middle.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.bucket") == F.col("y.bucket")))
-            .select("x.t", "x.bucket", "x.key", _differing("x", "y").alias("d"))
-        )
-        leader = near.groupBy("t", "bucket").agg(F.min(F.struct("d", "key"))["key"].alias("leader"))
-        out.append(
-            many.join(leader, ["t", "bucket"]).where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
-        )
-        if depth + 1 < len(LEVELS):
-            level = many.withColumn("bucket", F.shiftright("full", LEVELS[-1] - LEVELS[depth + 1])).drop("n")
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionAll(more)
-    return pairs.distinct()
-
-
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """key and hashes: the distinct shingle hashes of each text, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "hashes"])
-
-    return texts.mapInArrow(run, "key binary, hashes binary")
-
-
-def _judged(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs(a, b) whose shingle sets reach the similarity. pairs are read twice."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(p.as_py(), dtype="<u8"), np.frombuffer(q.as_py(), dtype="<u8")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(both >= similarity * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    hashed = _shingle_sets(texts.join(involved, "key", "left_semi"), shingle)
-    first, second = hashed.toDF("a", "ha"), hashed.toDF("b", "hb")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
+ORDER_BITS, ORDER_TEXTS, HOT_SLICE = 22, 200_000, 512
+#: Rows of keys that may be broadcast: at most 64 bytes each.
+BROADCAST_KEYS = BROADCAST_LIMIT // 64
 
 
 def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How many shingles fall in each of 2**ORDER_BITS slots, from at most about ORDER_TEXTS
-    texts. It only sets the order of the shingles in prefixes, and any order is exact."""
+    """How many texts have a shingle in each of 2**ORDER_BITS slots, from at most about
+    ORDER_TEXTS texts. It only sets the order of the shingles in prefixes, and any order is
+    exact. A slot's number is a byte: counts from 16 on go by their logarithm."""
     n = max(1, texts.count() // ORDER_TEXTS)
-    chunk = 1 << 14
+    chunk = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << ORDER_BITS, dtype="u4")
         for batch in batches:
-            for t in batch.column(1):
-                total[np.unique(shingle_hashes(words_of(t.as_py()), shingle) >> np.uint64(64 - ORDER_BITS))] += 1
+            for h in shingle_lists(batch.column(1).to_pylist(), shingle):
+                total[np.unique(h >> np.uint64(64 - ORDER_BITS))] += 1
+        pack = zstandard.ZstdCompressor(level=1).compress
         at = [c for c in range(len(total) // chunk) if total[c * chunk : (c + 1) * chunk].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int32()), pa.array([total[c * chunk : (c + 1) * chunk].tobytes() for c in at], pa.binary())], names=["chunk", "counts"]
+            [pa.array(at, pa.int32()), pa.array([pack(total[c * chunk : (c + 1) * chunk].tobytes()) for c in at], pa.binary())], names=["chunk", "counts"]
         )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sums = [np.sum([np.frombuffer(x, dtype="u4") for x in some], axis=0, dtype="u4").tobytes() for some in batch.column(1).to_pylist()]
+            sums = []
+            for some in batch.column(1):
+                one = np.zeros(chunk, dtype="u4")
+                for x in some:
+                    one += np.frombuffer(unpack(x.as_py()), dtype="u4")
+                sums.append(np.where(one < 16, one, np.minimum(16 + 8 * np.log2(np.maximum(one, 16) / 16), 255)).astype("u1").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros(1 << ORDER_BITS, dtype="u4")
+    out = np.zeros(1 << ORDER_BITS, dtype="u1")
     some = texts.where(F.pmod(F.xxhash64("key"), F.lit(n)) == 0).mapInArrow(count, "chunk int, counts binary")
     for r in some.groupBy("chunk").agg(F.collect_list("counts").alias("some")).mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype="u4")
+        out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype="u1")
     return out
 
 
-def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """key, size and tokens: the rarest shingles of each text, so many that two texts of at
-    least the similarity have one of them in common."""
+def _marks(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """key, size (distinct shingles), fp (their fingerprint) and tokens: the rarest shingles of
+    each text in a fixed order, so many that two texts of at least the similarity have one of
+    them in common. Texts without words are left out."""
     held = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = held.value
         for batch in batches:
-            sizes, tokens = [], []
-            for t in batch.column(1):
-                h = np.unique(shingle_hashes(words_of(t.as_py()), shingle))
+            sizes, prints, tokens = [], [], []
+            for h in shingle_lists(batch.column(1).to_pylist(), shingle):
+                h = np.unique(h)
                 order = np.lexsort((h, often[h >> np.uint64(64 - ORDER_BITS)]))
                 sizes.append(len(h))
-                tokens.append(h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]].view("i8"))
+                prints.append(fingerprint(h))
+                tokens.append(h[order[: prefix_length(len(h), similarity)]].view("i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["key", "size", "tokens"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["key", "size", "fp", "tokens"],
             )
 
-    return texts.mapInArrow(run, "key binary, size long, tokens array<long>").where("size > 0")
+    key_type = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "text").mapInArrow(run, f"key {key_type}, size long, fp long, tokens array<long>").where("size > 0")
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    return size - math.ceil(similarity * size - 1e-9) + 1
 
 
-def _unlinked(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b: all pairs of texts of different groups that can reach the similarity, by a prefix
-    and a size filter. groups(node, label); a text outside them is its own.
+def _members(marks: DataFrame) -> DataFrame:
+    """key, size, fp, token, pos (the token's place in the prefix) and n (texts that have it)
+    of all tokens that several texts have."""
+    tokens = marks.select("key", "size", "fp", F.posexplode("tokens").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    return tokens.join(shared, "token")
+
+
+def _led(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each text with the leaders of its tokens, where pivots and fingerprints let the
+    pair pass. A token's leaders are the text with the least share of tokens of its own (in a
+    group of near copies, the one that the others are copies of) and the first one in one of
+    LEADER_ORDERS orders by hash. There are at most two rows for each token of a text, however
+    many texts share it."""
+    shared = members.groupBy("key").agg(F.count("*").alias("c"))
+    ranked = members.join(shared, "key").withColumn("alone", 1 - F.col("c") / F.col("size"))
+    who = [F.col("key"), F.col("size"), F.col("fp")]
+    order = F.xxhash64("key", F.pmod("token", F.lit(LEADER_ORDERS)))
+    leaders = ranked.groupBy("token").agg(
+        F.min(F.struct(F.col("alone").alias("by"), *who)).alias("central"), F.min(F.struct(order.alias("by"), *who)).alias("first")
+    )
+    table = lambda fp: distance_table(F.col(fp), 4)
+    largest = F.array_max(F.zip_with("da", "db", lambda a, b: F.abs(a - b)))
+    who = lambda x: [F.col(f"{x}.key").alias("key"), F.col(f"{x}.size").alias("size"), F.col(f"{x}.fp").alias("fp")]
+    return (
+        members.join(leaders, "token")
+        .select("key", "size", "fp", F.explode(F.array(F.struct(*who("central")), F.struct(*who("first")))).alias("to"))
+        .where((F.col("key") != F.col("to.key")) & (F.least("size", "to.size") >= similarity * F.greatest("size", "to.size")))
+        .select("key", "fp", F.col("to.key").alias("to"), F.col("to.fp").alias("to_fp"))
+        .select(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b"), "fp", "to_fp")
+        .dropDuplicates(["a", "b"])
+        .withColumns({"da": table("fp"), "db": table("to_fp")})
+        .where((largest <= FIRST_RADIUS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("to_fp"))) <= FIRST_RADIUS))
+        .select("a", "b")
+    )
+
+
+def _unlinked(members: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of texts of different groups that can reach the similarity, by prefix,
+    size and position filters. groups(node, label); a text outside them is its own.
 
     A shingle whose texts are all in one group gives no pair and is passed over, so that
-    large groups of near copies cost nothing here. Texts of a hot shingle are cut into slices
-    of about HOT_SLICE: each text meets one slice as the lesser of a pair and all as the
-    other, and no pair is lost."""
-    labelled = _prefixes(texts, shingle, similarity).join(groups.withColumnRenamed("node", "key"), "key", "left")
-    tokens = cut(labelled.select("key", F.coalesce("label", "key").alias("label"), "size", F.explode("tokens").alias("token")))
+    large groups of near copies cost nothing here. The first shingle that two texts share
+    says by its places how many they can share at most. Texts of a hot shingle are cut into
+    slices of about HOT_SLICE: each text meets one slice as the lesser of a pair and all as
+    the other, and no pair is lost."""
+    own = members.join(groups.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "size", "token", "pos", F.coalesce("label", "key").alias("label")
+    )
     mixed = (
-        tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        own.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low <> high")
         .select("token", F.ceil(F.col("n") / HOT_SLICE).alias("slices"))
     )
-    members = cut(tokens.join(mixed, "token"))
-    x = members.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices"))).alias("x")
-    y = members.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).alias("y")
+    left = cut(own.join(mixed, "token"))
+    x = left.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices"))).alias("x")
+    y = left.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).alias("y")
+    after = lambda t: F.col(f"{t}.size") - F.col(f"{t}.pos")
+    wanted = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
     return (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.key") < F.col("y.key")))
-        .where(F.col("x.label") != F.col("y.label"))
-        .where(F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
+        x.join(
+            y,
+            (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.slice") == F.col("y.slice"))
+            & (F.col("x.key") < F.col("y.key"))
+            & (F.col("x.label") != F.col("y.label"))
+            & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
+            & (F.least(after("x"), after("y")) >= wanted),
+        )
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         .distinct()
     )
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, paired_group: int = PAIRED_GROUP) -> DataFrame:
+def _judged(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs(a, b) whose shingle sets reach the similarity. pairs are read twice."""
+    key_type = texts.schema["key"].dataType.simpleString()
+    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    if involved.count() <= BROADCAST_KEYS:
+        involved = F.broadcast(involved)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(h).tobytes() for h in shingle_lists(batch.column(1).to_pylist(), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for p, q in zip(batch.column(2), batch.column(3)):
+                u, v = np.frombuffer(p.as_py(), dtype="<u8"), np.frombuffer(q.as_py(), dtype="<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    hashed = cut(texts.select("key", "text").join(involved, "key", "left_semi").mapInArrow(sets, f"key {key_type}, hashes binary"))
+    first, second = hashed.toDF("a", "ha"), hashed.toDF("b", "hb")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, f"a {key_type}, b {key_type}")
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """texts(key, text), distinct -> links(a, b) of Jaccard similarity of shingle sets at
     least the given one: enough of them to connect all that such links connect.
 
-    First, candidates share a key of wide fingerprints; those whose sizes can't fit, whose
-    distances to some pivot differ by more than WIDE_RADIUS, or that differ in more bits are
-    discarded; the shingle sets decide on the rest. That finds most links, but not all. Then
-    all pairs between the groups so linked that a prefix filter leaves are judged: no link
-    between two groups is lost."""
-    texts = texts.select("key", "text")
-    rows = cut(_wide_rows(texts, shingle).where("size > 0"))
-    x, y = rows.drop("at").alias("x"), rows.drop("at").alias("y")
-    fits = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")
-    largest = F.array_max(F.zip_with("x.pivot", "y.pivot", lambda a, b: F.abs(a - b)))
-    likely = cut(
-        _candidates(rows, paired_group)
-        .join(x, F.col("a") == F.col("x.key"))
-        .join(y, F.col("b") == F.col("y.key"))
-        .where(fits)
-        .where(largest <= WIDE_RADIUS)
-        .where(_differing("x", "y") <= WIDE_RADIUS)
-        .select("a", "b")
-    )
-    links = cut(_judged(likely, texts, shingle, similarity))
-    rest = cut(_unlinked(texts, connected_components(links), shingle, similarity))
+    Two passes over the rare shingles that texts share. In the first a text meets leaders
+    only; pairs whose pivot distances differ by more than FIRST_RADIUS or whose fingerprints
+    do are discarded, and the shingle sets decide. In the second all pairs between the groups
+    so linked are judged: no link between two groups is lost. Keys of links are ordered.
+    Shingles are compared by 64-bit hashes."""
+    members = cut(_members(cut(_marks(texts, shingle, similarity))))
+    links = cut(_judged(cut(_led(members, similarity)), texts, shingle, similarity))
+    rest = cut(_unlinked(members, connected_components(links), similarity))
     return links.unionAll(_judged(rest, texts, shingle, similarity))
 
 
@@ -452,18 +379,26 @@ def dedup_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts of the same words are copies; texts linked by similar_texts are near copies; groups
     are closed over both. Texts without words are one group. A null id comes first. Repeated
-    rows are copies. An empty table gives an empty result.
+    rows are copies. An empty table gives an empty result. Other columns pass through
+    untouched, whatever their names.
     """
-    ship(df.sparkSession)
-    words = F.filter(F.split(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t-\r]+"), lambda w: w != "")
-    first = (
-        df.select(F.unhex(F.md5(F.array_join(words, " ").cast("binary"))).alias("key"), F.struct(F.col(id_col).alias("id")).alias("by"), F.struct(*df.columns).alias("row"))
+    spark = df.sparkSession
+    ship(spark)
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    own_id, own_text = F.col(f"c{df.columns.index(id_col)}"), F.col(f"c{df.columns.index(text_col)}").cast("string")
+    spaced = F.translate(F.coalesce(own_text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+    words = F.array_remove(F.split(spaced, " "), "")
+    path = work_path(spark, "distinct-texts")
+    (
+        plain.select(F.unhex(F.md5(F.array_join(words, " ").cast("binary"))).alias("key"), F.struct(own_id.alias("id")).alias("by"), F.struct(*plain.columns).alias("row"))
         .groupBy("key")
         .agg(F.min_by("row", "by").alias("row"))
+        .select(F.monotonically_increasing_id().alias("key"), "row.*")
+        .write.parquet(path)
     )
-    unique = first.select("key", F.col("row")[id_col].alias("id"), F.col("row")[text_col].cast("string").alias("text"))
-    labels = connected_components(cut(similar_texts(unique, shingle, similarity)))
-    named = labels.withColumnRenamed("node", "key").join(unique.select("key", "id"), "key")
+    first = spark.read.parquet(path)
+    labels = connected_components(cut(similar_texts(first.select("key", own_text.alias("text")), shingle, similarity)))
+    named = labels.withColumnRenamed("node", "key").join(first.select("key", own_id.alias("id")), "key")
     keepers = named.groupBy("label").agg(F.min(F.struct("id", "key"))["key"].alias("keeper"))
     losers = named.join(keepers, "label").where("key <> keeper").select("key")
-    return first.join(losers, "key", "left_anti").select(*(F.col("row")[c].alias(c) for c in df.columns))
+    return first.join(losers, "key", "left_anti").drop("key").toDF(*df.columns)

@@ -43,7 +43,7 @@ def test_similar_texts_loses_nothing(spark):
     near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
     links = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if near(sets[a], sets[b])}
     df = spark.createDataFrame([(bytearray(k), t) for k, t in texts.items()], "key binary, text string")
-    found = simhash.similar_texts(df, paired_group=2).cache()
+    found = simhash.similar_texts(df).cache()
     assert {(bytes(r["a"]), bytes(r["b"])) for r in found.collect()} <= links
     got = {bytes(r["node"]): bytes(r["label"]) for r in connected_components(found).collect()}
     want = groups_of(keys, links)
@@ -57,6 +57,6 @@ def test_hot_shingles_are_sliced(spark, monkeypatch):
     texts = {f"{i:03d}".encode(): f"one two three four five own{i}" for i in range(40)}
     df = spark.createDataFrame([(bytearray(k), t) for k, t in texts.items()], "key binary, text string")
     none = spark.createDataFrame([], "node binary, label binary")
-    got = [(bytes(r["a"]), bytes(r["b"])) for r in simhash._unlinked(df, none, 5, 0.3).collect()]
+    got = [(bytes(r["a"]), bytes(r["b"])) for r in simhash._unlinked(simhash._members(simhash._marks(df, 5, 0.3)), none, 0.3).collect()]
     keys = sorted(texts)
     assert sorted(got) == [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
