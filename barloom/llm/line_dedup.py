@@ -11,10 +11,10 @@ How near lines are found:
 1. Copies of a line become one row, with the place of the first.
 2. One edit leaves the first or the second half of a line as it was. Lines that share no
    half with another line of fitting length can't have a near line and go no further.
-3. The rest emit the deletion neighbourhood: a hashed key for each word taken out, and for
-   each gap where a word could have been. Lines with an equal key are within the bound. The
-   minimum of each key is aggregated, never the pairs, so that a key may be shared by any
-   number of lines.
+3. The rest emit the deletion neighbourhood: a hashed key for each word replaced and for
+   each word taken out, and one for the whole line, which a longer line may come to. Lines
+   with an equal key are within the bound. The minimum of each key is aggregated, never the
+   pairs, so that a key may be shared by any number of lines.
 4. The word edit distance between a line and the earliest line found for it is verified.
 
 Nulls count as empty texts. Repeated rows come back each, all with the same lines. Empty
@@ -31,12 +31,13 @@ from barloom.llm.common import cut, ship
 NEAR_WORDS = 8
 #: Words whose sums are made in one array.
 CHUNK = 128
-MASK = (1 << 40) - 1
 
 
 def _normal(line: Column) -> Column:
     """The words with single spaces between. Most lines are so already."""
-    odd = line.rlike(r"^\s|\s$|\s\s|[\t-\r]")
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for x in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(line, F.lit(x))
     return F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
 
 
@@ -48,55 +49,70 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _half(words: Column, n: Column, side: str) -> Column:
-    """Hash of the first n // 2 words, or of the last n - n // 2 ones."""
+def _n_words(normal: Column) -> Column:
+    return (F.octet_length(normal) - F.octet_length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def _half(normal: Column, n: Column, side: str) -> Column:
+    """Hash of a line's first n // 2 words, or of its last n - n // 2 ones, as half of a line
+    of n words."""
     m = F.floor(n / 2).cast("int")
-    part = F.slice(words, F.lit(1), m) if side == "head" else F.slice(words, F.size(words) - (n - m) + 1, n - m)
+    part = F.call_function("substring_index", normal, F.lit(" "), m if side == "head" else m - n)
     return F.xxhash64(n, F.lit(side), part)
 
 
-def _forward(w: Column, j: Column) -> Column:
-    return F.xxhash64(w, j.cast("int")).bitwiseAND(F.lit(MASK))
+#: Two hashes of a word and its place. Their sums (by exclusive or) tell lines apart by 96 bits.
+_hashes = {"f": lambda w, j: F.xxhash64(w, j), "g": lambda w, j: F.hash(j, w)}
 
 
-def _backward(w: Column, left: Column) -> Column:
-    return F.xxhash64(F.lit("b"), w, left.cast("int")).bitwiseAND(F.lit(MASK))
+def _xor(values: Column, zero: Column) -> Column:
+    return F.aggregate(values, zero, lambda acc, x: acc.bitwiseXOR(x))
 
 
-def _running(values: Column, field: str) -> Column:
-    """Sums of a field before each element. Chunks are summed apart and then moved by the
-    chunks before them, since an array grows by copying."""
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
-    begin = F.struct(zero.alias("s"), none.alias("a"))
+def _running(values: Column, zero: Column) -> Column:
+    """The exclusive or of all elements before each one. Chunks are summed apart and then
+    moved by the chunks before them, since an array grows by copying."""
+    begin = F.struct(zero.alias("s"), F.slice(F.array(zero), F.lit(1), F.lit(0)).alias("a"))
     sums = lambda a: F.aggregate(
-        a, begin, lambda acc, x: F.struct((acc["s"] + x[field]).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
+        a, begin, lambda acc, x: F.struct(acc["s"].bitwiseXOR(x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
     )
     chunks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK)), lambda at: sums(F.slice(values, at + 1, CHUNK)))
     return F.aggregate(
-        chunks, begin, lambda acc, c: F.struct((acc["s"] + c["s"]).alias("s"), F.concat(acc["a"], F.transform(c["a"], lambda x: x + acc["s"])).alias("a"))
-    )
+        chunks,
+        begin,
+        lambda acc, c: F.struct(acc["s"].bitwiseXOR(c["s"]).alias("s"), F.concat(acc["a"], F.transform(c["a"], lambda x: x.bitwiseXOR(acc["s"]))).alias("a")),
+    )["a"]
+
+
+def _summed(lines: DataFrame) -> DataFrame:
+    """lines with what their variants are made of. all_h: the sum of the words' hashes. h: the
+    words' hashes by place. down_h: by the place before, which a word has once an earlier one
+    is out; move_h: what changes in the sum if all words before a place stay where they are."""
+    zeros = {"f": F.lit(0).cast("long"), "g": F.lit(0).cast("int")}
+    down = lambda make: lambda w, j: make(w, j - 1)
+    own = lines.withColumns({h: F.transform("words", make) for h, make in _hashes.items()})
+    own = own.withColumns({f"all_{h}": _xor(F.col(h), zeros[h]) for h in _hashes} | {
+        f"down_{h}": F.when(F.col("flags.longer"), F.transform("words", down(make))) for h, make in _hashes.items()
+    })
+    return own.withColumns({
+        f"move_{h}": F.when(F.col("flags.longer"), _running(F.zip_with(h, f"down_{h}", lambda x, y: x.bitwiseXOR(y)), zeros[h])) for h in _hashes
+    } | {f"all_down_{h}": _xor(F.col(f"down_{h}"), zeros[h]) for h in _hashes})
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """key, spot, role and vkey. Role s: word j replaced; role a: word j taken out of the
-    longer line; role b: a gap before word j of the shorter line, or at its end. A key is
-    made of the words' sums of hashes by place: from the start before word j, and from the
-    end after it."""
+    """key, spot, role and the hashed key (vkey, check). Role s: word j replaced; role a: the
+    longer line without word j; role b: the shorter line as it is."""
     c = F.col
-    zero = F.lit(0).cast("long")
-    end = F.struct(c("n").alias("j"), c("fs.s").alias("before"), zero.alias("after"), zero.alias("from"))
-    item = lambda x, j: F.struct(
-        j.alias("j"), F.get(c("fs.a"), j).alias("before"),
-        (c("bs.s") - F.get(c("bs.a"), j) - x["b"]).alias("after"), (c("bs.s") - F.get(c("bs.a"), j)).alias("from"),
-    )
-    spread = lines.select("key", "spot", "flags", "n", F.explode(F.concat(F.transform("x", item), F.array(end))).alias("i")).select("key", "spot", "flags", "n", "i.*")
-    inside = c("j") < c("n")
-    made = F.array_compact(F.array(
-        F.when(c("flags.same") & inside, F.struct(F.lit("s").alias("role"), F.xxhash64(F.lit("s"), "n", "j", "before", "after").alias("vkey"))),
-        F.when(c("flags.longer") & inside, F.struct(F.lit("a").alias("role"), F.xxhash64(F.lit("g"), c("n") - 1, "j", "before", "after").alias("vkey"))),
-        F.when(c("flags.shorter"), F.struct(F.lit("b").alias("role"), F.xxhash64(F.lit("g"), "n", "j", "before", "from").alias("vkey"))),
-    ))
-    return spread.select("key", "spot", F.explode(made).alias("v")).select("key", "spot", "v.role", "v.vkey")
+    row = lambda role, vkey, check: F.struct(F.lit(role).alias("role"), vkey.alias("vkey"), check.alias("check"))
+    none = F.array().cast("array<struct<role:string,vkey:bigint,check:int>>")
+    places = F.sequence(F.lit(0), c("n") - 1)
+    without = lambda h, j: c(f"all_{h}").bitwiseXOR(F.get(c(h), j))
+    closed = lambda h, j: c(f"all_down_{h}").bitwiseXOR(F.get(c(f"move_{h}"), j)).bitwiseXOR(F.get(c(f"down_{h}"), j))
+    replaced = F.transform(places, lambda j: row("s", F.xxhash64(F.lit("s"), c("n"), j, without("f", j)), without("g", j)))
+    taken = F.transform(places, lambda j: row("a", F.xxhash64(F.lit("g"), c("n") - 1, closed("f", j)), closed("g", j)))
+    whole = F.array(row("b", F.xxhash64(F.lit("g"), c("n"), c("all_f")), c("all_g")))
+    made = F.concat(*(F.when(c(f"flags.{flag}"), x).otherwise(none) for flag, x in (("same", replaced), ("longer", taken), ("shorter", whole))))
+    return lines.select("key", "spot", F.explode(made).alias("v")).select("key", "spot", "v.*")
 
 
 def _within_one_edit(x: Column, y: Column) -> Column:
@@ -135,9 +151,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     same_text = (F.col("ref") == F.col("r")) & F.col("id").eqNullSafe(F.col("i"))
 
     # 1. distinct lines
-    split = split.withColumn("words", _words(F.col("normal"))).withColumn("n", F.size("words"))
-    n, words = F.col("n"), F.col("words")
-    halves = F.when(n >= near_words, F.struct(n, *(_half(words, k, s).alias(f"{s}{i}") for i, k in enumerate((n, n - 1)) for s in ("head", "tail"))))
+    split = split.withColumn("n", _n_words(F.col("normal")))
+    n, normal = F.col("n"), F.col("normal")
+    halves = F.when(n >= near_words, F.struct(n, *(_half(normal, k, s).alias(f"{s}{i}") for i, k in enumerate((n, n - 1)) for s in ("head", "tail"))))
     distinct = cut(
         split.select("key", spot.alias("at"), halves.alias("h")).groupBy("key").agg(F.min("at").alias("spot"), F.min("h").alias("h"))
     )
@@ -172,17 +188,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         .select("x.*", _words(_normal(F.col("l")[F.col("x.spot.pos")])).alias("words"))
         .withColumn("n", F.size("words"))
     )
-    lines = cut(
-        lines.withColumn("x", F.transform("words", lambda w, j: F.struct(_forward(w, j).alias("f"), _backward(w, n - 1 - j).alias("b"))))
-        .withColumns({"fs": _running(F.col("x"), "f"), "bs": _running(F.col("x"), "b")})
-    )
+    summed = cut(_summed(lines).drop("words"))
 
     # 3. the deletion neighbourhood
-    variants = _variants(lines)
+    variants = _variants(summed)
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("spot"))).alias(role)
-    earliest = variants.groupBy("vkey").agg(least("s"), least("a"), least("b"), F.count("*").alias("c")).where("c > 1")
+    earliest = variants.groupBy("vkey", "check").agg(least("s"), least("a"), least("b"), F.count("*").alias("c")).where("c > 1")
     partner = F.when(F.col("role") == "s", F.col("s")).when(F.col("role") == "a", F.col("b")).otherwise(F.col("a"))
-    found = variants.join(earliest, "vkey").withColumn("partner", partner).where("partner < spot").select("key", "partner").distinct()
+    found = variants.join(earliest, ["vkey", "check"]).withColumn("partner", partner).where("partner < spot").select("key", "partner").distinct()
 
     # 4. verified
     ours = found.join(lines.select("key", F.col("words").alias("own_words")), "key")
