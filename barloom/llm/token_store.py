@@ -32,15 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.byte_bpe import byte_characters
-from barloom.llm.common import file_broadcast, ship
+from barloom.llm.common import cut, file_broadcast, ship
 
 #: Rolling hash: ids in the window, and one cut in 2**CUT_BITS ids; least and most ids of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 128, 8192
-CACHE_WORDS = 350_000
+#: Words in a generation of a worker's memory; the last generation is kept besides.
+CACHE_WORDS = 120_000
+#: Leaves of a node's subtree that are hashed together.
+FAN = 1024
 #: The steps of a tokenizer whose words can be encoded one by one.
 WORD_STEPS = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
 _odd_space = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
@@ -66,48 +70,50 @@ class WordBpe:
             steps = None
         self.by_word = steps == WORD_STEPS
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.model, self.chars = self.tokenizer.model, byte_characters()
-        self.seen: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.model, self.chars, self.pieces = self.tokenizer.model, byte_characters(), regex.compile(WORD_STEPS[2]).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Words and their pieces: a generation and the one before it, so that common ones stay."""
+        self.words, self.old_words, self.parts, self.old_parts = {}, {}, {}, {}
 
     def _full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """The ids of lower-case letters, or of one punctuation mark, by the model alone."""
-        ids = self.letters.get(word)
+    def _part(self, part: str) -> bytes:
+        """The ids of one piece in lower case, by the model alone."""
+        ids = self.parts.get(part)
         if ids is None:
-            if len(self.letters) >= CACHE_WORDS:
-                self.letters.clear()
-            chars = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.chars)
-            ids = self.letters[word] = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+            ids = self.old_parts.get(part)
+            if ids is None:
+                chars = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.chars)
+                ids = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+            self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         low = word.lower()
-        near = low.isascii() or max(low) < "ɐ"
-        if near and low.isalpha():
-            ids = self._letters(low)
-        elif near and low[-1] in ".,;:!?" and low[:-1].isalpha():
-            ids = self._letters(low[:-1]) + self._letters(low[-1])
-        else:
-            ids = self._full(word)
-        if len(word) < 64:
-            if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            self.seen[word] = ids
-        return ids
-
-    def forget(self) -> None:
-        self.seen.clear()
-        self.letters.clear()
+        if low.isascii() or max(low) < "ɐ":  # nothing below that composes
+            return self._part(low) if low.isalpha() else b"".join([self._part(x) for x in self.pieces(low)])
+        return self._full(word)
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.frombuffer(self._full(t or ""), dtype="<u4") for t in texts]
+        split = [None if _odd_space.search(t or "") else (t or "").split() for t in texts]
+        words, old = self.words, self.old_words
+        for w in set().union(*(x for x in split if x is not None)).difference(words):
+            words[w] = old.get(w) or self._word(w)
+        ids_of = words.__getitem__
+        out = [np.frombuffer(self._full(t) if x is None else b"".join(map(ids_of, x)), dtype="<u4") for t, x in zip(texts, split)]
+        if len(words) > CACHE_WORDS:
+            self.old_words, self.words = words, {}
+        if len(self.parts) > CACHE_WORDS:
+            self.old_parts, self.parts = self.parts, {}
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        if not self.by_word or _odd_space.search(text):
-            return np.frombuffer(self._full(text), dtype="<u4")
-        get, make = self.seen.get, self._word
-        return np.frombuffer(b"".join([get(w) or make(w) for w in text.split()]), dtype="<u4")
+        return self.encode_all([text])[0]
 
 
 _tokenizers: dict[str, WordBpe] = {}
@@ -120,16 +126,23 @@ def tokenizer_of(file: bytes) -> WordBpe:
     return _tokenizers[key]
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of an id stream end."""
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids says that a chunk may end.
+    Streams may be joined: a chunk has more than WINDOW ids, so that no cut looks back over
+    the start of its own."""
     n, h = len(ids), np.zeros(len(ids), dtype="u8")
     power = 0x9E3779B97F4A7C15
     wide = ids.astype("u8") + np.uint64(1)
     for k in range(min(WINDOW, n)):
         h[k:] += wide[: n - k] * np.uint64(power)
         power = power * 0xC2B2AE3D27D4EB4F % (1 << 64)
+    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def chunk_ends(n: int, points: list[int]) -> list[int]:
+    """Where the chunks of a stream of n ids end, given its cut points."""
     ends, last = [], 0
-    for p in (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
+    for p in points:
         while p - last > MOST:
             last += MOST
             ends.append(last)
@@ -146,12 +159,36 @@ def address(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
 
+def _merkle_levels(leaves: list[bytes]) -> list[list[bytes]]:
+    levels = [[address(b"\x00" + x) for x in leaves] or [address(b"")]]
+    while len(levels[-1]) > 1:
+        nodes = levels[-1]
+        levels.append([address(b"\x01" + b"".join(nodes[i : i + 2])) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)])
+    return levels
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Pairs are hashed up to one node; an odd node goes up as it is."""
-    nodes = [address(b"\x00" + x) for x in leaves] or [address(b"")]
-    while len(nodes) > 1:
-        nodes = [address(b"\x01" + b"".join(nodes[i : i + 2])) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
-    return nodes[0]
+    return _merkle_levels(leaves)[-1][0]
+
+
+def merkle_proof(leaves: list[bytes], at: int) -> list[tuple[str, bytes]]:
+    """The nodes beside the way from a leaf up to the root, and their sides: all that is
+    needed to prove the leaf without the others."""
+    proof = []
+    for nodes in _merkle_levels(leaves)[:-1]:
+        if at ^ 1 < len(nodes):
+            proof.append(("left" if at & 1 else "right", nodes[at ^ 1]))
+        at //= 2
+    return proof
+
+
+def proven_root(leaf: bytes, proof: list[tuple[str, bytes]]) -> bytes:
+    """The root that a leaf and its proof lead to."""
+    node = address(b"\x00" + leaf)
+    for side, other in proof:
+        node = address(b"\x01" + (other + node if side == "left" else node + other))
+    return node
 
 
 def _shift_tables() -> np.ndarray:
@@ -195,10 +232,14 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, take, cols = batch.slice(at, 256), [], [[] for _ in range(7)]
-                for k, text in enumerate(part.column(1)):
-                    ids = np.append(bpe.encode(text.as_py()), np.uint32(end_id)).astype("<u4" if bpe.wide else "<u2")
+                kind = "<u4" if bpe.wide else "<u2"
+                streams = [np.append(ids, np.uint32(end_id)).astype(kind) for ids in bpe.encode_all(part.column(1).to_pylist())]
+                points = cut_points(np.concatenate(streams))
+                begin = 0
+                for k, ids in enumerate(streams):
+                    a, b = np.searchsorted(points, (begin, begin + len(ids)), side="right")
                     first = 0
-                    for seq, end in enumerate(chunk_ends(ids)):
+                    for seq, end in enumerate(chunk_ends(len(ids), (points[a:b] - begin).tolist())):
                         raw = ids[first:end].tobytes()
                         key = address(raw)
                         payload = None
@@ -210,6 +251,7 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
                             c.append(v)
                         first = end
                     row += 1
+                    begin += len(ids)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))],
@@ -232,10 +274,12 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
 
     schema = f"id {id_type}, row long, seq int, total long, n long, after long, address binary, payload binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows with a payload meet by address; mere uses of a chunk may go anywhere
+    spread = F.when(F.col("payload").isNull(), F.pmod("row", F.lit(1 << 10)))
     (
         df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .mapInArrow(encode, schema)
-        .repartition(parts, "address")
+        .repartition("address", spread)
         .mapInArrow(once, schema)
         .write.parquet(f"{path}/chunks")
     )
@@ -246,14 +290,16 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary())], names=[*batch.schema.names, "root"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, rank = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             n = batch.column(1).to_numpy()
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(starts), pa.array([part] * len(n), pa.int32())], names=[*batch.schema.names, "local_start", "part"]
+                [*batch.columns, pa.array(starts), pa.array([part] * len(n), pa.int32()), pa.array(np.arange(rank, rank + len(n)))],
+                names=[*batch.schema.names, "local_start", "part", "rank"],
             )
+            rank += len(n)
 
     listed = F.sort_array(F.collect_list(F.struct("seq", "address", "n")))
     recipe = f"id {id_type}, total long, row long, addresses array<binary>, lengths array<long>, root binary"
@@ -265,7 +311,7 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
         .mapInArrow(rooted, recipe)
         .repartitionByRange(parts, "id", "root", "row")
         .sortWithinPartitions("id", "root", "row")
-        .mapInArrow(placed, recipe + ", local_start long, part int")
+        .mapInArrow(placed, recipe + ", local_start long, part int, rank long")
         .write.parquet(f"{path}/placed")
     )
     parted = spark.read.parquet(f"{path}/placed")
@@ -277,21 +323,30 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
         before += r["ids"]
     offsets = spark.createDataFrame(rows, "part int, start long, ids long, documents long")
     parted.join(F.broadcast(offsets.select("part", "start")), "part").select(
-        F.col("id").alias("doc"), "row", (F.col("start") + F.col("local_start")).alias("start"), F.col("total").alias("n_tokens"), "addresses", "lengths", "root", "part"
+        F.col("id").alias("doc"), "row", (F.col("start") + F.col("local_start")).alias("start"), F.col("total").alias("n_tokens"), "addresses", "lengths", "root", "part", "rank"
     ).write.parquet(f"{path}/recipes")
     roots = _part_roots(spark.read.parquet(f"{path}/recipes"))
     offsets.join(roots, "part").write.parquet(f"{path}/manifest")
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """The Merkle root of each part, over its documents' roots in order of their starts. A
-    leaf stands for a run of 1024 documents, so that no part is gathered whole."""
-    run = F.floor(F.col("start") / F.lit(1 << 20))
-    runs = recipes.groupBy("part", run.alias("run")).agg(F.sort_array(F.collect_list(F.struct("start", "root"))).alias("x"))
-    hashed = runs.select("part", "run", F.unhex(F.sha2(F.aggregate("x.root", F.lit(b""), lambda a, r: F.unhex(F.md5(F.concat(a, r)))), 256)).alias("h"))
-    return hashed.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("run", "h"))).alias("x")).select(
-        "part", F.sha2(F.aggregate("x.h", F.lit(b""), lambda a, r: F.unhex(F.md5(F.concat(a, r)))), 256).alias("part_root")
-    )
+    """part and part_root: the Merkle root of each part over its documents' roots, by their
+    rank. Each round replaces every FAN neighbours by their root, so that no task holds more
+    than these of a part."""
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [merkle_root([y["root"] for y in x]) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roots, pa.binary())], names=["part", "rank", "root"])
+
+    level = recipes.select("part", "rank", "root")
+    while True:
+        level = cut(
+            level.groupBy("part", F.floor(F.col("rank") / FAN).alias("up")).agg(F.sort_array(F.collect_list(F.struct("rank", "root"))).alias("x"))
+            .mapInArrow(up, "part int, rank long, root binary")
+        )
+        if not level.agg(F.max("rank")).first()[0]:
+            return level.select("part", F.col("root").alias("part_root"))
 
 
 def read_chunks(spark: SparkSession, path: str, wide: bool) -> DataFrame:
