@@ -1,14 +1,16 @@
 """URL filters: hand-written host rules first, then association rules mined from labels.
 
 Every URL becomes a set of tokens (host suffixes, path words, query keys).
-FP-growth over the labelled URLs, each with one more item for its label, mines token
-combinations; those that imply the bad label with enough support and confidence become
-rules. A rule is found through an inverted index: each of its tokens leads to it, and it
-fits a URL that has all of them.
-
-Null URLs and URLs without :// have empty host and path, no tokens, and are allowed.
-Repeated rows come back each, and hot URLs are judged once. Empty tables give empty
-results; without labels no rule is mined. Only the named columns are read.
+FP-growth over all labelled URLs, each with one more item for its label, mines token
+combinations. Those that imply a label become rules if enough URLs have them (support),
+enough of these have the label (confidence), and more of these than of all URLs (lift). A
+rule is found through an inverted index: each of its tokens leads to it, and it fits a URL
+that has all of them. Of the rules that fit, the one of the largest lift decides, then of
+the largest confidence, then one that blocks.
+
+Null URLs and URLs without :// have empty host and path, no tokens, and are allowed, as is
+a URL that no rule fits. Repeated rows come back each, and hot URLs are judged once. Empty
+tables give empty results; without labels no rule is mined. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BAD = "label=bad"
-FIT_ROWS = 200_000
+from barloom.llm.common import cut
+
+#: Items of the labels in the baskets.
+BAD, GOOD = "label=bad", "label=good"
+MIN_CONFIDENCE, MIN_LIFT = 0.8, 1.1
 
 
 @dataclass(frozen=True)
@@ -65,45 +70,50 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, mark(plain, "p="), mark(keys, "q=")))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.01, min_confidence: float = 0.8, min_count: int = 20, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """rules(rule_id, tokens, confidence, support) for the bad label, by FP-growth on at most
-    fit_rows labelled URLs (those whose hash comes first). A rule holds for a share of
-    min_support of them and for min_count at least. Tokens that fewer bad URLs have can be
-    in no rule and are left out. Tokens of the very same URLs are mined as one and stand for
-    each other in the rules, so that each such choice is a rule; nothing else is left out."""
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.01, min_confidence: float = MIN_CONFIDENCE, min_count: int = 20, min_lift: float = MIN_LIFT, labels: tuple[str, ...] = (BAD,)) -> DataFrame:
+    """rules(rule_id, label, tokens, confidence, lift, support) for the labels, by FP-growth on
+    all labelled URLs. A rule holds for a share of min_support of them and for min_count at
+    least. Tokens that fewer URLs of each label have can be in no rule and are left out.
+    Tokens of the very same URLs are mined as one and stand for each other in the rules, so
+    that each such choice is a rule; nothing else is left out. A rule whose tokens include
+    those of another rule of its label is not kept."""
     from pyspark.ml.fpm import FPGrowth
 
-    sample = (
+    rows = cut(
         labelled.where(F.col(bad_col).isNotNull())
-        .select(tokens_of(F.col(url_col)).alias("t"), F.col(bad_col).alias("bad"), F.xxhash64(url_col).alias("h"))
-        .orderBy("h")
-        .limit(fit_rows)
+        .select(tokens_of(F.col(url_col).cast("string")).alias("t"), F.col(bad_col).cast("boolean").alias("bad"))
         .withColumn("r", F.monotonically_increasing_id())
-        .cache()
     )
-    n = max(1, sample.count())
+    n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    n, share = max(1, n), {BAD: n_bad / max(1, n), GOOD: 1 - n_bad / max(1, n)}
     # a hair less, so that the count of it does not round up
     min_support = min(1.0, max(min_support, min_count / n)) * (1 - 1e-12)
-    spread = sample.select("r", "bad", F.explode("t").alias("token"))
+    spread = rows.select("r", "bad", F.explode("t").alias("token"))
     places = [F.bit_xor(F.xxhash64("r", F.lit(salt))).alias(f"p{salt}") for salt in (0, 1)]
-    often = spread.groupBy("token").agg(F.count("*").alias("c"), F.count_if("bad").alias("b"), *places).where(F.col("b") >= min_support * n)
-    classes = often.groupBy("c", "p0", "p1").agg(F.min("token").alias("token"), F.collect_list("token").alias("alike")).select("token", "alike").cache()
+    counted = {BAD: F.count_if("bad"), GOOD: F.count_if(~F.col("bad"))}
+    most = F.greatest(*(counted[x] for x in labels), F.lit(0)).alias("b")
+    often = spread.groupBy("token").agg(F.count("*").alias("c"), most, *places).where(F.col("b") >= min_support * n)
+    classes = cut(often.groupBy("c", "p0", "p1").agg(F.min("token").alias("token"), F.collect_list("token").alias("alike")).select("token", "alike"))
     held = spread.join(classes, "token").groupBy("r").agg(F.collect_list("token").alias("x"))
     none = F.array().cast("array<string>")
-    baskets = sample.join(held, "r", "left").select(
-        F.concat(F.coalesce("x", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)).alias("items")
+    marked = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
+    baskets = rows.join(held, "r", "left").select(
+        F.concat(F.coalesce("x", none), F.when(marked.isin(*labels), F.array(marked)).otherwise(none)).alias("items")
     )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = (
-        model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-        .select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-        .select(F.xxhash64(F.array_join("tokens", " ")).alias("rule_id"), "tokens", "confidence", "support")
+    found = (
+        model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].isin(*labels))
+        .where(F.size(F.array_intersect("antecedent", F.array(F.lit(BAD), F.lit(GOOD)))) == 0)
+        .select(F.col("consequent")[0].alias("label"), F.sort_array("antecedent").alias("tokens"), "confidence", "support")
+        .withColumn("lift", F.col("confidence") / F.when(F.col("label") == BAD, share[BAD]).otherwise(share[GOOD]))
+        .where((F.col("lift") >= min_lift) | (F.col("confidence") == 1))
     )
-    # a rule whose tokens include those of another adds no URL
+    number = F.xxhash64("label", F.array_join("tokens", " ")).alias("rule_id")
+    rules = cut(found.select(number, "label", "tokens", "confidence", "lift", "support"))
     short, long = rules.alias("short"), rules.alias("long")
-    index = long.select(F.explode("tokens").alias("token"), "rule_id", "tokens")
-    first = short.select(F.col("tokens")[0].alias("token"), F.col("rule_id").alias("other"), F.col("tokens").alias("fewer"))
-    covered = index.join(first, "token").where(
+    index = long.select(F.explode("tokens").alias("token"), "rule_id", "label", "tokens")
+    first = short.select(F.col("tokens")[0].alias("token"), "label", F.col("tokens").alias("fewer"))
+    covered = index.join(first, ["token", "label"]).where(
         (F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0)
     )
     least = rules.join(covered.select("rule_id").distinct(), "rule_id", "left_anti")
@@ -112,46 +122,52 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
         F.col("sets"), F.array(none),
         lambda made, alike: F.flatten(F.transform(made, lambda m: F.transform(alike, lambda t: F.concat(m, F.array(t))))),
     )
+    own = ["label", "confidence", "lift", "support"]
     return (
-        least.select("rule_id", "confidence", "support", F.explode("tokens").alias("token"))
+        least.select("rule_id", *own, F.explode("tokens").alias("token"))
         .join(classes, "token")
-        .groupBy("rule_id", "confidence", "support")
+        .groupBy("rule_id", *own)
         .agg(F.collect_list("alike").alias("sets"))
-        .select(F.explode(choices).alias("tokens"), "confidence", "support")
-        .select(F.sort_array("tokens").alias("tokens"), "confidence", "support")
-        .select(F.xxhash64(F.array_join("tokens", " ")).alias("rule_id"), "tokens", "confidence", "support")
+        .select(F.explode(choices).alias("tokens"), *own)
+        .select(F.sort_array("tokens").alias("tokens"), *own)
+        .select(number, "label", "tokens", "confidence", "lift", "support")
     )
 
 
 def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Distinct URLs that a mined rule fits, with the best confidence, through the index."""
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    """Distinct URLs that a mined rule fits, with the label, confidence and lift of the rule
+    that decides, through the index."""
+    own = ["rule_id", "label", "confidence", "lift"]
+    index = rules.select(*own, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    best = F.max(F.struct("lift", "confidence", (F.col("label") == BAD).alias("bad"), "label"))
     return (
-        urls.select(url_col)
-        .where(F.col(url_col).isNotNull())
+        urls.select(F.col(url_col).alias("url"))
+        .where("url is not null")
         .distinct()
-        .select(url_col, F.explode(tokens_of(F.col(url_col))).alias("token"))
+        .select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
         .join(index, "token")
-        .groupBy(url_col, "rule_id", "confidence", "size")
+        .groupBy("url", *own, "size")
         .agg(F.count("*").alias("n"))
         .where("n = size")
-        .groupBy(url_col)
-        .agg(F.max("confidence").alias("confidence"))
+        .groupBy("url")
+        .agg(best.alias("best"))
+        .select(F.col("url").alias(url_col), "best.label", "best.confidence", "best.lift")
     )
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[HostRule], id_col: str = "page_id", url_col: str = "url", bad_col: str = "bad", **mining) -> DataFrame:
-    """id, host, path, rule, verdict and the confidence of the mined rule that fits (or null)."""
+    """id, host, path, rule, verdict, and the label, confidence and lift of the mined rule that
+    decides where no host rule does (null where none fits)."""
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    mined = match(urls, mine(labelled, url_col, bad_col, **mining), "url")
+    mined = match(urls, mine(labelled, url_col, bad_col, labels=(BAD, GOOD), **mining), "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     text, verdict = host_rule(F.col("host"), F.col("path"), rules)
     return (
         urls.join(mined, "url", "left")
-        .select("id", host.alias("host"), path.alias("path"), "confidence")
+        .select("id", host.alias("host"), path.alias("path"), "label", "confidence", "lift")
         .select(
             F.col("id").alias(id_col), "host", "path", text.alias("rule"),
-            F.coalesce(verdict, F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-            "confidence",
+            F.coalesce(verdict, F.when(F.col("label") == BAD, "block").otherwise("allow")).alias("verdict"),
+            "label", "confidence", "lift",
         )
     )
