@@ -1,12 +1,14 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every file is one row (path, text). A blob is a distinct text, addressed
-by its SHA-256. The ledger holds one row for each pair of blob and rule version scanned so
-far, with the findings. A run scans only pairs that the ledger lacks, reads each new blob
-once however many paths carry it, and joins all findings back to the paths.
+by its SHA-256. The ledger is a stored table with one row for each pair of blob and rule
+version scanned so far, with the findings. update scans only pairs that the ledger lacks,
+reads each new blob once however many paths carry it, and appends; findings joins the
+ledger back to all paths. A ledger has one writer at a time.
 
 Nulls count as empty texts, and empty texts give no spans. Repeated rows come back each.
-Texts of any length are scanned whole. Only the named columns are read.
+Texts of any length are scanned whole. Empty tables add nothing and give an empty result.
+Only the named columns are read, so that extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import ship
@@ -75,25 +77,28 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LEDGER = "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scan(df: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings of every row, new ledger rows).
+def _blobs(df: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(F.col(path_col).alias("path"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
 
-    findings: the path, n_assign, n_access, n_hex, base_sha256, spans and blob. Ledger rows
-    carry rule_version besides; append them to the ledger that the next run gets. A text is
-    sent over the network once, to the row that stands for its blob; ties between rows of
-    the same text go to the smallest path, so that one key may hold any number of copies.
+
+def read_ledger(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """What the ledger knows under a rule version."""
+    return spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
+
+
+def update(df: DataFrame, ledger: str, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> None:
+    """Scans the blobs of df that the ledger lacks under rule_version and appends them to it.
+    A missing ledger is made.
+
+    A text is sent over the network once, to the row that stands for its blob: of rows of the
+    same text, that of the smallest path. One key may thus hold any number of copies.
     """
-    ship(df.sparkSession)
-    blobs = df.select(
-        F.col(path_col).alias("path"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("blob", F.sha2("text", 256))
-    keys = blobs.select("path", "blob")
-    first = keys.groupBy("blob").agg(F.min("path").alias("path"))
-    known = None
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version).drop("rule_version")
-        first = first.join(known.select("blob"), "blob", "left_anti")
+    spark = df.sparkSession
+    ship(spark)
+    spark.createDataFrame([], LEDGER + ", rule_version string").write.mode("ignore").parquet(ledger)
+    blobs = _blobs(df, path_col, text_col)
+    first = blobs.groupBy("blob").agg(F.min("path").alias("path")).join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti")
     # a blob's row may be there twice (equal path and text), and a path may be null
     unseen = blobs.join(
         first.select(F.col("blob").alias("b"), F.col("path").alias("p")),
@@ -101,8 +106,13 @@ def scan(df: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id
         "left_semi",
     )
     new = unseen.select("blob", "text").mapInArrow(_scan, LEDGER).dropDuplicates(["blob"])
-    known = new if known is None else known.unionByName(new)
-    found = keys.join(known, "blob").select(
+    new.withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(ledger)
+
+
+def findings(df: DataFrame, ledger: str, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """The path, n_assign, n_access, n_hex, base_sha256, spans and blob of every row of df whose
+    blob the ledger knows."""
+    known = read_ledger(df.sparkSession, ledger, rule_version)
+    return _blobs(df, path_col, text_col).select("path", "blob").join(known, "blob").select(
         F.col("path").alias(path_col), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob"
     )
-    return found, new.withColumn("rule_version", F.lit(rule_version))
