@@ -15,8 +15,10 @@ against all items that share a shingle with it.
 
 Words are lower-cased and split at ASCII white space and punctuation; shingles have five
 words (all words of an item with fewer). Null and blank texts match nothing, nor do null or blank
-items. Items that repeat are reported each. Documents are read whole; repeated rows are
-judged each. Empty tables give empty results.
+items. Items that repeat, or share an id, are reported each. Documents are read whole;
+repeated rows are judged each. Empty tables give empty results. Other columns pass through
+untouched, whatever their names. A benchmark over the size limit of a broadcast is taken in
+blocks, one at a time, and the documents are read once for each block.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BROADCAST_LIMIT, ship
+from barloom.llm.common import BROADCAST_LIMIT, ship, work_path
 from barloom.llm.shingles import shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 24, 8
 SCREEN_BITS = 22
 SCREENED_BYTES = 1 << 20
+#: Windows times items of a length that are looked up at once.
+WINDOWS_BY_ITEMS = 1 << 22
 _close = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype="u1") ^ np.uint8(v)) <= RADIUS // BLOCKS) for v in range(256)]
 
 
@@ -66,24 +70,31 @@ class Items:
     size: int
     ids: list = field(default_factory=list)
     counts: list[Counter] = field(default_factory=list)
-    prints: list[int] = field(default_factory=list)
-    lists: list[dict[int, list[int]]] = field(default_factory=list)
+    prints: list[int] | np.ndarray = field(default_factory=list)
+    own: list[np.ndarray] = field(default_factory=list)
+    lists: list[np.ndarray] = field(default_factory=list)
     with_shingle: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
 
     def index(self) -> None:
         for i, c in enumerate(self.counts):
             for x in c:
                 self.with_shingle[x].append(i)
-        self.lists = [defaultdict(list) for _ in range(BLOCKS)]
-        for i, fp in enumerate(self.prints):
-            for b in range(BLOCKS):
-                for v in _close[fp >> (8 * b) & 255].tolist():
-                    self.lists[b][v].append(i)
+        self.own = [np.array(sorted(c), dtype="u8") for c in self.counts]
         self.prints = np.array(self.prints, dtype="u8")
+        # lists[b][v]: the items whose block b is within RADIUS / BLOCKS bits of v
+        self.lists = [np.zeros((256, len(self.ids)), dtype=bool) for _ in range(BLOCKS)]
+        for i, fp in enumerate(self.prints.tolist()):
+            for b in range(BLOCKS):
+                self.lists[b][_close[fp >> (8 * b) & 255], i] = True
 
-    def near(self, fp: int) -> list[int]:
-        found = {i for b in range(BLOCKS) for i in self.lists[b].get(fp >> (8 * b) & 255, ())}
-        return [i for i in sorted(found) if int(self.prints[i] ^ np.uint64(fp)).bit_count() <= RADIUS]
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a fingerprint and an item within the radius."""
+        listed = np.zeros((len(prints), len(self.ids)), dtype=bool)
+        for b in range(BLOCKS):
+            listed |= self.lists[b][(prints >> np.uint64(8 * b) & np.uint64(255)).astype("i8")]
+        k, i = np.nonzero(listed)
+        ok = np.bitwise_count(prints[k] ^ self.prints[i]) <= RADIUS
+        return k[ok], i[ok]
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -143,7 +154,8 @@ class Matcher:
         return found
 
     def find(self, words: np.ndarray) -> dict:
-        """item id -> (similarity, first word) of its best window, the earliest of equals."""
+        """For each item found, (its id, similarity, first word) of its best window, the
+        earliest of equals. Items are told apart by their length and number."""
         best: dict = {}
         for size, group in self.by_size.items():
             h, hits = self.hits(words, size)
@@ -174,19 +186,24 @@ class Matcher:
         that shares a shingle with it."""
         window = Counter(h.tolist())
         for i in sorted({i for x in h[hits].tolist() for i in own.with_shingle.get(x, ())}):
-            s = similarity(window, own.counts[i])
-            if s >= self.threshold and s > best.get(own.ids[i], (0, 0))[0]:
-                best[own.ids[i]] = (s, 0)
+            self._better(own, i, similarity(window, own.counts[i]), 0, best)
+
+    def _better(self, own: Items, i: int, s: float, at: int, best: dict) -> None:
+        if s >= self.threshold and s > best.get((own.words, i), (None, 0))[1]:
+            best[own.words, i] = (own.ids[i], s, at)
 
     def _run(self, own: Items, h: np.ndarray, a: int, b: int, width: int, best: dict) -> None:
-        for k, fp in enumerate(window_fingerprints(h[a : b + width], width).tolist()):
-            near = own.near(fp)
-            if near:
-                window = Counter(h[a + k : a + k + width].tolist())
-                for i in near:
-                    s = similarity(window, own.counts[i])
-                    if s >= self.threshold and s > best.get(own.ids[i], (0, 0))[0]:
-                        best[own.ids[i]] = (s, a + k)
+        h = h[a : b + width]
+        prints, step = window_fingerprints(h, width), max(1, WINDOWS_BY_ITEMS // len(own.ids))
+        # windows that share fewer shingles with the item can't reach the threshold
+        least = 2 * width * self.threshold / (1 + self.threshold) - 1e-9
+        for first in range(0, len(prints), step):
+            windows, items = own.near(prints[first : first + step])
+            for i in np.unique(items).tolist():
+                known = np.concatenate([[0], np.cumsum(np.isin(h, own.own[i]))])
+                at = windows[items == i] + first
+                for k in at[known[at + width] - known[at] >= least].tolist():
+                    self._better(own, i, similarity(Counter(h[k : k + width].tolist()), own.counts[i]), a + k, best)
 
 
 _matchers: dict[tuple, Matcher] = {}
@@ -200,33 +217,47 @@ def _matcher(held, threshold: float) -> Matcher:
     return _matchers[key]
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str) -> list:
-    """Broadcasts of the items, each within the size limit; there are as many blocks as the
-    benchmark needs."""
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator]:
+    """How many blocks the benchmark needs, and broadcasts of the blocks, each within the size
+    limit. A block is read when its turn comes."""
     spark = items.sparkSession
     rows = items.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = 1 + 8 * size // BROADCAST_LIMIT
-    held = []
-    for b in range(n):
-        part = [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
-        part.sort(key=lambda x: (str(x[0]), x[1]))
-        held.append(spark.sparkContext.broadcast((xxhash.xxh64_intdigest(repr(part).encode()), part)))
-    return held
+
+    def held() -> Iterator:
+        for b in range(n):
+            part = [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+            part.sort(key=lambda x: (str(x[0]), x[1]))
+            yield spark.sparkContext.broadcast((xxhash.xxh64_intdigest(repr(part).encode()), part))
+
+    return n, held()
+
+
+def _written(df: DataFrame, n: int, held) -> DataFrame:
+    """df, made with a block's broadcast. Of several blocks each is written before the next one
+    is read, and its broadcast is let go."""
+    if n == 1:
+        return df
+    path = work_path(df.sparkSession, "decontamination")
+    df.write.parquet(path)
+    held.unpersist()
+    return df.sparkSession.read.parquet(path)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, item, similarity, first_word and n_words of the best window of every pair."""
+    """id, item, similarity, first_word of the best window of every document and item."""
     ship(docs.sparkSession)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, similarity double, first_word long"
     out = None
-    for held in _blocks(items, item_col, item_text_col):
+    n, blocks = _blocks(items, item_col, item_text_col)
+    for held in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             m = _matcher(held, threshold)
             for batch in batches:
-                found = [(k, i, s, w) for k, x in enumerate(m.find_all(batch.column(1).to_pylist())) for i, (s, w) in x.items()]
+                found = [(k, *x) for k, own in enumerate(m.find_all(batch.column(1).to_pylist())) for x in own.values()]
                 rows, ids, sims, at = zip(*found) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -241,6 +272,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                 )
 
         part = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+        part = _written(part, n, held)
         out = part if out is None else out.unionAll(part)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "first_word")
 
@@ -248,13 +280,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs in which no item is found, all columns as they are."""
     ship(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    for held in _blocks(items, item_col, item_text_col):
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    n, blocks = _blocks(items, item_col, item_text_col)
+    for held in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             m = _matcher(held, threshold)
             for batch in batches:
-                yield batch.filter(pa.array([not x for x in m.find_all(batch.column(at).to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in m.find_all(batch.column(at).cast(pa.string()).to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        docs = _written(docs.mapInArrow(run, docs.schema), n, held)
+    return docs.toDF(*names)
