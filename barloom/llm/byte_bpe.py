@@ -6,8 +6,8 @@ tokens of smaller rank becomes a merge, in the order of ranks. Texts are cut by
 pattern; each match is encoded by itself.
 
 Nulls count as empty texts, and empty texts give no ids. Repeated rows are encoded each.
-Texts of any length are taken whole. Only the named columns are read, so that extra
-columns of any name do no harm.
+Texts of any length are taken whole. Empty tables give empty results. Only the named
+columns are read, so that extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -107,76 +107,102 @@ def model_of(rank_file: bytes, pattern: str) -> ByteBpe:
     return _models[key]
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, row, schema: str, arrow) -> DataFrame:
+def _lists(made: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, made)], dtype="i4")
+    values = np.concatenate(made).astype("i4") if made else np.empty(0, dtype="i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(column) else []
+
+
+#: Rows that are encoded or decoded at once.
+PART_ROWS = 512
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """id, n_tokens, ids, the character offsets start and end of each id, and the text if it is
+    to be kept."""
     ship(df.sparkSession)
     held = file_broadcast(df.sparkSession, ranks_path)
+    names = ["id", "n_tokens", "ids", "starts", "ends", "text"][: 6 if keep_text else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(held.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = [row(model, t.as_py()) for t in part.column(1)]
-                cols = [part.column(0), *(pa.array(list(c), type=t) for c, t in zip(zip(*made), arrow))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", *(f"c{i}" for i in range(len(arrow)))])
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = [model.encode(t) for t in texts]
+                spans = [model.offsets(i, t.encode("utf-8", "replace")) for i, t in zip(ids, texts)]
+                columns = [
+                    part.column(0), pa.array([len(i) for i in ids], pa.int64()), _lists(ids),
+                    _lists([a for a, _ in spans]), _lists([b for _, b in spans]), pa.array(texts, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"id {id_type}, n_tokens long, ids array<int>, starts array<int>, ends array<int>" + ", text string" * keep_text
     return (
         df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {id_type}, " + ", ".join(f"c{i} {s.split()[1]}" for i, s in enumerate(schema.split(", "))))
-        .toDF(id_col, *(s.split()[0] for s in schema.split(", ")))
+        .mapInArrow(run, schema)
+        .withColumnRenamed("id", id_col)
     )
 
 
-def _encoded(model: ByteBpe, text: str | None):
-    ids = model.encode(text)
-    starts, ends = model.offsets(ids, (text or "").encode("utf-8", "replace"))
-    return len(ids), ids.astype("i4"), starts.astype("i4"), ends.astype("i4")
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids, and the character offsets start and end of each id."""
-    ints = pa.list_(pa.int32())
-    schema = "n_tokens long, ids array<int>, starts array<int>, ends array<int>"
-    return _rows(df, id_col, text_col, ranks_path, pattern, _encoded, schema, [pa.int64(), ints, ints, ints])
-
-
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id, decoded bytes and decoded text (bytes that are no UTF-8 become U+FFFD)."""
+    """id, decoded bytes, decoded text (bytes that are no UTF-8 become U+FFFD) and pieces: the
+    text that each id adds. A character that is split between ids comes with its last one."""
     ship(df.sparkSession)
     held = file_broadcast(df.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(held.value, pattern)
         for batch in batches:
-            data = [model.decode(ids.as_py() or []) for ids in batch.column(1)]
+            ids = _arrays(batch.column(1))
+            data = [model.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data])],
-                names=["id", "data", "text"],
+                [
+                    batch.column(0), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data], pa.string()),
+                    pa.array([model.decode_pieces(x) for x in ids], pa.list_(pa.string())),
+                ],
+                names=["id", "data", "text", "pieces"],
             )
 
     id_type = df.schema[id_col].dataType.simpleString()
     return (
         df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-        .mapInArrow(run, f"id {id_type}, data binary, text string")
-        .toDF(id_col, "data", "text")
+        .mapInArrow(run, f"id {id_type}, data binary, text string, pieces array<string>")
+        .withColumnRenamed("id", id_col)
     )
 
 
-def _round_trip(model: ByteBpe, text: str | None):
-    ids = model.encode(text)
-    packed = ids.tobytes()
-    back = model.decode(ids)
-    return len(ids), packed, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest(), back.decode("utf-8", "replace") == (text or "")
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Encodes with offsets, decodes the ids again, and returns id, n_tokens, the ids as
+    little-endian unsigned 32-bit integers (if they are to be kept), both digests, whether the
+    text came back and whether the offsets cover it from end to end."""
+    encoded = encode(df, ranks_path, pattern, id_col, text_col, keep_text=True)
+    held = file_broadcast(df.sparkSession, ranks_path)
+    names = ["id", "n_tokens", "ids_u32", "ids_sha256", "decoded_sha256", "same_text", "covered"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, digest = model_of(held.value, pattern), lambda x: hashlib.sha256(x).hexdigest()
+        for batch in batches:
+            texts, starts, ends = batch.column(5).to_pylist(), _arrays(batch.column(3)), _arrays(batch.column(4))
+            packed = [x.astype("<u4").tobytes() for x in _arrays(batch.column(2))]
+            back = [model.decode(np.frombuffer(x, dtype="<u4")) for x in packed]
+            covered = [
+                len(t) == 0 if not len(a) else a[0] == 0 and b[-1] == len(t) and bool((a[1:] <= b[:-1]).all()) for t, a, b in zip(texts, starts, ends)
+            ]
+            columns = [
+                batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(map(digest, packed), pa.string()), pa.array(map(digest, back), pa.string()),
+                pa.array([x.decode("utf-8", "replace") == t for x, t in zip(back, texts)], pa.bool_()), pa.array(covered, pa.bool_()),
+            ]
+            keep = [k for k, n in enumerate(names) if keep_ids or n != "ids_u32"]
+            yield pa.RecordBatch.from_arrays([columns[k] for k in keep], names=[names[k] for k in keep])
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Encodes, decodes the ids again, and returns id, n_tokens, the ids as little-endian
-    unsigned 32-bit integers, both digests and whether the text came back."""
-    schema = "n_tokens long, ids_u32 binary, ids_sha256 string, decoded_sha256 string, same_text boolean"
-    types = [pa.int64(), pa.binary(), pa.string(), pa.string(), pa.bool_()]
-    if keep_ids:
-        return _rows(df, id_col, text_col, ranks_path, pattern, _round_trip, schema, types)
-    drop = lambda x: (x[0], *x[2:])
-    row = lambda model, text: drop(_round_trip(model, text))
-    return _rows(df, id_col, text_col, ranks_path, pattern, row, ", ".join(drop(schema.split(", "))), list(drop(types)))
+    id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"id {id_type}, n_tokens long, " + "ids_u32 binary, " * keep_ids + "ids_sha256 string, decoded_sha256 string, same_text boolean, covered boolean"
+    return encoded.withColumnRenamed(id_col, "id").mapInArrow(run, schema).withColumnRenamed("id", id_col)
