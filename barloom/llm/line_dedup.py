@@ -134,9 +134,11 @@ def _within_one_edit(x: Column, y: Column) -> Column:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
-    """All columns of df, text_col without its dropped lines, and n_lines and n_dropped
-    (under the names line_dedup_lines and line_dedup_dropped)."""
+    """All columns of df, text_col without its dropped lines, and at the end
+    line_dedup_lines and line_dedup_dropped, how many lines the text has and loses."""
     ship(df.sparkSession)
+    names, df = df.columns, df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ref = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), ref.alias("ref"))
@@ -226,7 +228,5 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         F.array_join(F.filter("l", lambda x, i: F.get(F.col("f"), i) == "0"), "\n")
     )
     return marked.select(
-        *(out.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns),
-        F.size("l").alias("line_dedup_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).alias("line_dedup_dropped"),
-    )
+        *(out if c == text_col else F.col("row")[c] for c in df.columns), F.size("l"), F.coalesce(F.size("drops"), F.lit(0))
+    ).toDF(*names, "line_dedup_lines", "line_dedup_dropped")

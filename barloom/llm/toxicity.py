@@ -185,12 +185,13 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """The rows of df that score below 0.5, all columns as they are."""
     ship(df.sparkSession)
     held, at = df.sparkSession.sparkContext.broadcast((model.intercept, model.weights)), df.columns.index(text_col)
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scores(held, batch.column(at)) < 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def train_outside_fold(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
