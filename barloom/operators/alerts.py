@@ -14,8 +14,8 @@ INTERVALS = {"1m", "3m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "8h", "12h"
 
 def checked_settings(user_id: str, enabled: bool, above: float | None, below: float | None, interval: str, cooldown: int) -> dict:
     """The settings as a row, or ValueError: user of up to 128 characters, cooldown of 1 to
-    1440 minutes, a known interval, above over below where both are there."""
-    user, interval = (user_id or "").strip(), (interval or "").strip().lower()
+    1440 minutes, a known interval (blank: 1m), above over below where both are there."""
+    user, interval = (user_id or "").strip(), (interval or "").strip().lower() or "1m"
     if not user or len(user) > 128:
         raise ValueError("user_id")
     if not 1 <= cooldown <= 1440:
@@ -31,6 +31,14 @@ def put_settings(spark: SparkSession, stored: DataFrame, settings: dict, as_of)
     return upsert(stored, spark.createDataFrame([settings | {"updated_at": as_of}], ALERT_SETTINGS), ["user_id"])
 
 
+def settings_of(stored: DataFrame, user_id: str) -> DataFrame:
+    """A user's settings; ValueError for a user that no settings can have."""
+    user = (user_id or "").strip()
+    if not user or len(user) > 128:
+        raise ValueError("user_id")
+    return stored.where(F.col("user_id") == user)
+
+
 def price_hits(latest: DataFrame, settings: DataFrame) -> DataFrame:
     """latest(symbol, close, trigger_time_ms) against each user's thresholds."""
     hit = F.array_compact(F.array(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+import json
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,8 +59,11 @@ def _run(direction: str | None, count: int | None) -> Column:
 
 
 def _against_mean(c: str, period: int | None, multiplier: float | None, op: str | None) -> Column:
-    mean = F.avg(c).over(rows(-(period or 20), -1))
-    return (mean > 0) & compare(op, F.col(c), mean * (1.0 if multiplier is None else multiplier))
+    """False where period or multiplier is missing."""
+    if period is None or multiplier is None:
+        return F.lit(False)
+    mean = F.avg(c).over(rows(-period, -1))
+    return (mean > 0) & compare(op, F.col(c), mean * multiplier)
 
 
 def predicate(cond: Condition, stats: bool = False) -> Column:
@@ -74,10 +78,11 @@ def predicate(cond: Condition, stats: bool = False) -> Column:
         out = _against_mean("rng", cond.period, cond.multiplier, cond.operator)
     elif kind == "volume_compare":
         out = _against_mean("volume", cond.period, cond.multiplier, cond.operator)
-        named = {"previous": "vs_previous", "max10": "vs_max10"}.get(cond.reference or "")
-        if cond.reference == "sma" and (cond.period or 20) == 20:
+        reference = (cond.reference or "").lower()
+        named = {"prev": "vs_previous", "max10": "vs_max10"}.get(reference)
+        if reference == "sma" and cond.period == 20:
             named = "anomaly_ratio"
-        if stats and named:
+        if stats and named and cond.multiplier is not None:
             out = F.when(F.col(named).isNotNull(), compare(cond.operator, F.col(named), F.lit(m))).otherwise(out)
     elif kind == "body_ratio" and cond.value is not None:
         out = (rng > 0) & compare(cond.operator, ratio(body, rng), F.lit(cond.value), 1e-6)
@@ -96,6 +101,18 @@ def predicate(cond: Condition, stats: bool = False) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def parse_conditions(text: str | None) -> tuple[Condition, ...]:
+    """The conditions of a stored rule: a JSON array of objects whose names may be in any case.
+    Unknown names are passed over; blank text and text that is no such array give none."""
+    try:
+        found = json.loads(text or "[]")
+    except ValueError:
+        return ()
+    names = {f.name.lower(): f.name for f in fields(Condition)}
+    made = [{names[k.lower()]: v for k, v in x.items() if k.lower() in names and v is not None} for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+    return tuple(Condition(**({"type": ""} | x)) for x in made)
+
+
 @dataclass(frozen=True)
 class Rule:
     id: int
@@ -177,7 +194,7 @@ def candidates() -> list[tuple[Condition, ...]]:
         (wick("lower"), c("close_position", position="top_25")),
         (c("range_compare", operator="lt", reference="avg", period=5, multiplier=0.7), c("body_ratio", operator="gt", value=0.6)),
     ]
-    pairs = [(s[i], s[j]) for i in range(len(s)) for j in range(i + 1, min(i + 20, len(s)))][:1000]
+    pairs = [(s[i], s[j]) for i in range(len(s)) for j in range(i + 1, min(i + 20, len(s)))]
     return [(x,) for x in s] + pairs + fixed
 
 

@@ -9,6 +9,12 @@ from barloom.functions.scalar import interval_ms
 from barloom.operators.series import SERIES, index, lag
 
 
+def empty(bars: DataFrame, expected: DataFrame) -> DataFrame:
+    """An EMPTY issue for each expected series (symbol, timeframe) without a bar."""
+    lacking = expected.select(*SERIES).distinct().join(bars.select(*SERIES).distinct(), SERIES, "left_anti")
+    return lacking.select(*SERIES, F.lit(None).cast("long").alias("open_time_ms"), F.lit("EMPTY").alias("issue"), F.lit(0).cast("long").alias("missing"))
+
+
 def issues(bars: DataFrame, timeframe: str) -> DataFrame:
     """symbol, timeframe, open_time_ms, issue and missing (bars lacking before this one)."""
     width = interval_ms(timeframe, 0)

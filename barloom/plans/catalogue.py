@@ -13,6 +13,7 @@ from barloom.operators import features as ft
 from barloom.operators import indicators as ti
 from barloom.operators import metrics as mm
 from barloom.operators import patterns as pt
+from barloom.operators import reads as rd
 from barloom.operators import rules as ru
 from barloom.operators import scenarios as sc
 from barloom.operators import structure as st
@@ -272,6 +273,32 @@ def window_dataset(spark, d):
 ORACLE_SQL["window_dataset"] = ORACLE_SQL["window_dataset"].replace("round(list_sum(flatten(parts)) / 40, 6)", "round(list_sum(flatten(parts)) / 40, 3)")
 
 
+AROUND = f"""
+WITH {b.bars()}, asked AS (SELECT (min(open_time_ms) + max(open_time_ms)) // 2 AS t FROM bars WHERE symbol = 'ALL'),
+near AS (SELECT symbol, timeframe, open_time_ms, close, t FROM bars, asked WHERE symbol = 'ALL' AND open_time_ms BETWEEN t - 24 * 3600000 AND t + 12 * 3600000 ORDER BY open_time_ms LIMIT 37)
+SELECT symbol, timeframe, open_time_ms, {b.r("close")}, (SELECT open_time_ms FROM near ORDER BY abs(open_time_ms - t), open_time_ms LIMIT 1) AS resolved_time_ms FROM near"""
+
+
+@query(AROUND)
+def candles_around(spark, d):
+    """24 bars before and 12 after the middle of the series of all events."""
+    bars = fx.bars(spark, d)
+    low, high = bars.where("symbol = 'ALL'").agg(F.min("open_time_ms"), F.max("open_time_ms")).first()
+    return rd.bars_around(bars, "ALL", "1h", (low + high) // 2, 24, 12).select("symbol", "timeframe", "open_time_ms", "close", "resolved_time_ms")
+
+
+DATASET_PAGE = f"""
+WITH whole AS ({ORACLE_SQL["window_dataset"]}), own AS (SELECT * FROM whole WHERE symbol = 'ALL' AND label = 1)
+SELECT symbol, start_time_ms, end_time_ms, label, return_pct, (SELECT count(*) FROM own) AS total FROM own ORDER BY start_time_ms DESC LIMIT 20 OFFSET 20"""
+
+
+@query(DATASET_PAGE)
+def dataset_page(spark, d):
+    """The second page of twenty windows that rise."""
+    w = ft.window_dataset(feature_rows(spark, d), tg.price_targets(fx.bars(spark, d), "1h"), "1h", 5, "4h")
+    return rd.dataset_page(w, "ALL", "1h", 5, "4h", label=1, page=2, take=20).select("symbol", "start_time_ms", "end_time_ms", "label", "return_pct", "total")
+
+
 @query(None)
 def window_datasets(spark, d):
     targets = tb.stored(tg.price_targets(fx.bars(spark, d), "1h"), "targets")

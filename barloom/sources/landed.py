@@ -48,16 +48,27 @@ def forced_orders(payloads: DataFrame, symbol: str, json_col: str = "payload") -
 
 
 def feed(payloads: DataFrame, source_col: str = "source", xml_col: str = "payload") -> DataFrame:
-    """Articles of RSS and Atom payloads: the alternate link, else the first; blank links go."""
-    of = lambda path: F.xpath(F.col(xml_col), F.lit(path))
-    rss = payloads.select(source_col, F.explode(F.arrays_zip(
-        of("//item/title/text()").alias("title"), of("//item/link/text()").alias("link"), of("//item/description/text()").alias("summary"))).alias("x"))
-    alternate = of("//entry/link[@rel='alternate' or not(@rel)]/@href")
-    atom = payloads.select(source_col, F.explode(F.arrays_zip(
-        of("//entry/title/text()").alias("title"), alternate.alias("link"), of("//entry/summary/text()").alias("summary"))).alias("x"))
-    rows = rss.unionByName(atom).select(source_col, F.trim("x.title").alias("title"), F.substring(F.trim("x.link"), 1, 2000).alias("link"), F.substring(F.trim("x.summary"), 1, 4000).alias("summary"))
-    named = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise("(no title)")
-    return rows.where("link <> ''").select(F.sha2("link", 256).alias("id"), source_col, named.alias("title"), "link", "summary")
+    """Articles of RSS and Atom payloads, one by one, so that what an article lacks is null and
+    moves nothing. The alternate link, else the first one; articles with a blank link go. The
+    title has 2000 characters at most and the link 4000. A blank source is the feed's title,
+    else RSS."""
+    xml = F.coalesce(F.col(xml_col), F.lit(""))
+    first = lambda x, *paths: F.coalesce(*(F.nullif(F.trim(F.get(F.xpath(x, F.lit(p)), F.lit(0))), F.lit("")) for p in paths))
+    items = F.regexp_extract_all(xml, F.lit(r"(?s)(<(item|entry)[\s>].*?</\2>)"), F.lit(1))
+    own = F.regexp_replace(xml, r"(?s)<(item|entry)[\s>].*?</\1>", "")
+    own_title = F.nullif(F.trim(F.regexp_extract(own, r"(?s)<title[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</title>", 1)), F.lit(""))
+    source = F.coalesce(F.nullif(F.trim(F.col(source_col)), F.lit("")), own_title, F.lit("RSS"))
+    x = F.col("x")
+    # prefixes are declared outside of the item
+    plain = F.regexp_replace(F.regexp_replace(F.col("item"), r"<(/?)[\w.-]+:([\w.-]+)", "<$1other-$2"), r"\s[\w.-]+:[\w.-]+\s*=\s*(\"[^\"]*\"|'[^']*')", "")
+    rows = payloads.select(source.alias(source_col), F.explode(items).alias("item")).select(source_col, plain.alias("x")).select(
+        source_col,
+        F.substring(F.coalesce(first(x, "/*/title/text()"), F.lit("(no title)")), 1, 2000).alias("title"),
+        F.substring(first(x, "/item/link/text()", "/entry/link[@rel='alternate' or not(@rel)]/@href", "/entry/link/@href"), 1, 4000).alias("link"),
+        first(x, "/item/description/text()", "/entry/summary/text()").alias("summary"),
+        first(x, "/item/pubDate/text()", "/entry/published/text()").alias("published"),
+    )
+    return rows.where("link <> ''").select(F.sha2("link", 256).alias("id"), source_col, "title", "link", "summary", "published")
 
 
 def only_new(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
