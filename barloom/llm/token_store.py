@@ -25,14 +25,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +40,20 @@ from barloom.llm.common import cut, file_broadcast, ship
 
 #: Rolling hash: ids in the window, and one cut in 2**CUT_BITS ids; least and most ids of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 10, 128, 8192
-#: Words in a generation of a worker's memory; the last generation is kept besides.
+#: Pieces in a generation of a worker's memory; the last generation is kept besides.
 CACHE_WORDS = 300_000
+#: Texts that are encoded at once.
+BATCH_ROWS = 512
 #: Leaves of a node's subtree that are hashed together.
 FAN = 1024
 #: The steps of a tokenizer whose words can be encoded one by one.
 WORD_STEPS = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
-_odd_space = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　﻿]")
+#: White space outside ASCII's: texts that have some are encoded whole.
+_odd_space = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Characters that may compose with a neighbour, or have another lower case elsewhere.
+_composing = r"[\x{130}\x{180}-\x{10ffff}]"
+#: The pattern of WORD_STEPS, for Arrow: its white space is ASCII's, less the vertical tab.
+_piece = WORD_STEPS[2].replace(r"\s", r"\t-\r ")
 
 
 class WordBpe:
@@ -70,7 +76,7 @@ class WordBpe:
             steps = None
         self.by_word = steps == WORD_STEPS
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.model, self.chars, self.pieces = self.tokenizer.model, byte_characters(), regex.compile(WORD_STEPS[2]).findall
+        self.model, self.chars = self.tokenizer.model, byte_characters()
         self.forget()
 
     def forget(self) -> None:
@@ -82,36 +88,60 @@ class WordBpe:
 
     def _part(self, part: str) -> bytes:
         """The ids of one piece in lower case, by the model alone."""
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.old_parts.get(part)
+        chars = part if part.isascii() and part.isprintable() else part.encode("utf-8").decode("latin-1").translate(self.chars)
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+
+    def _look_up(self, keys: pa.Array, fresh: dict[str, bytes], old: dict[str, bytes], make) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys in a row, and how many each has; made where not remembered."""
+        names, found = keys.to_numpy(zero_copy_only=False).tolist(), []
+        for x in names:
+            ids = fresh.get(x)
             if ids is None:
-                chars = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.chars)
-                ids = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
-            self.parts[part] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        low = word.lower()
-        if low.isascii() or max(low) < "ɐ":  # nothing below that composes
-            return self._part(low) if low.isalpha() else b"".join([self._part(x) for x in self.pieces(low)])
-        return self._full(word)
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+                fresh[x] = ids = old.get(x) or make(x)
+            found.append(ids)
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), "i8", len(found)) // 4
+
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Arrow splits the texts into words and the distinct words into
+        pieces; Python sees each distinct piece of the batch once. Ids are put in place by
+        number, pieces to words and words to texts. Words that may compose go through all the
+        tokenizer's steps one by one, texts with odd white space as they are."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if not self.by_word:
-            return [np.frombuffer(self._full(t or ""), dtype="<u4") for t in texts]
-        split = [None if _odd_space.search(t or "") else (t or "").split() for t in texts]
-        words, old = self.words, self.old_words
-        for w in set().union(*(x for x in split if x is not None)).difference(words):
-            words[w] = old.get(w) or self._word(w)
-        ids_of = words.__getitem__
-        out = [np.frombuffer(self._full(t) if x is None else b"".join(map(ids_of, x)), dtype="<u4") for t, x in zip(texts, split)]
-        if len(words) > CACHE_WORDS:
-            self.old_words, self.words = words, {}
+            return [np.frombuffer(self._full(t), dtype="<u4") for t in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, _odd_space)
+        split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        hard = pc.match_substring_regex(words, _composing)
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.if_else(hard, "", words)), _piece, "\\0 "))
+        parts = pieces.flatten().dictionary_encode()
+        ids, sizes = self._joined(*self._look_up(parts.dictionary, self.parts, self.old_parts, self._part), parts.indices.to_numpy(), pieces.offsets.to_numpy())
+        alone = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
+        more, more_sizes = self._look_up(words.take(pa.array(alone)), self.words, self.old_words, self._full)
+        # the words in the order of their numbers: those encoded alone come last
+        order = np.arange(len(words))
+        order[alone] = len(words) + np.arange(len(alone))
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
+        flat, lengths = self._joined(ids, sizes, order[coded.indices.to_numpy()], split.offsets.to_numpy())
+        out = np.split(flat, np.cumsum(lengths)[:-1])
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.frombuffer(self._full(texts[k].as_py()), dtype="<u4")
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {}
         if len(self.parts) > CACHE_WORDS:
             self.old_parts, self.parts = self.parts, {}
         return out
 
+    @staticmethod
+    def _joined(ids: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of items made of numbered parts, and how many each item has: part p has the
+        next sizes[p] of ids; item i is numbers[offsets[i] : offsets[i + 1]]."""
+        n = sizes[numbers]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[numbers] - ends + n, n) + np.arange(int(n.sum()))
+        return ids[at], np.diff(np.append(0, ends)[offsets])
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
@@ -230,10 +260,10 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
         bpe, pack = tokenizer_of(held.value), zstandard.ZstdCompressor(level=1).compress
         row, sent = TaskContext.get().partitionId() << 36, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, take, cols = batch.slice(at, 256), [], [[] for _ in range(7)]
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part, take, cols = batch.slice(at, BATCH_ROWS), [], [[] for _ in range(7)]
                 kind = "<u4" if bpe.wide else "<u2"
-                streams = [np.append(ids, np.uint32(end_id)).astype(kind) for ids in bpe.encode_all(part.column(1).to_pylist())]
+                streams = [np.append(ids, np.uint32(end_id)).astype(kind) for ids in bpe.encode_all(part.column(1))]
                 points = cut_points(np.concatenate(streams))
                 begin = 0
                 for k, ids in enumerate(streams):
