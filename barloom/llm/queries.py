@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each over its whole table."""
+"""The registered queries of the thirteen operators: each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bm25, byte_bpe, decontam, line_dedup, secret_ledger, simhash, token_store, toxicity, url_rules, warc_zip
-from barloom.llm.common import table, work_path
+from barloom.llm import bm25, byte_bpe, chat, decontam, divergence, line_dedup, secret_ledger, simhash, spelling, token_store, toxicity, url_rules, warc_zip
+from barloom.llm.common import cut, table, work_path
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,67 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5b-\x60\x7b-\x7f]+') AS w
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), cells AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(DISTINCT term) AS v, sum(n) AS total FROM cells GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), totals AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM groups g LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (t.total + 5 * l.v) AS p
+  FROM totals t JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN cells c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 5) // (any_value(total) + 5 * any_value(v)) AS q
+  FROM cells JOIN langs USING (lang) GROUP BY lang, term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, (p - q)::BIGINT FROM shares s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows go to a new folder under spark.checkpoint.dir; the digests are read from them."""
+    marked = "\\### Assistant: </turn> ok"
+    convs = chat.with_conversation(table(spark, sf_dir, "conversations"), -7, [("user", marked), ("assistant", marked)])
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    written = chat.write_windows(convs, work_path(spark, "chat-windows"), ranks, public_tokenizers.PATTERN)
+    return chat.read_back(written)
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), min_length=5, min_count=3, slip_every=97)
+    return spelling.group_variants(cut(words))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op2_byte_bpe, op3_line_dedup, op4_url_rules, op5_token_store, op6_warc_zip, op7_secret_ledger, op8_toxicity_nb, op9_bm25_wand, op10_decontamination)
+    f.__name__: f for f in (op1_simhash_pivots, op2_byte_bpe, op3_line_dedup, op4_url_rules, op5_token_store, op6_warc_zip, op7_secret_ledger, op8_toxicity_nb, op9_bm25_wand, op10_decontamination, op11_source_divergence, op12_chat_windows, op13_spelling_groups)
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_warc_zip": OP6_SQL, "op9_bm25_wand": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_warc_zip": OP6_SQL, "op9_bm25_wand": OP9_SQL, "op11_source_divergence": OP11_SQL}
