@@ -1,16 +1,15 @@
-"""Technical indicators: frames in SQL windows, recursions in one ordered fold a series."""
+"""Technical indicators: frames in SQL windows over slices, recursions by affine maps of slices."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import ratio, utc_day
-from barloom.operators.series import KEY, SERIES, index, lag, rows, so_far, whole
-
-FOLDED = ["ema12", "ema26", "ema50", "ema200", "macd", "macd_signal", "macd_histogram", "rsi14", "atr14", "obv_ema50"]
+from barloom.operators import slices as sl
+from barloom.operators.recursions import folded
+from barloom.operators.series import KEY, SERIES, index, lag, rows
+from barloom.operators.slices import SLICE_BARS
 
 
 def zscore(c: str, n: int = 20):
@@ -24,102 +23,51 @@ def sma_ratio(c: str, n: int = 20):
     return F.when(index() >= n - 1, ratio(F.col(c), F.avg(c).over(rows(1 - n, 0))))
 
 
-def frame_indicators(bars: DataFrame) -> DataFrame:
-    """Adds Bollinger bands, session and rolling VWAP, OBV and true range to bars."""
+def frame_indicators(bars: DataFrame, slice_bars: int = SLICE_BARS) -> DataFrame:
+    """Adds Bollinger bands, session and rolling VWAP, OBV and true range to bars, and the
+    change of the close from the bar before.
+
+    Frames are of 24 bars at most and run inside slices with as many bars of halo; the session
+    runs inside its day; OBV is summed in its slice, on top of the sums of the slices before.
+    """
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    before = F.coalesce(lag("close"), F.col("open"))
-    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    day = Window.partitionBy(*SERIES, "_day").orderBy("open_time_ms").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(lag("close").isNull() | (F.col("close") > lag("close")), F.col("volume")).when(
-        F.col("close") < lag("close"), -F.col("volume")
-    ).otherwise(0.0)
-    mean, std = F.avg("close").over(rows(-19, 0)), F.stddev_pop("close").over(rows(-19, 0))
-    full = index() >= 19
+    before = sl.neighbour("close", -1)
+    back = F.coalesce(before, F.col("open"))
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - back), F.abs(F.col("low") - back))
+    step = F.when(before.isNull() | (F.col("close") > before), F.col("volume")).when(F.col("close") < before, -F.col("volume")).otherwise(0.0)
+    last20, last24 = sl.window(-19, 0), sl.window(-23, 0)
+    mean, std = F.avg("close").over(last20), F.stddev_pop("close").over(last20)
+    full = F.col("_i") >= 19
     # sums of volumes are made in cents, so that their order does not matter
     cents = lambda c: F.round(c * 100).cast("long")
-    return (
-        bars.withColumns({"_day": utc_day(F.col("open_time_ms")), "_pv": tp * F.col("volume"), "true_range": tr, "_step": cents(step)})
+    framed = (
+        sl.sliced(bars if "_i" in bars.columns else sl.placed(bars), before=23, slice_bars=slice_bars)
+        .withColumns({"_day": utc_day(F.col("open_time_ms")), "_pv": tp * F.col("volume"), "true_range": tr, "_step": cents(step), "change": F.col("close") - before})
         .withColumns({
             "bollinger_middle": F.when(full, mean), "bollinger_upper": F.when(full, mean + 2 * std),
             "bollinger_lower": F.when(full, mean - 2 * std),
-            "vwap": ratio(F.sum("_pv").over(day), F.sum("volume").over(day)),
-            "rolling_vwap24": ratio(F.sum("_pv").over(rows(-23, 0)), F.sum("volume").over(rows(-23, 0))),
-            "obv": F.sum("_step").over(so_far()) / 100,
+            "rolling_vwap24": ratio(F.sum("_pv").over(last24), F.sum("volume").over(last24)),
         })
-        .drop("_day", "_pv", "_step")
+        .where("_own")
+    )
+    sums = framed.groupBy(*sl.SLICED).agg(F.sum("_step").alias("_in"))
+    earlier = Window.partitionBy(*SERIES).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*sl.SLICED, F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_carried"))
+    day = Window.partitionBy(*SERIES, "_day").orderBy("open_time_ms").rowsBetween(Window.unboundedPreceding, 0)
+    own = sl.window(Window.unboundedPreceding, 0)
+    return (
+        framed.join(sums, sl.SLICED)
+        .withColumn("obv", (F.col("_carried") + F.sum("_step").over(own)) / 100)
+        .withColumn("vwap", ratio(F.sum("_pv").over(day), F.sum("volume").over(day)))
+        .drop("_day", "_pv", "_step", "_own", "_carried")
     )
 
 
-def ema(x: np.ndarray, period: int) -> np.ndarray:
-    """Seeded with the mean of the first period valid values; nan stays nan and keeps the state."""
-    out, k, state, seed = np.full(len(x), np.nan), 2.0 / (period + 1), np.nan, []
-    for i, v in enumerate(x):
-        if np.isnan(v):
-            continue
-        if np.isnan(state):
-            seed.append(v)
-            if len(seed) < period:
-                continue
-            state = sum(seed) / period
-        else:
-            state += (v - state) * k
-        out[i] = state
-    return out
-
-
-def rsi(close: np.ndarray, period: int = 14) -> np.ndarray:
-    """The first period - 1 changes are summed and divided by period; the next change is
-    added and divided by period again; from then on the average is Wilder's."""
-    out, gain, loss = np.full(len(close), np.nan), 0.0, 0.0
-    for i in range(1, len(close)):
-        d = close[i] - close[i - 1]
-        up, down = max(d, 0.0), max(-d, 0.0)
-        if i < period:
-            gain, loss = gain + up, loss + down
-            if i == period - 1:
-                gain, loss = gain / period, loss / period
-            continue
-        keep = 1 if i == period else period - 1
-        gain, loss = (gain * keep + up) / period, (loss * keep + down) / period
-        out[i] = 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-    return out
-
-
-def atr(tr: np.ndarray, period: int = 14) -> np.ndarray:
-    """First the mean of period + 1 true ranges, then Wilder's average."""
-    out = np.full(len(tr), np.nan)
-    for i in range(period, len(tr)):
-        out[i] = tr[: period + 1].mean() if i == period else (out[i - 1] * (period - 1) + tr[i]) / period
-    return out
-
-
-def _fold(bars: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values("open_time_ms", kind="stable")
-    close = bars["close"].to_numpy(dtype=float)
-    out = bars[KEY].copy()
-    for p in (12, 26, 50, 200):
-        out[f"ema{p}"] = ema(close, p)
-    out["macd"] = out["ema12"] - out["ema26"]
-    out["macd_signal"] = ema(out["macd"].to_numpy(), 9)
-    out["macd_histogram"] = out["macd"] - out["macd_signal"]
-    out["rsi14"], out["atr14"] = rsi(close), atr(bars["true_range"].to_numpy(dtype=float))
-    out["obv_ema50"] = ema(bars["obv"].to_numpy(dtype=float), 50)
-    return out
-
-
-def folded_indicators(framed: DataFrame) -> DataFrame:
-    """EMA, MACD, RSI, ATR and the EMA of OBV. A recursion needs its series in order, so that
-    a series is one group; all indicators come from one pass over it."""
-    schema = "symbol string, timeframe string, open_time_ms long, " + ", ".join(f"{c} double" for c in FOLDED)
-    made = framed.select(*KEY, "close", "true_range", "obv").groupBy(*SERIES).applyInPandas(_fold, schema)
-    return made.select(*KEY, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in FOLDED))
-
-
-def technical_indicators(bars: DataFrame, least_bars: int = 50) -> DataFrame:
+def technical_indicators(bars: DataFrame, least_bars: int = 50, slice_bars: int = SLICE_BARS) -> DataFrame:
     """All indicators of series with least_bars bars or more."""
-    framed = frame_indicators(bars.withColumn("_n", F.count("*").over(whole())).where(F.col("_n") >= least_bars).drop("_n"))
+    framed = frame_indicators(sl.placed(bars).where(F.col("_n") >= least_bars), slice_bars)
     normal = lambda c: F.when(F.col("atr14") > 0, ratio(F.col(c), F.col("atr14")))
-    return framed.join(folded_indicators(framed), KEY).withColumns({
+    return framed.join(folded(framed), KEY).drop("_i", "_n", "_slice", "change").withColumns({
         "macd_norm": normal("macd"), "macd_signal_norm": normal("macd_signal"), "macd_histogram_norm": normal("macd_histogram"),
     })
 
