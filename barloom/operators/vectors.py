@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.series import SERIES, index, lead, rows, whole
+from barloom.operators import slices as sl
+from barloom.operators.series import SERIES
 
 EPSILON, VERSION = 1e-7, 2
 #: The accepted feature types; the first two have four numbers a bar.
@@ -92,21 +93,33 @@ def norm(v: Column) -> Column:
 
 def window_vectors(bars: DataFrame, feature: str, size: int) -> DataFrame:
     """A vector for each run of `size` bars of a series."""
+    return vectors_of(bars, [feature], [size])
+
+
+def vectors_of(bars: DataFrame, features: list[str], sizes: list[int]) -> DataFrame:
+    """The vectors of every feature type and window size. Bars are placed and windows are
+    gathered once for all features of a size, in slices of a series that hold size - 1 bars of
+    the next one."""
     bar = F.struct("open", "high", "low", "close", "volume")
-    full = (
-        bars.withColumns({"_bar": bar, "_i": index(), "_n": F.count("*").over(whole())})
-        .withColumns({"_w": F.collect_list("_bar").over(rows(0, size - 1)), "end_time_ms": lead("open_time_ms", size - 1)})
-        .where("end_time_ms is not null")
-    )
-    return (
-        full.withColumn("vector", vector(feature, F.col("_w")))
-        .where("vector is not null")
-        .select(
-            *SERIES, F.col("open_time_ms").alias("start_time_ms"), "end_time_ms", F.lit(feature).alias("feature_type"), F.lit(size).alias("window_size"),
-            "vector", F.size("vector").alias("vector_dim"), norm(F.col("vector")).cast("float").alias("vector_norm"), F.lit(VERSION).alias("version"),
-            F.col("_i").alias("start_index"), F.col("_n").alias("series_bars"),
+    at = bars if "_i" in bars.columns else sl.placed(bars)
+    out = None
+    for size in sizes:
+        full = (
+            sl.sliced(at, after=size - 1)
+            .withColumns({"_w": F.collect_list(bar).over(sl.window(0, size - 1)), "end_time_ms": sl.neighbour("open_time_ms", size - 1)})
+            .where("_own and end_time_ms is not null")
         )
-    )
+        made = F.array(*(F.struct(F.lit(f).alias("feature_type"), vector(f, F.col("_w")).alias("vector")) for f in features))
+        rows_ = (
+            full.select(*SERIES, F.col("open_time_ms").alias("start_time_ms"), "end_time_ms", F.col("_i").alias("start_index"), F.col("_n").alias("series_bars"), F.inline(made))
+            .where("vector is not null")
+            .select(
+                *SERIES, "start_time_ms", "end_time_ms", "feature_type", F.lit(size).alias("window_size"), "vector", F.size("vector").alias("vector_dim"),
+                norm(F.col("vector")).cast("float").alias("vector_norm"), F.lit(VERSION).alias("version"), "start_index", "series_bars",
+            )
+        )
+        out = rows_ if out is None else out.unionByName(rows_)
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -127,63 +140,9 @@ def greedy_apart(ranked: Column, gap: int, k: int) -> Column:
     )
 
 
-def pattern_search(vectors: DataFrame, top_k: int = 10, gap: int | None = None, lookback: int = 2000) -> DataFrame:
-    """The windows of each series most like its last one, no two of them closer than gap bars.
-
-    Only windows that end before the last one are candidates, the latest `lookback` of them.
-    A pick can hide at most 2 * gap - 1 windows, so that the best top_k * (2 * gap) hold all
-    picks; no more than these are gathered, whatever the length of the series.
-    """
-    newest = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("start_time_ms")))
-    v = vectors.withColumn("_back", newest)
-    query = v.where("_back = 1").select(*SERIES, F.col("vector").alias("q"), F.col("vector_norm").alias("qn"), F.col("end_time_ms").alias("q_end"))
-    scored = (
-        v.where((F.col("_back") > 1) & (F.col("_back") <= lookback + 1))
-        .join(query, SERIES)
-        .where("end_time_ms < q_end")
-        .withColumn("similarity", cosine(F.col("vector"), F.col("q"), F.col("vector_norm"), F.col("qn")))
-    )
-    gap = gap or int((vectors.select("window_size").first() or [1])[0])
-    best = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("similarity"), F.desc("start_time_ms")))
-    item = F.struct((-F.col("similarity")).alias("s"), (-F.col("start_time_ms")).alias("t"), F.col("start_index").alias("index"), "similarity", "start_time_ms", "end_time_ms")
-    return (
-        scored.withColumn("_r", best)
-        .where(F.col("_r") <= top_k * 2 * gap)
-        .groupBy(*SERIES)
-        .agg(F.sort_array(F.collect_list(item)).alias("ranked"))
-        .select(*SERIES, F.posexplode(greedy_apart(F.col("ranked"), gap, top_k)).alias("rank", "x"))
-        .select(*SERIES, (F.col("rank") + 1).alias("rank"), "x.start_time_ms", "x.end_time_ms", "x.similarity", (1 - F.col("x.similarity")).alias("distance"))
-    )
-
-
 def top_similar(rows_: DataFrame, query: list[float], k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows most like the query vector, ties by id. Rows of another length are left out."""
     q = F.array(*(F.lit(float(x)).cast("float") for x in query))
     v = F.col(vector_col)
     s = cosine(v, q, norm(v), norm(q))
     return rows_.where(F.size(v) == len(query)).select(id_col, s.alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
-
-
-def principal_components(vectors: DataFrame, n: int = 5, least: int = 100) -> DataFrame:
-    """Projections on the first n principal components of a series' centred vectors; each
-    component's largest loading is positive. A series of fewer than `least` vectors gives no
-    rows. The vectors are read for every series."""
-    out = vectors.where(F.lit(False)).select(*SERIES, "start_time_ms", "end_time_ms", F.array().cast("array<double>").alias("pca"))
-    for series in vectors.groupBy(*SERIES).count().where(F.col("count") >= least).orderBy(*SERIES).collect():
-        own = [F.col(c).eqNullSafe(F.lit(series[c])) for c in SERIES]
-        out = out.unionByName(_projected(vectors.where(own[0] & own[1]), n))
-    return out
-
-
-def _projected(vectors: DataFrame, n: int) -> DataFrame:
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows_ = vectors.withColumn("_x", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
-    centred = StandardScaler(inputCol="_x", outputCol="_c", withMean=True, withStd=False).fit(rows_).transform(rows_)
-    model = PCA(k=n, inputCol="_c", outputCol="_p").fit(centred)
-    loads = model.pc.toArray()
-    signs = [1.0 if loads[abs(loads[:, j]).argmax(), j] >= 0 else -1.0 for j in range(loads.shape[1])]
-    sign = F.array(*map(F.lit, signs))
-    projected = model.transform(centred).withColumn("pca", F.zip_with(vector_to_array("_p"), sign, lambda x, s: x * s))
-    return projected.select(*SERIES, "start_time_ms", "end_time_ms", "pca")

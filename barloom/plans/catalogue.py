@@ -13,13 +13,16 @@ from barloom.operators import features as ft
 from barloom.operators import indicators as ti
 from barloom.operators import metrics as mm
 from barloom.operators import patterns as pt
+from barloom.operators import pca as pc
 from barloom.operators import reads as rd
 from barloom.operators import rules as ru
 from barloom.operators import scenarios as sc
+from barloom.operators import slices as sl
 from barloom.operators import structure as st
 from barloom.operators import targets as tg
 from barloom.operators import text as tx
 from barloom.operators import validate as va
+from barloom.operators import vector_index as vi
 from barloom.operators import vectors as ve
 from barloom.operators import volume as vo
 from barloom.operators.series import KEY
@@ -413,11 +416,13 @@ def scenario_summary(spark, d):
 C = ru.Condition
 RULES = [
     ru.Rule(1, "close high", (C("close_position", position="top_50"),), 60, 1),
-    ru.Rule(2, "two green", (C("consecutive_bars", direction="green", count=2), C("volume_compare", operator="gt", multiplier=0.5)), 30, 5),
+    ru.Rule(2, "two green", (C("consecutive_bars", direction="green", count=2), C("volume_compare", operator="gt", period=20, multiplier=0.5)), 30, 5),
     ru.Rule(3, "red before", (C("consecutive_bars", direction="red", count=1, barOffset=-1),), 120, 3),
     ru.Rule(4, "narrow", (C("range_compare", operator="lt", period=5, multiplier=1.5), C("body_ratio", operator="lte", value=0.9)), 15, 2),
     ru.Rule(5, "wick", (C("shadow_ratio", side="lower", operator="gt", multiplier=0.5),), 15, 4),
     ru.Rule(6, "unknown", (C("no_such_condition"),), 15, 9),
+    ru.Rule(7, "no period", (C("volume_compare", operator="gt", multiplier=0.5),), 15, 6),
+    ru.Rule(8, "some body", (C("body_ratio", operator="gte", value=0.01),), 45, 7),
 ]
 
 
@@ -430,10 +435,13 @@ def _sql_condition(c: ru.Condition, stats: bool) -> str:
         one = {"green": "lag(close, {0}) OVER w > lag(open, {0}) OVER w", "red": "lag(close, {0}) OVER w < lag(open, {0}) OVER w",
                "higher_close": "lag(close, {0}) OVER w > lag(close, {1}) OVER w", "lower_close": "lag(close, {0}) OVER w < lag(close, {1}) OVER w"}[c.direction]
         out = " AND ".join(one.format(k, k + 1) for k in range(c.count or 1))
+    elif c.type in ("range_compare", "volume_compare") and (c.period is None or c.multiplier is None):
+        out = "false"
     elif c.type == "range_compare":
-        out = f"{mean('high - low', c.period or 20)} > 0 AND high - low {op} {mean('high - low', c.period or 20)} * {m}"
+        out = f"{mean('high - low', c.period)} > 0 AND high - low {op} {mean('high - low', c.period)} * {m}"
     elif c.type == "volume_compare":
-        out = f"anomaly_ratio {op} {m}" if stats and c.reference == "sma" else f"{mean('volume', c.period or 20)} > 0 AND volume {op} {mean('volume', c.period or 20)} * {m}"
+        known = {"prev": "vs_previous", "max10": "vs_max10"}.get(c.reference, "anomaly_ratio" if c.reference == "sma" and c.period == 20 else None)
+        out = f"{known} {op} {m}" if stats and known else f"{mean('volume', c.period)} > 0 AND volume {op} {mean('volume', c.period)} * {m}"
     elif c.type == "body_ratio":
         out = f"high > low AND abs(close - open) / nullif(high - low, 0) {op} {c.value}"
     elif c.type == "shadow_ratio":
@@ -464,7 +472,7 @@ def rule_eval(spark, d):
 
 
 COOLED = f"""{_rule_sql()}, latest AS (SELECT max(open_time_ms) + 3600000 AS a FROM bars),
-sig AS (SELECT event_id % 6 + 1 AS rule_id, epoch_ms(ts) AS created_ms FROM events)
+sig AS (SELECT event_id % 8 + 1 AS rule_id, epoch_ms(ts) AS created_ms FROM events)
 SELECT fired.* FROM fired, latest WHERE NOT EXISTS (SELECT 1 FROM sig WHERE sig.rule_id = fired.rule_id AND sig.created_ms >= a - fired.cooldown_minutes * 60000)
 """
 
@@ -472,7 +480,7 @@ SELECT fired.* FROM fired, latest WHERE NOT EXISTS (SELECT 1 FROM sig WHERE sig.
 @query(COOLED)
 def rule_cooldown(spark, d):
     events = fx.table(spark, d, "events")
-    signals = events.select((F.col("event_id") % 6 + 1).alias("rule_id"), event_ms(F.col("ts")).alias("created_ms"))
+    signals = events.select((F.col("event_id") % 8 + 1).alias("rule_id"), event_ms(F.col("ts")).alias("created_ms"))
     bars = fx.bars(spark, d)
     as_of = bars.agg(F.max("open_time_ms")).first()[0] + 3_600_000
     return ru.cooled_down(ru.evaluate(bars, RULES), signals, as_of)
@@ -539,11 +547,12 @@ FROM vec WHERE vector IS NOT NULL""", name)(run)
 for f in ("open", "high", "low", "close"):
     _vector_query(f"window_vectors_{f}", f, 10, f"CASE WHEN hi - lo > 1e-7 THEN list_transform(w, lambda x: (x.{f[0]} - lo) / (hi - lo)) END")
 _vector_query("window_vectors_all", "all", 10, "CASE WHEN hi - lo > 1e-7 THEN flatten(list_transform(w, lambda x: [(x.o - lo) / (hi - lo), (x.c - lo) / (hi - lo), (x.h - lo) / (hi - lo), (x.l - lo) / (hi - lo)])) END")
-_vector_query("window_vectors_returns_shape", "returns_shape", 10, """flatten(list_transform(w, lambda x, i: [
+SHAPE = """flatten(list_transform(w, lambda x, i: [
   CASE WHEN i > 1 AND abs(w[i - 1].c) > 1e-7 THEN x.c / w[i - 1].c - 1 ELSE 0 END,
   CASE WHEN x.h - x.l > 1e-7 THEN abs(x.c - x.o) / (x.h - x.l) ELSE 0 END,
   CASE WHEN x.h - x.l > 1e-7 THEN (x.h - greatest(x.o, x.c)) / (x.h - x.l) ELSE 0 END,
-  CASE WHEN x.h - x.l > 1e-7 THEN (least(x.o, x.c) - x.l) / (x.h - x.l) ELSE 0 END]))""")
+  CASE WHEN x.h - x.l > 1e-7 THEN (least(x.o, x.c) - x.l) / (x.h - x.l) ELSE 0 END]))"""
+_vector_query("window_vectors_returns_shape", "returns_shape", 10, SHAPE)
 MM = "list_transform({0}, lambda y: CASE WHEN list_max({0}) - list_min({0}) <= 1e-7 THEN 0.5 ELSE (y - list_min({0})) / (list_max({0}) - list_min({0})) END)"
 LOGS = "list_transform(w, lambda x, i: CASE WHEN i > 1 AND w[i - 1].c > 1e-7 THEN ln(x.c / w[i - 1].c) ELSE 0.0 END)"
 _vector_query("window_vectors_returns_log", "returns_log", 10, MM.format(f"({LOGS})"))
@@ -552,9 +561,120 @@ for f in ("volatility", "trend"):
     query(None, f"window_vectors_{f}")(lambda spark, d, f=f: ve.window_vectors(fx.bars(spark, d), f, 10).drop("vector"))
 
 
-@query(None)
+def _vectors_sql(feature: str, size: int, keep: str = "true") -> str:
+    """vec: the vectors of every series, rounded to floats. Needs bars."""
+    return f"""
+wv AS (
+  SELECT symbol, timeframe, i, n, open_time_ms AS start_time_ms, lead(open_time_ms, {size - 1}) OVER (PARTITION BY symbol ORDER BY open_time_ms) AS end_time_ms,
+         list(struct_pack(o := open, h := high, l := low, c := close, v := volume)) OVER (PARTITION BY symbol ORDER BY open_time_ms ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS w
+  FROM bars WHERE {keep}),
+wx AS (SELECT *, list_min(list_transform(w, lambda x: x.l)) AS lo, list_max(list_transform(w, lambda x: x.h)) AS hi FROM wv WHERE end_time_ms IS NOT NULL),
+vec AS (SELECT *, list_transform({VECTOR_SQL[feature]}, lambda x: x::FLOAT) AS vector FROM wx)"""
+
+
+VECTOR_SQL = {f: f"CASE WHEN hi - lo > 1e-7 THEN list_transform(w, lambda x: (x.{f[0]} - lo) / (hi - lo)) END" for f in ("open", "high", "low", "close")}
+VECTOR_SQL["all"] = "CASE WHEN hi - lo > 1e-7 THEN flatten(list_transform(w, lambda x: [(x.o - lo) / (hi - lo), (x.c - lo) / (hi - lo), (x.h - lo) / (hi - lo), (x.l - lo) / (hi - lo)])) END"
+VECTOR_SQL["returns_shape"] = SHAPE
+VECTOR_SQL["returns_log"] = MM.format(f"({LOGS})")
+VECTOR_SQL["volume_norm"] = MM.format("list_transform(w, lambda x: x.v / list_avg(list_transform(w, lambda z: z.v)))")
+VECTOR_SQL["volatility"] = MM.format(f"list_transform({LOGS}, lambda y, i: list_aggregate(list_slice({LOGS}, greatest(i - 4, 1), i), 'stddev_pop'))")
+_YM = "list_avg(list_transform(w, lambda z: z.c))"
+_XM = "((len(w) - 1) / 2.0)"
+_SLOPE = f"(list_sum(list_transform(w, lambda z, j: (j - 1 - {_XM}) * (z.c - {_YM}))) / (len(w) * (len(w) * len(w) - 1) / 12.0))"
+VECTOR_SQL["trend"] = MM.format(f"list_transform(w, lambda x, i: x.c - ({_SLOPE} * (i - 1) + {_YM} - {_SLOPE} * {_XM}))")
+
+
+def _whole_vector_query(feature: str, size: int) -> None:
+    """Every number of every series' vectors, in thousandths, in order."""
+
+    def run(spark, d):
+        thousandths = F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",")
+        return ve.window_vectors(fx.bars(spark, d), feature, size).select("symbol", "timeframe", "start_time_ms", "end_time_ms", thousandths.alias("vector_milli"))
+
+    query(f"""
+WITH {b.bars()}, {_vectors_sql(feature, size)}
+SELECT symbol, timeframe, start_time_ms, end_time_ms, array_to_string(list_transform(vector, lambda x: round(x::DOUBLE * 1000)::BIGINT), ',') AS vector_milli
+FROM vec WHERE vector IS NOT NULL""", f"whole_vectors_{feature}")(run)
+
+
+for f in ve.FEATURE_TYPES:
+    _whole_vector_query(f, 10)
+
+
+def _half_built(spark, d, features: list[str], sizes: list[int]) -> tuple[str, DataFrame]:
+    """An index made in two steps, of the earlier and of all bars, and purged of another version."""
+    path, bars = tb.work_path(spark, "vector-index"), fx.bars(spark, d)
+    middle = 1_705_300_000_000
+    vi.update(spark, path, bars.where(F.col("open_time_ms") < middle), features, sizes, as_of_ms=middle)
+    vi.update(spark, path, bars, features, sizes, as_of_ms=middle + 1)
+    vi.purge(spark, path)
+    return path, bars
+
+
+@query(f"""
+WITH {b.bars()}, {_vectors_sql("close", 10)}
+SELECT symbol, timeframe, 'close' AS feature_type, 10 AS window_size, count(*) AS windows,
+       CASE WHEN bool_or(end_time_ms >= 1705300000000) THEN 1705300000001 ELSE 1705300000000 END AS updated_ms
+FROM vec WHERE vector IS NOT NULL GROUP BY symbol, timeframe""")
+def vector_index_status(spark, d):
+    """An index built in two steps, by its own status."""
+    path, _ = _half_built(spark, d, ["close"], [10])
+    return vi.status(spark, path)
+
+
+WARM = " UNION ALL ".join(
+    f"SELECT symbol, '{f}' AS feature_type, {n} AS window_size, count(*) AS windows, round(sum(sqrt(list_sum(list_transform(vector, lambda z: z::DOUBLE * z::DOUBLE)))), 2) + 0.0 AS norms "
+    f"FROM (WITH {_vectors_sql(f, n)} SELECT * FROM vec WHERE vector IS NOT NULL) GROUP BY symbol"
+    for f in vi.WARM_FEATURES for n in vi.WARM_SIZES
+)
+
+
+@query(f"WITH {b.bars()} {WARM}")
+def vector_index_warm(spark, d):
+    """The whole index of the six feature types and five sizes, in one job: windows and sums of norms."""
+    path = tb.work_path(spark, "vector-index")
+    vi.warm_up(spark, path, fx.bars(spark, d), as_of_ms=0)
+    return vi.read(spark, path).groupBy("symbol", "feature_type", "window_size").agg(F.count("*").alias("windows"), F.round(F.sum(ve.norm(F.col("vector"))), 2).alias("norms"))
+
+
+NEAREST = """
+pick AS (
+  SELECT query_id, symbol, timeframe, 1 AS rank, ranked[1] AS x, list_filter(ranked, lambda y: abs(y.i - ranked[1].i) >= {gap}) AS rest FROM ranked
+  UNION ALL
+  SELECT query_id, symbol, timeframe, rank + 1, rest[1], list_filter(rest, lambda y: abs(y.i - rest[1].i) >= {gap}) FROM pick WHERE rank < {k} AND len(rest) > 0)"""
+SIMILAR = """list_sum(list_transform(list_zip({0}.vector, {1}.vector), lambda z: (z[1] * z[2])::DOUBLE)) / nullif(
+           sqrt(list_sum(list_transform({0}.vector, lambda z: z::DOUBLE * z::DOUBLE)))::FLOAT::DOUBLE * sqrt(list_sum(list_transform({1}.vector, lambda z: z::DOUBLE * z::DOUBLE)))::FLOAT::DOUBLE, 0)"""
+
+
+def _search_sql(asked: str) -> str:
+    """The ten most similar windows of returns_shape, 10 bars, of each asked window of vec (asked: query_id, symbol, timeframe, e)."""
+    return f"""
+WITH RECURSIVE {b.bars()}, {_vectors_sql("returns_shape", 10)},
+asked AS ({asked}),
+q AS (SELECT query_id, vec.* FROM asked JOIN vec ON vec.symbol = asked.symbol AND vec.end_time_ms = e WHERE i + 10 >= 20),
+scored AS (SELECT q.query_id, q.symbol, q.timeframe, c.i, c.start_time_ms AS s, c.end_time_ms AS e, coalesce({SIMILAR.format("c", "q")}, 0) AS similarity
+           FROM q JOIN vec c ON c.symbol = q.symbol AND c.i BETWEEN q.i + 9 - 1999 AND q.i - 1),
+ranked AS (SELECT query_id, symbol, timeframe, list(struct_pack(i := i, s := s, e := e, similarity := similarity) ORDER BY similarity DESC, s DESC) AS ranked, count(*) AS scanned FROM scored GROUP BY ALL),
+{NEAREST.format(gap=10, k=10)}
+SELECT p.query_id, p.symbol, p.timeframe, p.rank, format('w_{{}}_{{}}', x.s, x.e) AS window_id, x.s AS start_time_ms, x.e AS end_time_ms,
+       {b.r("x.similarity", "similarity")}, {b.r("1 - x.similarity", "distance")}, scanned, true AS from_index
+FROM pick p JOIN ranked USING (query_id)"""
+
+
+@query(_search_sql("SELECT symbol || '/1h' AS query_id, symbol, max(end_time_ms) AS e FROM vec GROUP BY symbol"))
 def pattern_search(spark, d):
-    return ve.pattern_search(ve.window_vectors(fx.bars(spark, d), "returns_shape", 10), 10)
+    """The last window of each series, in an index built in two steps."""
+    path, bars = _half_built(spark, d, ["returns_shape"], [10])
+    return vi.search(spark, path, bars, as_of_ms=0, feature="returns_shape", size=10)
+
+
+@query(_search_sql("SELECT format('{}@{}', symbol, end_time_ms) AS query_id, symbol, end_time_ms AS e FROM vec WHERE i % 20 = 3"))
+def pattern_search_many(spark, d):
+    """Every twentieth window of every series asks, in an index that the search builds."""
+    bars = fx.bars(spark, d)
+    ends = sl.placed(bars).where("_i >= 9 and (_i - 9) % 20 = 3")
+    asked = ends.select(F.concat_ws("@", "symbol", "open_time_ms").alias("query_id"), "symbol", "timeframe", F.col("open_time_ms").alias("end_time_ms"))
+    return vi.search(spark, tb.work_path(spark, "vector-index"), bars, as_of_ms=0, queries=asked, feature="returns_shape", size=10)
 
 
 @query("""
@@ -591,10 +711,20 @@ def chunk_retrieval(spark, d):
     return ve.top_similar(rows, q, 8, id_col="key")
 
 
+def _pca_vectors(spark, d) -> DataFrame:
+    return tb.stored(ve.window_vectors(fx.bars(spark, d), "returns_shape", 25), "pca-vectors")
+
+
 @query(None)
 def pca_components(spark, d):
-    p = ve.principal_components(tb.stored(ve.window_vectors(fx.bars(spark, d), "returns_shape", 25), "pca-vectors"))
-    return p.select("symbol", "timeframe", "start_time_ms", *(F.col("pca")[k].alias(f"pca{k + 1}") for k in range(5)))
+    p = pc.principal_components(_pca_vectors(spark, d))
+    return p.select("symbol", "timeframe", "start_time_ms", *(F.get("pca", F.lit(k)).alias(f"pca{k + 1}") for k in range(5)))
+
+
+@query(None)
+def pca_features(spark, d):
+    """Features with the components of the window that ends with each bar."""
+    return pc.write_back(feature_rows(spark, d), pc.principal_components(_pca_vectors(spark, d))).select(*KEY, "close", *pc.COMPONENTS)
 
 
 @query(f"WITH {b.bars()} SELECT symbol, arg_min(open_time_ms, abs(open_time_ms - 1705000000000)::HUGEINT * 10000000000000 + open_time_ms) AS open_time_ms FROM bars GROUP BY symbol")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,12 +67,16 @@ def write_version(rows: DataFrame, path: str, version: int, partition_by: list[s
     return out
 
 
-def stored(rows: DataFrame, label: str) -> DataFrame:
-    """The same rows from a table written to a new folder under the shared one
-    (spark.checkpoint.dir, or the warehouse where that is unset): plans that build on them
-    start from a scan, and survive lost executors."""
-    spark = rows.sparkSession
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder: spark.checkpoint.dir, or the warehouse where
+    that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The same rows from a table written to a new folder under the shared one: plans that
+    build on them start from a scan, and survive lost executors."""
+    path = work_path(rows.sparkSession, label)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, and every other one for its rows, at the least scale."""
+"""Every query with SQL against DuckDB, and every other one read to its last value."""
 
 import __spark_entry__ as entry
 import pytest
@@ -6,8 +6,10 @@ import pytest
 from barloom.plans import catalogue
 from compare import connection, differences
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 SQL = entry.oracle_sql()
+#: Queries that the given tables have no rows for.
+EMPTY = {"scenario_summary", "scenarios_15m"}
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +23,9 @@ def test_query(spark, con, name):
     if name in SQL:
         assert differences(df, SQL[name], con) == []
     else:
-        assert df.columns and df.count() >= 0
+        assert len(df.columns) == len(set(df.columns))
+        assert df.collect() or name in EMPTY
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).collect()
