@@ -791,3 +791,8 @@ SELECT l_suppkey, l_orderkey, round(l_extendedprice, 6) + 0.0 AS l_extendedprice
 def topk_per_group(spark, d):
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     return fx.table(spark, d, "lineitem").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("l_suppkey", "l_orderkey", "l_extendedprice", "rank")
+
+
+# streams: they register themselves
+
+from barloom.plans import stream_queries  # noqa: E402, F401

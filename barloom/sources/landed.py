@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import interval_ms
+from barloom.operators.series import KEY
 from barloom.operators.validate import keep_last
 
 
@@ -13,15 +14,25 @@ def klines(payloads: DataFrame, symbol: str, timeframe: str, json_col: str = "pa
     """Bars of JSON arrays of arrays: time, four prices, volume, and up to five more values.
     Rows of fewer than seven values and rows with high < low go; of equal times the last
     stays."""
+    return keep_last(_klines(payloads.select(F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), json_col), json_col), KEY, "_pos").drop("_pos")
+
+
+def klines_by_row(payloads: DataFrame, json_col: str = "payload", landed_col: str = "landed_ms") -> DataFrame:
+    """The same of payloads that say their symbol and timeframe; of equal keys the one that
+    landed last stays."""
+    rows = _klines(payloads, json_col, landed_col).withColumn("_at", F.struct(landed_col, "_pos"))
+    return keep_last(rows, KEY, "_at").drop("_pos", "_at", landed_col)
+
+
+def _klines(payloads: DataFrame, json_col: str, *more: str) -> DataFrame:
     item = F.from_json(json_col, "array<array<string>>")
     x = lambda i, t: F.try_element_at("k", F.lit(i + 1)).try_cast(t)
-    rows = payloads.select(F.posexplode(item).alias("_pos", "k")).where(F.size("k") >= 7).select(
-        F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), x(0, "long").alias("open_time_ms"),
+    return payloads.select("symbol", "timeframe", *more, F.posexplode(item).alias("_pos", "k")).where(F.size("k") >= 7).select(
+        "symbol", "timeframe", *more, x(0, "long").alias("open_time_ms"),
         x(6, "long").alias("close_time_ms"), *(x(i, "double").alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"), 1)),
         F.coalesce(x(7, "double"), F.lit(0.0)).alias("quote_volume"), F.coalesce(x(8, "long"), F.lit(0)).alias("trade_count"),
         F.coalesce(x(9, "double"), F.lit(0.0)).alias("taker_buy_volume"), F.coalesce(x(10, "double"), F.lit(0.0)).alias("taker_buy_quote_volume"), "_pos",
     ).where("high >= low and open_time_ms is not null")
-    return keep_last(rows, ["symbol", "timeframe", "open_time_ms"], "_pos").drop("_pos")
 
 
 def funding(payloads: DataFrame, symbol: str, json_col: str = "payload") -> DataFrame:

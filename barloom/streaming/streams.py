@@ -1,15 +1,26 @@
 """Streams: bars from ticks, first-write-wins dedupe, hourly liquidations, and alerts with a
-cooldown."""
+cooldown. State is kept on the executors' disks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state on disk, and whose
+    settings do not reach the caller's."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ON_DISK)
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
 
 
 def tick_stream(spark, schema, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -18,7 +29,7 @@ def tick_stream(spark, schema, folder: str, files_per_trigger: int = 1) -> DataF
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes", timeframe: str = "1h") -> DataFrame:
     """Bars of each event type, closed once the watermark passes their end."""
     cents = F.round(F.col("value") * 100).cast("long")
     return (
@@ -28,7 +39,7 @@ def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes")
             F.min_by("value", F.struct("at", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
             F.max_by("value", F.struct("at", "event_id")).alias("close"), (F.sum(cents).cast("double") / 100).alias("volume"), F.count("*").alias("trade_count"),
         )
-        .select("symbol", F.unix_millis("window.start").alias("open_time_ms"), "open", "high", "low", "close", "volume", "trade_count")
+        .select("symbol", F.lit(timeframe).alias("timeframe"), F.unix_millis("window.start").alias("open_time_ms"), "open", "high", "low", "close", "volume", "trade_count")
     )
 
 
@@ -47,31 +58,64 @@ def live_liquidations(orders: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
-ALERT = "key string, t long, price double"
-
-
-def _cooled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, cooldown_ms: int) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for t, price in sorted((int(t), float(p)) for f in frames for t, p in zip(f["t"], f["price"])):
-        if last is None or t - last >= cooldown_ms:
-            out.append((key[0], t, price))
-            last = t
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(out, columns=["key", "t", "price"])
-
-
-def cooled_alerts(hits: DataFrame, cooldown_ms: int, mode: str = "append") -> DataFrame:
-    """hits(key, t, price): those at least cooldown_ms after the last one let through for
-    their key. The state of a key is one time."""
+ALERT = "user_id string, type string, t long, price double"
+
+
+class Cooldown(StatefulProcessor):
+    """Lets a hit through if none was let through for its user and type in the cooldown before
+    it. The state of a key is one time, and ends by a timer once it can hold nothing back."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_ms long, until_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self.last.get() if self.last.exists() else None
+        last, until = (int(state[0]), int(state[1])) if state else (None, None)
+        out = []
+        hits = sorted((int(t), float(p), int(m)) for f in rows for t, p, m in zip(f["t"], f["price"], f["cooldown_minutes"]))
+        for t, price, minutes in hits:
+            if last is None or t - last > minutes * 60_000:
+                out.append((key[0], key[1], t, price))
+                last = t
+                if until is not None:
+                    self.handle.deleteTimer(until)
+                until = t + minutes * 60_000 + 1
+                self.handle.registerTimer(until)
+        if last is not None:
+            self.last.update((last, until))
+        yield pd.DataFrame(out, columns=["user_id", "type", "t", "price"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and int(self.last.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame([], columns=["user_id", "type", "t", "price"])
+
+    def close(self) -> None:
+        pass
+
+
+def cooled_alerts(hits: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """hits(user_id, type, t, price, cooldown_minutes): those more than their cooldown after the
+    last one let through for the user and type. A rule's hits are of a type of their own.
+
+    A cooldown ends with event time, so that a restart from the checkpoint goes on as if there
+    had been none. Hits that come later than `late` after newer ones are dropped. Needs a
+    session whose state is on disk (stream_session).
+    """
+    timed = hits.withColumn("at", F.timestamp_millis("t")).withWatermark("at", late)
+    return timed.groupBy("user_id", "type").transformWithStateInPandas(
+        statefulProcessor=Cooldown(), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
+    )
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        return _cooled(key, frames, state, cooldown_ms)
 
-    return hits.groupBy("key").applyInPandasWithState(step, ALERT, "last long", mode, GroupStateTimeout.NoTimeout)
+def to_table(stream: DataFrame, path: str, checkpoint: str):
+    """Appends all that is there now to a Parquet table, then stops."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def each_batch(stream: DataFrame, work, checkpoint: str):
-    """Runs work(rows, batch_id) on all that is there now, then stops."""
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def finished(run, seconds: int = 3600) -> None:
+    """Waits for a run that stops by itself; its error, if it has one, is raised here."""
+    if not run.awaitTermination(seconds):
+        run.stop()
+        raise TimeoutError(f"the stream did not end in {seconds} seconds")
