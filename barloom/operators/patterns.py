@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import ratio
+from barloom.functions.scalar import ratio, utc_day
 from barloom.operators.series import KEY, SERIES, by_time, index, lag, lead, rows, whole
 
 #: Fixed value: shapes smaller than this count as nothing.
@@ -119,20 +119,36 @@ def recognise(bars: DataFrame) -> DataFrame:
     """One row for each pattern and start bar: span (bars it takes), the series' global
     trend by which it was judged, the bar's own trend (its last bar's for longer ones), and
     the category, which is Triple for names that start with Three alone."""
-    judged = with_trend(bars)
-    g = F.col("global_trend")
+    return _recognised(with_trend(bars))
+
+
+def recognise_daily(bars: DataFrame) -> DataFrame:
+    """The same, but judged by the trend at the end of the UTC day that a pattern ends in."""
+    day = Window.partitionBy(*SERIES, utc_day(F.col("open_time_ms")))
+    at_end = F.max_by("trend", "open_time_ms").over(day)
+    enough = F.max("_i").over(day) >= 5
+    trended = with_trend(bars).withColumn("_i", index())
+    return _recognised(trended.withColumn("global_trend", F.when(enough, at_end).otherwise("Sideways")).drop("_i"), ahead=True)
+
+
+def _recognised(judged: DataFrame, ahead: bool = False) -> DataFrame:
+    """Patterns of bars with their trends. ahead: a pattern is judged by the trend of its last bar."""
+    g = [lead("global_trend", n) if ahead and n else F.col("global_trend") for n in range(3)]
     mark = lambda p, n: F.struct(
-        p.alias("pattern_type"), F.lit(n).alias("span"), lead("trend", n - 1).alias("trend_direction"), lead("open_time_ms", n - 1).alias("end_time_ms"))
+        p.alias("pattern_type"), F.lit(n).alias("span"), lead("trend", n - 1).alias("trend_direction"), lead("open_time_ms", n - 1).alias("end_time_ms"),
+        g[n - 1].alias("judged_by"))
     marks = F.filter(
         F.array(
-            mark(single(g), 1),
-            mark(double(g), 2), mark(triple(g), 3),
+            mark(single(g[0]), 1),
+            mark(double(g[1]), 2), mark(triple(g[2]), 3),
         ),
         lambda x: x["pattern_type"].isNotNull(),
     )
-    out = judged.withColumn("m", marks).select(*KEY, "open", "high", "low", "close", "volume", "global_trend", F.explode("m").alias("m"))
+    out = judged.withColumn("m", marks).select(*KEY, "open", "high", "low", "close", "volume", F.explode("m").alias("m"))
     kind = F.when(F.col("m.span") == 1, "Single").when(F.startswith(F.col("m.pattern_type"), F.lit("Three")), "Triple").otherwise("Double")
-    return out.select(*KEY, "open", "high", "low", "close", "volume", "global_trend", "m.*", kind.alias("category"))
+    return out.select(
+        *KEY, "open", "high", "low", "close", "volume", F.col("m.judged_by").alias("global_trend"), "m.pattern_type", "m.span", "m.trend_direction", "m.end_time_ms", kind.alias("category")
+    )
 
 
 def ngrams(patterns: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), least: int = 5) -> DataFrame:

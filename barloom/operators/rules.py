@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import compare, ratio
 from barloom.operators.series import KEY, SERIES, by_time, index, lag, rows, whole
+from barloom.sources import versions
+from barloom.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -245,3 +247,51 @@ def discover(bars: DataFrame, stats: DataFrame, future: int = 3, min_win: float
         .where(F.col("rank") <= top)
         .drop("_b")
     )
+
+
+def label(cond: Condition) -> str:
+    """The short name of a condition in a discovered rule."""
+    sign = "<" if cond.operator == "lt" else ">"
+    times = "" if cond.multiplier is None else f"{cond.multiplier:g}"
+    return {
+        "consecutive_bars": f"{cond.count}{cond.direction}", "volume_compare": f"Vol>{times}x", "range_compare": f"Range{sign}{int((cond.multiplier or 0) * 100)}",
+        "body_ratio": f"Body{sign}{int((cond.value or 0) * 100)}", "shadow_ratio": f"{cond.side}Wick>{times}x", "close_position": f"Close{cond.position}",
+    }.get(cond.type, cond.type)
+
+
+#: Stored rules; conditions are a JSON array.
+STORED_RULES = (
+    "symbol string, timeframe string, name string, description string, required_bars int, is_enabled boolean, cooldown_minutes int, conditions string, "
+    "action string, priority int, is_auto_discovered boolean, win_rate double, avg_return double, sample_count long, created_ms long"
+)
+
+
+def as_stored(found: DataFrame, as_of_ms: int, future: int = 3) -> DataFrame:
+    """Discovered candidates as rows of STORED_RULES, enabled, with what their test showed."""
+    spark = found.sparkSession
+    rows = [
+        (k, " + ".join(map(label, conds)), json.dumps([{a: v for a, v in c.as_row().items() if v is not None} for c in conds]), max(10, 3 * len(conds)))
+        for k, conds in enumerate(candidates())
+    ]
+    named = spark.createDataFrame(rows, "candidate int, name string, conditions string, required_bars int")
+    text = F.format_string(
+        f"Auto-discovered: %s | Future {future} bars | WinRate=%.1f%% AvgRet=%.2f Samples=%d PF=%.2f",
+        "name", F.round(F.col("win_rate") * 100, 1), F.round("avg_return", 2), "sample_count", F.round("profit_factor", 2),
+    )
+    return found.join(F.broadcast(named), "candidate").select(
+        *SERIES, "name", text.alias("description"), "required_bars", F.lit(True).alias("is_enabled"), F.lit(60).alias("cooldown_minutes"), "conditions",
+        F.lit("ALERT").alias("action"), F.lit(0).alias("priority"), F.lit(True).alias("is_auto_discovered"), "win_rate", "avg_return", "sample_count",
+        F.lit(as_of_ms).cast("long").alias("created_ms"),
+    )
+
+
+def save_discovered(found: DataFrame, path: str, symbol: str, timeframe: str, as_of_ms: int) -> int:
+    """Puts the candidates of one series in the place of the rules that were discovered for it
+    before, at once; a run without candidates leaves them. The number of rules saved."""
+    spark = found.sparkSession
+    new = stored(as_stored(found.where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)), as_of_ms), "discovered-rules")
+    saved = new.count()
+    if saved:
+        old = (F.col("symbol") == symbol) & (F.col("timeframe") == timeframe) & F.col("is_auto_discovered")
+        versions.replace(spark, path, STORED_RULES, new, old)
+    return saved

@@ -140,9 +140,10 @@ tgt AS (
   FROM t1 JOIN dds USING (symbol, i) WHERE return_1d IS NOT NULL)"""
 
 
-def trends() -> str:
-    """tr: bars with trend and global_trend. Needs bars."""
+def trends(daily: bool = False) -> str:
+    """tr: bars with trend and global_trend (daily: the trend at the end of the bar's day). Needs bars."""
     case = lambda u, d, ok: f"CASE WHEN {ok} AND {u} >= 4 AND {d} <= 1 THEN 'Uptrend' WHEN {ok} AND {d} >= 4 AND {u} <= 1 THEN 'Downtrend' ELSE 'Sideways' END"
+    day = "PARTITION BY symbol, open_time_ms // 86400000"
     return f"""
 tr0 AS (SELECT *, coalesce((close > lag(close) OVER ({S}))::INT, 0) AS up, coalesce((close < lag(close) OVER ({S}))::INT, 0) AS down FROM bars),
 tr1 AS (
@@ -150,20 +151,22 @@ tr1 AS (
          sum(CASE WHEN i >= n - 5 THEN up ELSE 0 END) OVER (PARTITION BY symbol) AS gups,
          sum(CASE WHEN i >= n - 5 THEN down ELSE 0 END) OVER (PARTITION BY symbol) AS gdowns
   FROM tr0 WINDOW w5 AS ({S} ROWS 4 PRECEDING)),
-tr AS (SELECT *, {case("ups", "downs", "i >= 3")} AS trend, {case("gups", "gdowns", "n >= 6")} AS global_trend FROM tr1)"""
+tr2 AS (SELECT *, {case("ups", "downs", "i >= 3")} AS trend, {case("gups", "gdowns", "n >= 6")} AS whole_trend FROM tr1),
+tr AS (SELECT *, {f"CASE WHEN max(i) OVER ({day}) >= 5 THEN last_value(trend) OVER ({day} ORDER BY open_time_ms ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE 'Sideways' END" if daily else "whole_trend"} AS global_trend FROM tr2)"""
 
 
-def patterns() -> str:
-    """pat: recognised patterns. Needs trends."""
+def patterns(daily: bool = False) -> str:
+    """pat: recognised patterns (daily: judged by the trend of their last bar's day). Needs trends."""
     cols = ("open", "high", "low", "close")
     ahead = ", ".join(f"lead({c}, {k}) OVER ({S}) AS {c[0]}{k + 1}" for k in (1, 2) for c in cols)
     shape = ", ".join(
         f"abs(c{k} - o{k}) AS b{k}, h{k} - l{k} AS r{k}, h{k} - greatest(o{k}, c{k}) AS u{k}, least(o{k}, c{k}) - l{k} AS d{k}, c{k} > o{k} AS g{k}, c{k} < o{k} AS x{k}"
         for k in (1, 2, 3)
     )
-    up, down = "global_trend = 'Uptrend'", "global_trend = 'Downtrend'"
+    up, down, up3, down3 = "judge2 = 'Uptrend'", "judge2 = 'Downtrend'", "judge3 = 'Uptrend'", "judge3 = 'Downtrend'"
+    judge2, judge3 = (f"lead(global_trend, {k}) OVER ({S})" if daily else "global_trend" for k in (1, 2))
     return f"""
-p0 AS (SELECT *, open AS o1, high AS h1, low AS l1, close AS c1, {ahead}, lead(trend) OVER ({S}) AS trend2, lead(trend, 2) OVER ({S}) AS trend3,
+p0 AS (SELECT *, {judge2} AS judge2, {judge3} AS judge3, open AS o1, high AS h1, low AS l1, close AS c1, {ahead}, lead(trend) OVER ({S}) AS trend2, lead(trend, 2) OVER ({S}) AS trend3,
               lead(open_time_ms) OVER ({S}) AS time2, lead(open_time_ms, 2) OVER ({S}) AS time3 FROM tr),
 p1 AS (SELECT *, {shape}, (o1 + c1) / 2 AS mid FROM p0),
 pm AS (
@@ -185,20 +188,20 @@ pm AS (
          WHEN {down} AND abs(l2 - l1) / nullif(r1, 0) < 0.08 THEN 'TweezerBottoms'
          WHEN {up} AND abs(h2 - h1) / nullif(r1, 0) < 0.08 THEN 'TweezerTops' END AS double,
     CASE WHEN NOT (r1 > 1e-7 AND r2 > 1e-7 AND c3 IS NOT NULL) THEN NULL
-         WHEN {down} AND x1 AND g3 AND b1 > 0.5 * r1 AND b2 < 0.3 * r2 AND b3 > 0.5 * b1 AND c3 > mid THEN 'MorningStar'
-         WHEN {up} AND g1 AND x3 AND b1 > 0.5 * r1 AND b2 < 0.3 * r2 AND b3 > 0.5 * b1 AND c3 < mid THEN 'EveningStar'
+         WHEN {down3} AND x1 AND g3 AND b1 > 0.5 * r1 AND b2 < 0.3 * r2 AND b3 > 0.5 * b1 AND c3 > mid THEN 'MorningStar'
+         WHEN {up3} AND g1 AND x3 AND b1 > 0.5 * r1 AND b2 < 0.3 * r2 AND b3 > 0.5 * b1 AND c3 < mid THEN 'EveningStar'
          WHEN g1 AND g2 AND g3 AND least(b1, b2, b3) > 0.5 * r1 AND o2 > o1 AND o3 > o2 AND c2 > c1 AND c3 > c2
               AND u1 < 0.15 * b1 AND u2 < 0.15 * b2 AND u3 < 0.15 * b3 THEN 'ThreeWhiteSoldiers'
          WHEN x1 AND x2 AND x3 AND least(b1, b2, b3) > 0.5 * r1 AND o2 < o1 AND o3 < o2 AND c2 < c1 AND c3 < c2
               AND d1 < 0.15 * b1 AND d2 < 0.15 * b2 AND d3 < 0.15 * b3 THEN 'ThreeBlackCrows'
-         WHEN {down} AND x1 AND g2 AND g3 AND b2 < 0.6 * b1 AND o2 >= c1 AND c2 <= o1 AND c3 > h1 THEN 'ThreeInsideUp'
-         WHEN {up} AND g1 AND x2 AND x3 AND b2 < 0.6 * b1 AND o2 <= c1 AND c2 >= o1 AND c3 < l1 THEN 'ThreeInsideDown' END AS triple
+         WHEN {down3} AND x1 AND g2 AND g3 AND b2 < 0.6 * b1 AND o2 >= c1 AND c2 <= o1 AND c3 > h1 THEN 'ThreeInsideUp'
+         WHEN {up3} AND g1 AND x2 AND x3 AND b2 < 0.6 * b1 AND o2 <= c1 AND c2 >= o1 AND c3 < l1 THEN 'ThreeInsideDown' END AS triple
   FROM p1),
 pat AS (
   SELECT symbol, timeframe, open_time_ms, single AS pattern_type, 1 AS span, trend AS trend_direction, open_time_ms AS end_time_ms, 'Single' AS category, global_trend
   FROM pm WHERE single IS NOT NULL
-  UNION ALL SELECT symbol, timeframe, open_time_ms, double, 2, trend2, time2, 'Double', global_trend FROM pm WHERE double IS NOT NULL
-  UNION ALL SELECT symbol, timeframe, open_time_ms, triple, 3, trend3, time3, CASE WHEN triple LIKE 'Three%' THEN 'Triple' ELSE 'Double' END, global_trend
+  UNION ALL SELECT symbol, timeframe, open_time_ms, double, 2, trend2, time2, 'Double', judge2 FROM pm WHERE double IS NOT NULL
+  UNION ALL SELECT symbol, timeframe, open_time_ms, triple, 3, trend3, time3, CASE WHEN triple LIKE 'Three%' THEN 'Triple' ELSE 'Double' END, judge3
   FROM pm WHERE triple IS NOT NULL)"""
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalar import event_ms
 from barloom.operators import alerts as al
 from barloom.operators import features as ft
+from barloom.operators import increments as inc
 from barloom.operators import indicators as ti
 from barloom.operators import metrics as mm
 from barloom.operators import patterns as pt
@@ -29,6 +30,8 @@ from barloom.operators.series import KEY
 from barloom.plans import blocks as b
 from barloom.sources import fixtures as fx
 from barloom.sources import tables as tb
+from barloom.sources import versions
+from barloom.streaming import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -512,6 +515,52 @@ def rule_discovery(spark, d):
     return ru.discover(bars, vo.volume_stats(bars))
 
 
+def _in_quarters(bars: DataFrame):
+    """The bars up to the end of each quarter of their days."""
+    day = F.floor(F.col("open_time_ms") / 86_400_000)
+    low, high = bars.agg(F.min(day), F.max(day)).first()
+    for k in range(1, 5):
+        yield bars.where(day <= F.lit(low + (high - low) * k // 4))
+
+
+@query(f"WITH {b.bars()}, {b.volume()} SELECT {KEYS}, {cols(VOL)}, volume_trend FROM vol")
+def volume_increments(spark, d):
+    """The volume index grown in four increments of days, the last one twice."""
+    path, bars = tb.work_path(spark, "volume-index"), fx.bars(spark, d)
+    for k, part in enumerate([*_in_quarters(bars), bars]):
+        inc.index_volume(part, path, k)
+    return ledger.read(spark, path, inc.VOLUME).drop("batch")
+
+
+@query(f"WITH {b.bars()}, {b.trends(daily=True)}, {b.patterns(daily=True)} SELECT {PAT_COLS} FROM pat")
+def pattern_increments(spark, d):
+    """The pattern index grown in four increments of days, the last one twice."""
+    path, bars = tb.work_path(spark, "pattern-index"), fx.bars(spark, d)
+    for k, part in enumerate([*_in_quarters(bars), bars]):
+        inc.index_patterns(part, path, k)
+    return ledger.read(spark, path, inc.PATTERNS).select(*PAT_COLS.split(", "))
+
+
+_NAMES = ", ".join(f"({k}, '{' + '.join(map(ru.label, x))}', {max(10, 3 * len(x))})" for k, x in enumerate(ru.candidates()))
+
+
+@query(f"""
+WITH found AS ({_discovery_sql()}), names(candidate, name, required_bars) AS (VALUES {_NAMES})
+SELECT symbol, timeframe, name, required_bars, format('Auto-discovered: {{}} | Future 3 bars | WinRate={{:.1f}}% AvgRet={{:.2f}} Samples={{}} PF={{:.2f}}', name, round(win_rate * 100, 1), round(avg_return, 2), sample_count, round(profit_factor, 2)) AS description,
+       {cols(['win_rate', 'avg_return'])}, sample_count, 60 AS cooldown_minutes, CASE WHEN symbol = 'view' THEN 2 ELSE 3 END::BIGINT AS created_ms
+FROM found JOIN names USING (candidate) WHERE symbol IN ('view', 'click')
+""")
+def rule_discovery_saved(spark, d):
+    """The rules of two series saved to a versioned table, those of one of them twice."""
+    path, bars = tb.work_path(spark, "rules"), fx.bars(spark, d)
+    found = tb.stored(ru.discover(bars, vo.volume_stats(bars)), "discovery")
+    for at, symbol in ((1, "click"), (2, "view"), (3, "click")):
+        ru.save_discovered(found, path, symbol, "1h", at)
+    return versions.read(spark, path, ru.STORED_RULES).select(
+        "symbol", "timeframe", "name", "required_bars", "description", "win_rate", "avg_return", "sample_count", "cooldown_minutes", "created_ms"
+    )
+
+
 @query("WITH n AS (SELECT unnest(range(29)) AS i) SELECT a.i, b.i AS j FROM n a JOIN n b ON b.i > a.i AND b.i < a.i + 20")
 def rule_pairs_band_join(spark, d):
     n = spark.range(29)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,18 +28,27 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 
 def put_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a small file that must not be there yet: false, and nothing written, if it is."""
+    """Writes a small file that must not be there yet: false, and nothing written, if it is.
+    The file system makes it or refuses; stores without exclusive creation need one writer."""
     fs, at = _at(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{spark._jvm.java.util.UUID.randomUUID()}")
-    out = fs.create(beside, False)
-    out.write(bytearray(text.encode()))
-    out.close()
     try:
-        # renaming onto a file that is there fails
-        return not fs.exists(at) and fs.rename(beside, at)
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        if fs.exists(at):
+            return False
+        raise OSError(str(e)) from e
+    try:
+        out.write(bytearray(text.encode()))
     finally:
-        fs.delete(beside, False)
+        out.close()
+    return True
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+    """A small file as it is."""
+    fs, at = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

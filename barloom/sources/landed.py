@@ -58,26 +58,43 @@ def forced_orders(payloads: DataFrame, symbol: str, json_col: str = "payload") -
     ).where("time is not null")
 
 
+#: What is read of a feed: RSS items in or beside the channel, and Atom entries.
+_ITEM = "struct<title:string,link:string,description:string,pubDate:string>"
+_ENTRY = "struct<title:string,link:array<struct<_rel:string,_href:string>>,summary:string,published:string>"
+FEED = f"channel struct<title:string,item:array<{_ITEM}>>, item array<{_ITEM}>, title string, entry array<{_ENTRY}>"
+
+
 def feed(payloads: DataFrame, source_col: str = "source", xml_col: str = "payload") -> DataFrame:
-    """Articles of RSS and Atom payloads, one by one, so that what an article lacks is null and
-    moves nothing. The alternate link, else the first one; articles with a blank link go. The
-    title has 2000 characters at most and the link 4000. A blank source is the feed's title,
-    else RSS."""
-    xml = F.coalesce(F.col(xml_col), F.lit(""))
-    first = lambda x, *paths: F.coalesce(*(F.nullif(F.trim(F.get(F.xpath(x, F.lit(p)), F.lit(0))), F.lit("")) for p in paths))
-    items = F.regexp_extract_all(xml, F.lit(r"(?s)(<(item|entry)[\s>].*?</\2>)"), F.lit(1))
-    own = F.regexp_replace(xml, r"(?s)<(item|entry)[\s>].*?</\1>", "")
-    own_title = F.nullif(F.trim(F.regexp_extract(own, r"(?s)<title[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</title>", 1)), F.lit(""))
-    source = F.coalesce(F.nullif(F.trim(F.col(source_col)), F.lit("")), own_title, F.lit("RSS"))
-    x = F.col("x")
-    # prefixes are declared outside of the item
-    plain = F.regexp_replace(F.regexp_replace(F.col("item"), r"<(/?)[\w.-]+:([\w.-]+)", "<$1other-$2"), r"\s[\w.-]+:[\w.-]+\s*=\s*(\"[^\"]*\"|'[^']*')", "")
-    rows = payloads.select(source.alias(source_col), F.explode(items).alias("item")).select(source_col, plain.alias("x")).select(
+    """Articles of RSS, RDF and Atom payloads, read by the schema FEED: elements of other
+    namespaces are not taken for a feed's own, CDATA may hold anything, and an article lacks what
+    it lacks. The alternate link, else the first one; articles with a blank link go. The title
+    has 2000 characters at most and the link 4000. A blank source is the feed's title, else RSS.
+    A payload that is no well-formed XML has no articles.
+    """
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    # an Atom feed may carry its own namespace as a prefix on every element
+    prefixed = F.rlike(F.col(xml_col), F.lit(r"<[\w.-]+:feed[\s>]"))
+    parsed = lambda bare: F.from_xml(F.col(xml_col), FEED, {"ignoreNamespace": bare})
+    docs = payloads.where(F.col(xml_col).isNotNull()).select(
+        F.col(source_col), F.when(prefixed, parsed("true")).otherwise(parsed("false")).alias("f")
+    )
+    items = F.concat(F.coalesce("f.channel.item", F.array()), F.coalesce("f.item", F.array()))
+    first = lambda links: F.get(F.transform(links, lambda x: x["_href"]), F.lit(0))
+    alternate = lambda x: F.filter(x["link"], lambda y: F.coalesce(y["_rel"], F.lit("alternate")) == "alternate")
+    article = lambda title, link, summary, published: F.struct(
+        title.alias("title"), link.alias("link"), summary.alias("summary"), published.alias("published")
+    )
+    found = F.concat(
+        F.transform(items, lambda x: article(x["title"], x["link"], x["description"], x["pubDate"])),
+        F.transform(F.coalesce("f.entry", F.array()), lambda x: article(x["title"], F.coalesce(first(alternate(x)), first(x["link"])), x["summary"], x["published"])),
+    )
+    source = F.coalesce(blank(F.col(source_col)), blank(F.coalesce("f.channel.title", "f.title")), F.lit("RSS"))
+    rows = docs.select(source.alias(source_col), F.explode(found).alias("x")).select(
         source_col,
-        F.substring(F.coalesce(first(x, "/*/title/text()"), F.lit("(no title)")), 1, 2000).alias("title"),
-        F.substring(first(x, "/item/link/text()", "/entry/link[@rel='alternate' or not(@rel)]/@href", "/entry/link/@href"), 1, 4000).alias("link"),
-        first(x, "/item/description/text()", "/entry/summary/text()").alias("summary"),
-        first(x, "/item/pubDate/text()", "/entry/published/text()").alias("published"),
+        F.substring(F.coalesce(blank(F.col("x.title")), F.lit("(no title)")), 1, 2000).alias("title"),
+        F.substring(blank(F.col("x.link")), 1, 4000).alias("link"),
+        blank(F.col("x.summary")).alias("summary"),
+        blank(F.col("x.published")).alias("published"),
     )
     return rows.where("link <> ''").select(F.sha2("link", 256).alias("id"), source_col, "title", "link", "summary", "published")
 

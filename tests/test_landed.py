@@ -53,6 +53,24 @@ def test_feed_keeps_what_belongs_together(spark):
     assert (len(r["title"]), len(r["link"]), len(r["summary"]), r["source"]) == (2000, 4000, 5000, "src")
 
 
+HOSTILE = """<?xml version="1.0"?><!-- <item><title>comment</title><link>http://x/no</link></item> -->
+<rss version="2.0" xmlns:media="m" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>The <![CDATA[<feed>]]></title><atom:link href="http://self" rel="self"/>
+<item><title><![CDATA[A </item> <b>x</b> & y]]></title><media:title>other</media:title><media:link>http://x/other</media:link><link>http://x/a</link><guid isPermaLink="false">g</guid><description><p>in <i>parts</i></p></description></item>
+<item><title type="x">T &amp; U &lt;b&gt;</title><link> http://x/b </link><source><item>deep</item><link>http://x/deep</link></source></item></channel></rss>"""
+PREFIXED = """<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>Pre</a:title><a:entry><a:title>E</a:title><a:link href="http://x/e"/><a:summary type="xhtml"><div>s <b>q</b></div></a:summary><a:published>2024-01-01T00:00:00Z</a:published></a:entry></a:feed>"""
+RDF = """<rdf:RDF xmlns:rdf="r" xmlns="http://purl.org/rss/1.0/"><channel><title>Old</title></channel><item><title>R</title><link>http://x/r</link></item></rdf:RDF>"""
+
+
+def test_feed_is_read_as_xml(spark):
+    got = landed.feed(payloads(spark, HOSTILE, PREFIXED, RDF, "<rss><channel><item><title>broken", "no xml", source=None)).collect()
+    assert sorted((r["source"], r["title"], r["link"], r["summary"], r["published"]) for r in got) == [
+        ("Old", "R", "http://x/r", None, None),
+        ("Pre", "E", "http://x/e", "<div>s <b>q</b></div>", "2024-01-01T00:00:00Z"),
+        ("The <feed>", "A </item> <b>x</b> & y", "http://x/a", "<p>in <i>parts</i></p>", None),
+        ("The <feed>", "T & U <b>", "http://x/b", None, None),
+    ]
+
+
 def met(spark, cond, stats=True):
     rows = [("S", "1h", i, 1.0, 2.0, 0.5, 1.5, float(v), a, p, m) for i, (v, a, p, m) in enumerate([(10, None, None, None), (10, 1.0, 1.0, 1.0), (30, 2.0, 3.0, 0.5)])]
     df = spark.createDataFrame(rows, BARS + ", anomaly_ratio double, vs_previous double, vs_max10 double").selectExpr("*", "high - low as rng")
