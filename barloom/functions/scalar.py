@@ -46,7 +46,16 @@ def event_ms(ts: Column) -> Column:
 
 
 def iso_utc(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(_utc(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def hour_minute(ms: Column) -> Column:
+    return F.date_format(_utc(ms), "HH:mm")
+
+
+def _utc(ms: Column) -> Column:
+    """The UTC clock at a time, without a zone, so that the session's does not move it."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(ms.cast("decimal(18,3)") / 1000).cast("decimal(18,6)"))
 
 
 def utc_day(ms: Column) -> Column:

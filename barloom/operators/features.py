@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import horizon_bars, interval_ms, pattern_code, ratio
 from barloom.operators.indicators import rsi_slope, sma_ratio, zscore
-from barloom.operators.series import KEY, lag, lead, rows, whole
+from barloom.operators.series import KEY, SERIES, lag, lead, rows, whole
 
 #: The 32 features, in order, and the eight that windows are made of.
 FEATURES = [
@@ -21,11 +21,20 @@ FEATURES = [
 WINDOW_FEATURES = ["close_pct_change1", "body_pct", "high_low_range_pct", "rsi14", "macd_histogram_norm", "ema12_dist", "ema26_dist", "volume_zscore"]
 
 
-def feature_store(indicators: DataFrame, timeframe: str, active_rules: int = 0, gate: float | None = 0.25) -> DataFrame:
+def feature_store(indicators: DataFrame, timeframe: str, active_rules: int | DataFrame = 0, gate: float | None = 0.25, least_bars: int = 300) -> DataFrame:
     """indicators: bars with technical indicators and the structs metric (or null) and
     pattern (or null) of as-of joins. 32 features and null_ratio, the share of them that is
-    null; rows over the gate are left out."""
+    null; rows over the gate are left out, and series of fewer than least_bars bars.
+    active_rules is a number, or a table (symbol, timeframe, active_rule_count): a series that
+    it lacks has none."""
     c = F.col
+    long = indicators.groupBy(*SERIES).count().where(c("count") >= least_bars)
+    indicators = indicators.join(long.select(*SERIES), SERIES, "left_semi")
+    if isinstance(active_rules, DataFrame):
+        counts = active_rules.select(*SERIES, c("active_rule_count").alias("_rules"))
+        indicators, active = indicators.join(counts, SERIES, "left"), F.coalesce(c("_rules"), F.lit(0)).cast("int")
+    else:
+        active = F.lit(active_rules)
     rng, body = c("high") - c("low"), F.abs(c("close") - c("open"))
     change = lambda k: ratio(c("close") - lag("close", k), lag("close", k)) * 100
     of_range = lambda x: F.when(rng > 0, ratio(x, rng))
@@ -47,7 +56,7 @@ def feature_store(indicators: DataFrame, timeframe: str, active_rules: int = 0,
         (ratio(c("obv") - c("obv_ema50"), F.abs("obv_ema50")) * 100).alias("obv_ema_dist"),
         dist("vwap").alias("vwap_dist"), dist("rolling_vwap24").alias("rolling_vwap_dist"),
         *(c(f"metric.{m}").alias(m) for m in ("funding_rate_zscore", "oi_delta_pct", "long_liquidation_usd", "short_liquidation_usd")),
-        pattern_code(c("pattern.pattern_type")).alias("recent_pattern_encoded"), F.lit(active_rules).alias("active_rule_count"),
+        pattern_code(c("pattern.pattern_type")).alias("recent_pattern_encoded"), active.alias("active_rule_count"),
     )
     nulls = sum((c(f).isNull().cast("int") for f in FEATURES[1:]), c(FEATURES[0]).isNull().cast("int"))
     out = out.withColumn("null_ratio", nulls / len(FEATURES))

@@ -151,6 +151,16 @@ def _recognised(judged: DataFrame, ahead: bool = False) -> DataFrame:
     )
 
 
+def filtered(patterns: DataFrame, from_ms: int | None = None, to_ms: int | None = None, category: str | None = None, pattern_type: str | None = None) -> DataFrame:
+    """Patterns that begin within from and to, both included, of a category and a type; what is
+    not given or blank asks for nothing."""
+    out = patterns if from_ms is None else patterns.where(F.col("open_time_ms") >= from_ms)
+    out = out if to_ms is None else out.where(F.col("open_time_ms") <= to_ms)
+    for name, value in (("category", category), ("pattern_type", pattern_type)):
+        out = out.where(F.col(name) == value.strip()) if (value or "").strip() else out
+    return out
+
+
 def ngrams(patterns: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), least: int = 5) -> DataFrame:
     """Runs of n patterns in order of time and name, as JSON chains, of series with at least
     `least` patterns."""

@@ -200,8 +200,8 @@ def candidates() -> list[tuple[Condition, ...]]:
     return [(x,) for x in s] + pairs + fixed
 
 
-def discover(bars: DataFrame, stats: DataFrame, future: int = 3, min_win: float = 0.5, min_n: int = 5, min_avg: float = 0.1, top: int = 100) -> DataFrame:
-    """Back-tests every candidate rule over all bars and keeps the best.
+def discover(bars: DataFrame, stats: DataFrame, future: int = 3, min_win: float = 0.5, min_n: int = 5, min_avg: float = 0.1, top: int = 100, least_bars: int = 200) -> DataFrame:
+    """Back-tests every candidate rule over all bars of series of least_bars bars, and keeps the best.
 
     Each distinct condition is one boolean column; a bar's met candidates become rows, and
     one aggregation a candidate follows. No bar is joined with candidates it does not meet.
@@ -214,7 +214,7 @@ def discover(bars: DataFrame, stats: DataFrame, future: int = 3, min_win: float
     i, n = index(), F.count("*").over(whole())
     ahead = F.lead("close", future).over(by_time())
     b = b.withColumns({f"_p{k}": predicate(x, stats=True) for k, x in enumerate(distinct)} | {"_i": i, "_n": n, "ret": ratio(ahead - F.col("close"), F.col("close")) * 100})
-    b = b.where((F.col("_i") >= 10) & (F.col("_i") < F.col("_n") - future) & F.col("ret").isNotNull())
+    b = b.where((F.col("_i") >= 10) & (F.col("_i") < F.col("_n") - future) & F.col("ret").isNotNull() & (F.col("_n") >= least_bars))
     at = {x: k for k, x in enumerate(distinct)}
     met = F.array_compact(F.array(*(F.when(_all(*(F.col(f"_p{at[x]}") for x in conds)), F.lit(k)) for k, conds in enumerate(found))))
     hits = b.select(*SERIES, "ret", F.explode(met).alias("candidate"))

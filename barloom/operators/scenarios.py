@@ -50,7 +50,7 @@ def scenarios(bars: DataFrame, least: int = 5) -> DataFrame:
 
 def summary(found: DataFrame) -> DataFrame:
     """One line for each series, the strongest scenario first."""
-    text = F.format_string("%s (%.2f)", "scenario", "strength")
+    text = F.format_string("%s (%.2f)", "scenario", F.round("strength", 2))
     return found.groupBy(*SERIES).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("strength")).alias("s"), "scenario", text.alias("t")))), lambda x: x["t"]), "; ").alias("summary")
     )

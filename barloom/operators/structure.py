@@ -10,7 +10,8 @@ from barloom.operators.series import SERIES, by_time, index, rows, whole
 
 def swings(bars: DataFrame, k: int = 5) -> DataFrame:
     """Bars whose high (low) is above (below) those of k bars on each side. label compares a
-    swing with the one of its kind before: HH, LH, HL or LL, null for the first."""
+    swing with the one of its kind before: HH, LH, HL or LL, null for the first of a kind and for the
+    first two of the series."""
     high = (F.col("high") > F.max("high").over(rows(-k, -1))) & (F.col("high") > F.max("high").over(rows(1, k)))
     low = (F.col("low") < F.min("low").over(rows(-k, -1))) & (F.col("low") < F.min("low").over(rows(1, k)))
     inner = (F.col("_i") >= k) & (F.col("_i") < F.col("_n") - k)
@@ -31,7 +32,8 @@ def swings(bars: DataFrame, k: int = 5) -> DataFrame:
     label = F.when(F.col("type") == "High", F.when(F.col("price") > before, "HH").when(before.isNotNull(), "LH")).otherwise(
         F.when(F.col("price") > before, "HL").when(before.isNotNull(), "LL")
     )
-    return points.withColumn("label", label)
+    place = F.row_number().over(Window.partitionBy(*SERIES).orderBy("open_time_ms", "type"))
+    return points.withColumn("label", F.when(place > 2, label))
 
 
 def events(points: DataFrame) -> DataFrame:

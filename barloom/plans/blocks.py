@@ -229,8 +229,8 @@ met AS (SELECT symbol, open_time_ms, max(funding_rate_zscore) AS funding_rate_zs
                max(long_liquidation_usd) AS long_liquidation_usd, max(short_liquidation_usd) AS short_liquidation_usd FROM met0 GROUP BY symbol, open_time_ms)"""
 
 
-def features() -> str:
-    """feat: the feature store of 1h bars. Needs bars, frames, folds, trends, patterns, metrics."""
+def features(active: str = "0") -> str:
+    """feat: the feature store of 1h bars; active is the number of a row's active rules. Needs bars, frames, folds, trends, patterns, metrics."""
     from barloom.operators.features import FEATURES
 
     z = lambda c: f"CASE WHEN i >= 19 THEN CASE WHEN stddev_pop({c}) OVER w20 > 0 THEN ({c} - avg({c}) OVER w20) / stddev_pop({c}) OVER w20 ELSE 0 END END"
@@ -245,7 +245,7 @@ def features() -> str:
         "(bollinger_upper - bollinger_lower) / nullif(bollinger_middle, 0) * 100",
         "CASE WHEN bollinger_upper - bollinger_lower > 0 THEN (close - bollinger_lower) / (bollinger_upper - bollinger_lower) END",
         "atr14 / nullif(close, 0) * 100", "(obv - obv_ema50) / nullif(abs(obv_ema50), 0) * 100", dist("vwap"), dist("rolling_vwap24"),
-        "m_f", "m_o", "m_l", "m_s", "('0x' || substr(md5(p_type), 1, 7))::BIGINT % 1000", "0",
+        "m_f", "m_o", "m_l", "m_s", "('0x' || substr(md5(p_type), 1, 7))::BIGINT % 1000", active,
     ]
     return f"""
 pat1 AS (SELECT symbol, open_time_ms, max(pattern_type) AS p_type FROM pat GROUP BY symbol, open_time_ms),
@@ -253,7 +253,7 @@ j1 AS (SELECT ind.*, met.funding_rate_zscore AS m_f, met.oi_delta_pct AS m_o, me
        FROM ind ASOF LEFT JOIN met ON ind.symbol = met.symbol AND ind.open_time_ms >= met.open_time_ms),
 j2 AS (SELECT j1.*, pat1.p_type FROM j1 ASOF LEFT JOIN pat1 ON j1.symbol = pat1.symbol AND j1.open_time_ms >= pat1.open_time_ms),
 feat0 AS (SELECT symbol, timeframe, open_time_ms, i, close, {", ".join(f"{e} AS {f}" for e, f in zip(made, ["_" + f for f in FEATURES]))}
-          FROM j2 WINDOW w AS ({S}), w20 AS ({S} ROWS 19 PRECEDING)),
+          FROM j2 WHERE n >= 300 WINDOW w AS ({S}), w20 AS ({S} ROWS 19 PRECEDING)),
 feat1 AS (SELECT symbol, timeframe, open_time_ms, i, close, {", ".join(f"_{f} AS {f}" for f in FEATURES)},
                  ({" + ".join(f"(_{f} IS NULL)::INT" for f in FEATURES)}) / {float(len(FEATURES))} AS null_ratio FROM feat0),
 feat AS (SELECT * FROM feat1 WHERE null_ratio <= 0.25)"""

@@ -20,6 +20,7 @@ from barloom.operators import rules as ru
 from barloom.operators import scenarios as sc
 from barloom.operators import slices as sl
 from barloom.operators import structure as st
+from barloom.operators import summaries as su
 from barloom.operators import targets as tg
 from barloom.operators import text as tx
 from barloom.operators import validate as va
@@ -234,13 +235,13 @@ def asof_metrics(spark, d):
 
 # features
 
-def feature_rows(spark, d) -> DataFrame:
+def feature_rows(spark, d, active_rules: int | DataFrame = 0) -> DataFrame:
     """Indicators and features are stored tables, each built from the one before."""
     bars = fx.bars(spark, d)
     ind = tb.stored(ti.technical_indicators(bars), "indicators")
     found = pt.recognise(bars).groupBy("symbol", "open_time_ms").agg(F.max("pattern_type").alias("pattern_type"))
     both = mm.as_of(mm.as_of(ind, market_metrics(spark, d), "metric"), found, "pattern")
-    return tb.stored(ft.feature_store(both, "1h", gate=None), "features").where("null_ratio <= 0.25")
+    return tb.stored(ft.feature_store(both, "1h", active_rules, gate=None), "features").where("null_ratio <= 0.25")
 
 
 FEAT = f"{IND}, {b.trends()}, {b.patterns()}, {b.metrics()}, {b.features()}"
@@ -311,6 +312,11 @@ def window_datasets(spark, d):
     return ft.window_datasets(feature_rows(spark, d), targets, "1h").drop("vector")
 
 
+def _daily(bars: DataFrame) -> DataFrame:
+    """Every day of a series as a series of its own."""
+    return bars.withColumn("symbol", F.concat_ws("@", "symbol", F.floor(F.col("open_time_ms") / 86_400_000)))
+
+
 # patterns
 
 PAT = f"WITH {b.bars()}, {b.trends()}, {b.patterns()}"
@@ -332,6 +338,12 @@ def paged_patterns(spark, d):
     return tb.page(rows, [F.desc("open_time_ms"), F.col("symbol"), F.col("pattern_type"), F.col("span")], 2, 50)
 
 
+@query(f"{PAT} SELECT {PAT_COLS} FROM pat WHERE open_time_ms BETWEEN 1704500000000 AND 1705500000000 AND category = 'Double' AND pattern_type = 'BullishEngulfing'")
+def filtered_patterns(spark, d):
+    """By beginning, category and type."""
+    return pt.filtered(pt.recognise(fx.bars(spark, d)), 1_704_500_000_000, 1_705_500_000_000, "Double", "BullishEngulfing").select(*PAT_COLS.split(", "))
+
+
 @query(f"""
 {PAT}, o AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS m FROM pat),
 g AS (SELECT symbol, timeframe, open_time_ms AS start_time_ms, pattern_type AS a,
@@ -355,7 +367,7 @@ sw0 AS (SELECT *, max(high) OVER wb AS hb, max(high) OVER wa AS ha, min(low) OVE
 sw1 AS (SELECT symbol, timeframe, open_time_ms, i AS bar_index, 'High' AS type, high AS price FROM sw0 WHERE high > hb AND high > ha AND i >= 5 AND i < n - 5
         UNION ALL SELECT symbol, timeframe, open_time_ms, i, 'Low', low FROM sw0 WHERE low < lb AND low < la AND i >= 5 AND i < n - 5),
 sw2 AS (SELECT *, lag(price) OVER (PARTITION BY symbol, type ORDER BY open_time_ms) AS pp FROM sw1),
-sw AS (SELECT *, CASE WHEN pp IS NULL THEN NULL WHEN type = 'High' THEN CASE WHEN price > pp THEN 'HH' ELSE 'LH' END ELSE CASE WHEN price > pp THEN 'HL' ELSE 'LL' END END AS label FROM sw2),
+sw AS (SELECT *, CASE WHEN pp IS NULL OR row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms, type) < 3 THEN NULL WHEN type = 'High' THEN CASE WHEN price > pp THEN 'HH' ELSE 'LH' END ELSE CASE WHEN price > pp THEN 'HL' ELSE 'LL' END END AS label FROM sw2),
 ev2 AS (SELECT *, lag(type) OVER w AS bt, lag(label) OVER w AS bl FROM sw WINDOW w AS (PARTITION BY symbol ORDER BY open_time_ms, type))"""
 
 
@@ -414,6 +426,115 @@ def scenario_summary(spark, d):
     return sc.summary(sc.scenarios(fx.bars(spark, d, "15m")))
 
 
+DAYS = f"""
+days AS (SELECT symbol || '@' || (open_time_ms // 86400000) AS symbol, timeframe, open_time_ms, open, high, low, close, volume,
+                row_number() OVER (PARTITION BY symbol, open_time_ms // 86400000 ORDER BY open_time_ms) - 1 AS i, count(*) OVER (PARTITION BY symbol, open_time_ms // 86400000) AS n FROM bars),
+{SCN.replace("FROM bars WINDOW", "FROM days WINDOW")}"""
+
+
+@query(f"WITH {b.bars()}, {DAYS} SELECT symbol, timeframe, scenario, {b.r('strength')}, direction FROM scn")
+def scenarios_daily(spark, d):
+    """The scenarios that every day of every series ends in."""
+    return sc.scenarios(_daily(fx.bars(spark, d)))
+
+
+@query(f"WITH {b.bars()}, {DAYS} SELECT symbol, timeframe, string_agg(format('{{}} ({{:.2f}})', scenario, round(strength, 2)), '; ' ORDER BY strength DESC, scenario) AS summary FROM scn GROUP BY symbol, timeframe")
+def scenario_summary_daily(spark, d):
+    return sc.summary(sc.scenarios(_daily(fx.bars(spark, d))))
+
+
+# texts
+
+STRUCTURE = f"""{SW},
+ev3 AS (SELECT symbol, timeframe, open_time_ms, type, price, unnest([
+    CASE WHEN type = 'High' AND label = 'HH' AND bt = 'Low' THEN 'BOS|Break of Structure: Higher High' WHEN type = 'Low' AND label = 'LL' AND bt = 'High' THEN 'BOS|Break of Structure: Lower Low' END,
+    CASE WHEN type = 'Low' AND label = 'LL' AND bt = 'High' AND bl = 'HH' THEN 'CHoCH|Change of Character: Bullish to Bearish'
+         WHEN type = 'High' AND label = 'LH' AND bt = 'Low' AND bl = 'HL' THEN 'CHoCH|Change of Character: Bearish to Bullish' END]) AS e FROM ev2),
+ev4 AS (SELECT *, split_part(e, '|', 1) AS kind, split_part(e, '|', 2) AS message, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms DESC, type DESC, e DESC) AS back FROM ev3 WHERE e IS NOT NULL),
+cnt AS (SELECT symbol, count(*) FILTER (WHERE kind = 'BOS') AS bos, count(*) FILTER (WHERE kind = 'CHoCH') AS choch,
+               string_agg('- [' || kind || '] ' || message || ' @ ' || format('{{:.2f}}', round(price, 2)), chr(10) ORDER BY back DESC) FILTER (WHERE back <= 3) AS lines FROM ev4 GROUP BY symbol),
+l AS (SELECT symbol, timeframe, count(*) AS n, arg_max(coalesce(label, ''), open_time_ms) FILTER (WHERE type = 'High') AS last_high, arg_max(coalesce(label, ''), open_time_ms) FILTER (WHERE type = 'Low') AS last_low
+      FROM sw GROUP BY symbol, timeframe)"""
+
+
+@query(f"{STRUCTURE} SELECT symbol, '1h' AS timeframe, bos, choch FROM cnt")
+def structure_event_counts(spark, d):
+    return su.event_counts(st.events(st.swings(fx.bars(spark, d))))
+
+
+@query(f"""{STRUCTURE}
+SELECT symbol, timeframe, 'Market Structure: ' || n || ' swing points detected. Current trend: ' ||
+       CASE WHEN last_high = 'HH' AND last_low = 'HL' THEN 'Uptrend' WHEN last_high = 'LH' AND last_low = 'LL' THEN 'Downtrend' ELSE 'Sideways' END || '.' ||
+       CASE WHEN lines IS NULL THEN '' ELSE chr(10) || 'Events: ' || bos || ' BOS, ' || choch || ' CHoCH.' || chr(10) || lines END AS structure_summary
+FROM l LEFT JOIN cnt USING (symbol)""")
+def structure_summary(spark, d):
+    points = tb.stored(st.swings(fx.bars(spark, d)), "swings")
+    return su.structure_summary(points, st.events(points), st.trend(points))
+
+
+@query(f"""
+WITH {b.bars()}, {b.volume()}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms DESC) AS back FROM vol)
+SELECT symbol, timeframe, 'Latest volume anomaly: ' || format('{{:.2f}}', round(max(anomaly_ratio) FILTER (WHERE back = 1), 2)) || 'x (avg last 5 bars: ' || format('{{:.2f}}', round(avg(anomaly_ratio), 2)) || 'x). ' ||
+       CASE WHEN max(anomaly_ratio) FILTER (WHERE back = 1) > 1.5 THEN 'Above-average volume.' WHEN max(anomaly_ratio) FILTER (WHERE back = 1) < 0.5 THEN 'Below-average volume.' ELSE 'Normal volume.' END AS volume_summary
+FROM l WHERE back <= 5 GROUP BY symbol, timeframe""")
+def volume_summary(spark, d):
+    return su.volume_summary(vo.volume_stats(fx.bars(spark, d)))
+
+
+@query(f"""
+WITH {b.bars()}, last AS (SELECT * FROM (SELECT *, n - i AS back FROM bars) WHERE back <= 48),
+x AS (SELECT *, row_number() OVER w AS k, greatest(close - lag(close) OVER w, 0) AS up, greatest(lag(close) OVER w - close, 0) AS down FROM last WINDOW w AS ({b.S})),
+f AS (SELECT symbol, timeframe, count(*) AS c, arg_min(close, open_time_ms) AS a, arg_max(close, open_time_ms) AS z, min(open_time_ms) AS t0, max(open_time_ms) AS t1, max(high) AS hi, min(low) AS lo,
+             avg(up) FILTER (WHERE back <= 14) AS u, avg(down) FILTER (WHERE back <= 14) AS dn FROM x GROUP BY symbol, timeframe)
+SELECT symbol, timeframe, symbol || ' (' || timeframe || ' candles, last ' || c || ' bars).' || chr(10) ||
+       'First bar close (oldest in window): ' || format('{{:.2f}}', round(a, 2)) || ' at ' || strftime(make_timestamp(t0 * 1000), '%Y-%m-%dT%H:%M:%S.000Z') || '.' || chr(10) ||
+       'Last bar close (newest): ' || format('{{:.2f}}', round(z, 2)) || ' at ' || strftime(make_timestamp(t1 * 1000), '%Y-%m-%dT%H:%M:%S.000Z') || '.' || chr(10) ||
+       'Period high: ' || format('{{:.2f}}', round(hi, 2)) || ', period low: ' || format('{{:.2f}}', round(lo, 2)) || '.' || chr(10) ||
+       'Approximate change from oldest to newest close in window: ' || format('{{:.2f}}', round(coalesce((z - a) / nullif(a, 0) * 100, 0), 2)) || '%.' || chr(10) ||
+       'Simple RSI(14) on closes (last window): ' || CASE WHEN c < 15 THEN 'n/a (not enough bars)' ELSE format('{{:.2f}}', round(CASE WHEN dn = 0 THEN 100 ELSE 100 - 100 / (1 + u / dn) END, 2)) END || '.' AS head
+FROM f""")
+def tech_summary_text(spark, d):
+    """The first paragraph; the tests hold the others."""
+    return su.tech_summary(fx.bars(spark, d)).select("symbol", "timeframe", F.split_part("tech_summary", F.lit("\n\n"), F.lit(1)).alias("head"))
+
+
+def _news(spark, d) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Every embedding as that of the first line of the document of its number; the query is the first one."""
+    e, articles = fx.table(spark, d, "embeddings"), fx.articles(spark, d).withColumn("id", F.col("id").cast("long"))
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    chunks = e.select(F.col("vec_id").alias("article_id"), F.lit(0).alias("chunk_index"), "embedding").join(articles.select(F.col("id").alias("article_id"), F.col("title").alias("text")), "article_id")
+    return chunks, articles, list(q)
+
+
+NEWS = """
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1] * z[2])::DOUBLE)) /
+             (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE)))) AS similarity FROM embeddings, q),
+top AS (SELECT vec_id, similarity, substr(split_part(text, chr(10), 1), 1, 200) AS title FROM s JOIN documents ON doc_id = vec_id ORDER BY similarity DESC, vec_id LIMIT 8),
+news AS (SELECT string_agg('---' || chr(10) || 'Title: ' || title || chr(10) || 'Link: doc://' || vec_id || chr(10) || title, chr(10) || chr(10) ORDER BY similarity DESC, vec_id) AS context FROM top)"""
+
+
+@query(f"{NEWS} SELECT context FROM news")
+def news_context(spark, d):
+    return su.news_context(*_news(spark, d))
+
+
+@query("""
+WITH a AS (SELECT doc_id::VARCHAR AS id, substr(split_part(text, chr(10), 1), 1, 200) AS title, CASE WHEN doc_id % 7 <> 0 THEN 1700000000 + doc_id * 3600 ELSE 1700001800 + doc_id * 3600 END AS made FROM documents ORDER BY 3 DESC, 1 LIMIT 8)
+SELECT '(Retrieved by recency; embedding similarity unavailable.)' || chr(10) || string_agg('---' || chr(10) || 'Title: ' || title || chr(10) || 'Link: doc://' || id, chr(10) || chr(10) ORDER BY made DESC, id) AS context FROM a
+""")
+def news_context_latest(spark, d):
+    """Without a query vector: the latest articles."""
+    articles = fx.articles(spark, d)
+    return su.news_context(tx.embed(tx.chunks(articles.limit(0))), articles, None)
+
+
+@query(f"{NEWS}, {b.bars()} SELECT DISTINCT symbol, timeframe, context AS news_context FROM bars, news")
+def analysis_context(spark, d):
+    """What an analysis of each series is asked with; the text of prices is tech_summary_text's."""
+    return su.analysis_context(fx.bars(spark, d), *_news(spark, d)).select("symbol", "timeframe", "news_context")
+
+
 # rules
 
 C = ru.Condition
@@ -498,7 +619,7 @@ def _discovery_sql() -> str:
     names = ", ".join(f"({k}, '{' + '.join(sorted(c.signature for c in x))}')" for k, x in enumerate(found))
     return f"""
 WITH {b.bars()}, {b.volume()}, d0 AS (SELECT *, {conds}, (lead(close, 3) OVER w - close) / nullif(close, 0) * 100 AS ret FROM vol WINDOW w AS ({b.S})),
-d1 AS (SELECT symbol, timeframe, ret, unnest([{hits}]) AS candidate FROM d0 WHERE i >= 10 AND i < n - 3 AND ret IS NOT NULL),
+d1 AS (SELECT symbol, timeframe, ret, unnest([{hits}]) AS candidate FROM d0 WHERE n >= 200 AND i >= 10 AND i < n - 3 AND ret IS NOT NULL),
 d2 AS (SELECT symbol, timeframe, candidate, count(*) AS sample_count, count(*) FILTER (WHERE ret > 0.3) AS w, count(*) FILTER (WHERE ret < -0.3) AS l, avg(ret) AS avg_return,
               sum(greatest(ret, 0)) AS plus, sum(least(ret, 0)) AS minus FROM d1 WHERE candidate IS NOT NULL GROUP BY symbol, timeframe, candidate HAVING count(*) >= 10),
 d3 AS (SELECT symbol, timeframe, candidate, sample_count, w / (w + l + 0.0001) AS win_rate, avg_return, plus / (-minus + 0.0001) AS profit_factor, -minus AS max_drawdown FROM d2),
@@ -544,6 +665,17 @@ def pattern_increments(spark, d):
 _NAMES = ", ".join(f"({k}, '{' + '.join(map(ru.label, x))}', {max(10, 3 * len(x))})" for k, x in enumerate(ru.candidates()))
 
 
+@query(f"""
+{IND}, {b.trends()}, {b.patterns()}, {b.metrics()}, {b.features("(SELECT count(*) FROM disc WHERE disc.symbol = j2.symbol)").replace("pat1 AS (", f"disc AS ({_discovery_sql()}), pat1 AS (", 1)}
+SELECT {KEYS}, close_pct_change1, active_rule_count FROM feat""".replace("SELECT symbol, timeframe, open_time_ms, close_pct_change1", f"SELECT {KEYS}, {b.r('close_pct_change1')}"))
+def ml_features_with_rules(spark, d):
+    """Features with the number of enabled rules that discovery has saved for their series."""
+    bars = fx.bars(spark, d)
+    saved = ru.as_stored(ru.discover(bars, vo.volume_stats(bars)), 0)
+    rows = feature_rows(spark, d, tb.stored(rd.active_rules(saved), "active-rules"))
+    return rows.select(*KEY, "close_pct_change1", F.col("active_rule_count").cast("long").alias("active_rule_count"))
+
+
 @query(f"""
 WITH found AS ({_discovery_sql()}), names(candidate, name, required_bars) AS (VALUES {_NAMES})
 SELECT symbol, timeframe, name, required_bars, format('Auto-discovered: {{}} | Future 3 bars | WinRate={{:.1f}}% AvgRet={{:.2f}} Samples={{}} PF={{:.2f}}', name, round(win_rate * 100, 1), round(avg_return, 2), sample_count, round(profit_factor, 2)) AS description,
