@@ -22,8 +22,8 @@ MESSAGES = {
 
 
 def two(c: Column) -> Column:
-    """Two decimals, halves away from zero."""
-    return F.format_string("%.2f", F.round(c, 2))
+    """Two decimals, halves away from zero; null stays null."""
+    return F.when(c.isNotNull(), F.format_string("%.2f", F.round(c, 2)))
 
 
 def joined(items: Column, mark: str) -> Column:
