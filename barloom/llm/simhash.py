@@ -296,46 +296,81 @@ def _led(members: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _unlinked(members: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs of texts of different groups that can reach the similarity, by prefix,
-    size and position filters. groups(node, label); a text outside them is its own.
-
-    A shingle whose texts are all in one group gives no pair and is passed over, so that
-    large groups of near copies cost nothing here. The first shingle that two texts share
-    says by its places how many they can share at most. Texts of a hot shingle are cut into
-    slices of about HOT_SLICE: each text meets one slice as the lesser of a pair and all as
-    the other, and no pair is lost."""
-    own = members.join(groups.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "size", "token", "pos", F.coalesce("label", "key").alias("label")
-    )
-    mixed = (
-        own.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low <> high")
-        .select("token", F.ceil(F.col("n") / HOT_SLICE).alias("slices"))
+def _stars(links: DataFrame) -> DataFrame:
+    """key, center, far: each linked text with the one among itself and its links that has most
+    links, and its distance (1 - similarity) from it."""
+    both = links.select(F.col("a").alias("key"), F.col("b").alias("to"), "similarity").unionAll(links.select(F.col("b").alias("key"), F.col("a").alias("to"), "similarity"))
+    degree = both.groupBy("key").agg(F.count("*").alias("links"))
+    offered = both.join(degree.withColumnRenamed("key", "to"), "to").select("key", F.struct("links", "to", (1 - F.col("similarity")).alias("far")).alias("x"))
+    own = degree.select("key", F.struct("links", F.col("key").alias("to"), F.lit(0.0).alias("far")).alias("x"))
+    best = offered.unionAll(own).groupBy("key").agg(F.max("x").alias("x"))
+    return best.select("key", F.col("x.to").alias("center"), F.col("x.far").alias("far"))
+
+
+def _in_slices(rows: DataFrame, key: str, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of rows with themselves by `by`: a row of the left side meets one
+    slice, of the right side it has all, so that a hot key is cut into about HOT_SLICE rows."""
+    counts = rows.groupBy(*by).agg(F.ceil(F.count("*") / HOT_SLICE).alias("slices"))
+    counted = cut(rows.join(counts, [*by]))
+    left = counted.withColumn("slice", F.pmod(F.xxhash64(key), F.col("slices")))
+    return left.alias("x"), counted.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).alias("y")
+
+
+def _near_stars(own: DataFrame, similarity: float) -> DataFrame:
+    """a, b, least: pairs of centers of different groups whose members share a rare shingle and
+    might reach the similarity, and what the centers must reach for that.
+
+    1 - Jaccard similarity is a distance: members within it of each other have centers at most
+    that and both radii apart. Members of a group are not compared with each other, and a star
+    meets another one once, however many members both have."""
+    stars = own.groupBy("token", "label", "center").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.col("size") - F.col("pos")).alias("after"), F.max("radius").alias("radius"))
+    mixed = stars.groupBy("token").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("token")
+    x, y = _in_slices(stars.join(mixed, "token"), "center", "token")
+    wanted = F.ceil((F.col("x.low") + F.col("y.low")) * (similarity / (1 + similarity)) - 1e-6)
+    return (
+        x.join(
+            y,
+            (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.slice") == F.col("y.slice"))
+            & (F.col("x.center") < F.col("y.center"))
+            & (F.col("x.label") != F.col("y.label"))
+            & (F.col("x.high") >= similarity * F.col("y.low"))
+            & (F.col("y.high") >= similarity * F.col("x.low"))
+            & (F.least("x.after", "y.after") >= wanted),
+        )
+        .groupBy(F.col("x.center").alias("a"), F.col("y.center").alias("b"))
+        .agg((similarity - F.max("x.radius") - F.max("y.radius")).alias("least"))
     )
-    left = cut(own.join(mixed, "token"))
-    x = left.withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices"))).alias("x")
-    y = left.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).alias("y")
+
+
+def _between(own: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of members of stars(a, b, similarity), by prefix, size and position, that their
+    distances from the centers let be near enough."""
+    pairs = stars.select(F.col("a").alias("ca"), F.col("b").alias("cb"), (1 - F.col("similarity")).alias("apart"))
+    x = own.join(pairs.withColumnRenamed("ca", "center"), "center").select("token", F.col("center").alias("ca"), "cb", "apart", "key", "size", "pos", "far").alias("x")
+    y = own.join(pairs.withColumnRenamed("cb", "center"), "center").select("token", "ca", F.col("center").alias("cb"), "key", "size", "pos", "far").alias("y")
     after = lambda t: F.col(f"{t}.size") - F.col(f"{t}.pos")
     wanted = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
     return (
         x.join(
             y,
             (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.slice") == F.col("y.slice"))
-            & (F.col("x.key") < F.col("y.key"))
-            & (F.col("x.label") != F.col("y.label"))
+            & (F.col("x.ca") == F.col("y.ca"))
+            & (F.col("x.cb") == F.col("y.cb"))
+            & (F.col("x.far") + F.col("y.far") >= F.col("x.apart") - (1 - similarity) - 1e-9)
             & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
             & (F.least(after("x"), after("y")) >= wanted),
         )
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         .distinct()
     )
 
 
 def _judged(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs(a, b) whose shingle sets reach the similarity. pairs are read twice."""
+    """The pairs(a, b) whose shingle sets reach the similarity, or their own `least` where they
+    have that column, with their similarity. pairs are read twice."""
     key_type = texts.schema["key"].dataType.simpleString()
+    pairs = pairs.select("a", "b", F.col("least") if "least" in pairs.columns else F.lit(similarity).alias("least"))
     involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     if involved.count() <= BROADCAST_KEYS:
         involved = F.broadcast(involved)
@@ -347,31 +382,47 @@ def _judged(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for p, q in zip(batch.column(2), batch.column(3)):
+            found = []
+            for p, q in zip(batch.column(3), batch.column(4)):
                 u, v = np.frombuffer(p.as_py(), dtype="<u8"), np.frombuffer(q.as_py(), dtype="<u8")
                 both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+                found.append(both / max(1, len(u) + len(v) - both))
+            ok = pa.array(np.array(found) >= batch.column(2).to_numpy(zero_copy_only=False) - 1e-9, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (*batch.columns[:2], pa.array(found, pa.float64()))], names=["a", "b", "similarity"])
 
     hashed = cut(texts.select("key", "text").join(involved, "key", "left_semi").mapInArrow(sets, f"key {key_type}, hashes binary"))
     first, second = hashed.toDF("a", "ha"), hashed.toDF("b", "hb")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, f"a {key_type}, b {key_type}")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "least", "ha", "hb").mapInArrow(run, f"a {key_type}, b {key_type}, similarity double")
 
 
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """texts(key, text), distinct -> links(a, b) of Jaccard similarity of shingle sets at
     least the given one: enough of them to connect all that such links connect.
 
-    Two passes over the rare shingles that texts share. In the first a text meets leaders
+    Three passes over the rare shingles that texts share. In the first a text meets leaders
     only; pairs whose pivot distances differ by more than FIRST_RADIUS or whose fingerprints
-    do are discarded, and the shingle sets decide. In the second all pairs between the groups
-    so linked are judged: no link between two groups is lost. Keys of links are ordered.
-    Shingles are compared by 64-bit hashes."""
+    do are discarded, and the shingle sets decide. The groups so linked are covered by stars:
+    a center, and texts linked to it. In the second, centers of different groups meet, and
+    are judged by what their radii ask for. In the third, members of those stars that are left
+    meet. No link between two groups is lost. Keys of links are ordered. Shingles are compared
+    by 64-bit hashes."""
     members = cut(_members(cut(_marks(texts, shingle, similarity))))
     links = cut(_judged(cut(_led(members, similarity)), texts, shingle, similarity))
-    rest = cut(_unlinked(members, connected_components(links), similarity))
-    return links.unionAll(_judged(rest, texts, shingle, similarity))
+    groups, stars = connected_components(links), cut(_stars(links))
+    radii = stars.groupBy("center").agg(F.max("far").alias("radius"))
+    own = cut(
+        members.join(groups.withColumnRenamed("node", "key"), "key", "left")
+        .join(stars.join(radii, "center"), "key", "left")
+        .select(
+            "key", "size", "token", "pos", F.coalesce("label", "key").alias("label"), F.coalesce("center", "key").alias("center"),
+            F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("radius", F.lit(0.0)).alias("radius"),
+        )
+    )
+    close = cut(_judged(cut(_near_stars(own, similarity)), texts, shingle, similarity))
+    # stars whose centers are near enough are linked; of the others members must be looked at
+    linked = F.col("similarity") >= similarity - 1e-9
+    rest = cut(_between(own, close.where(~linked), similarity))
+    return links.select("a", "b").unionAll(close.where(linked).select("a", "b")).unionAll(_judged(rest, texts, shingle, similarity).select("a", "b"))
 
 
 def dedup_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
