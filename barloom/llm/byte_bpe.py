@@ -17,6 +17,7 @@ import codecs
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +43,30 @@ class ByteBpe:
     """One vocabulary in a worker."""
 
     def __init__(self, rank_file: bytes, pattern: str):
+        ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in rank_file.splitlines() if x.strip())}
+        self.by_latin1 = byte_characters()
+        self.pattern = regex.compile(pattern)
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, r in ranks.items():
+            self.bytes_of[r] = t
+        self.length_of = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
+        self.seen: dict[str, bytes] = {}
+
+    @cached_property
+    def model(self):
+        """Made when the first text is encoded: a worker that decodes holds the bytes of ids only."""
         from tokenizers import models
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in rank_file.splitlines() if x.strip())}
-        chars = byte_characters()
-        shown = {t: "".join([chars[b] for b in t]) for t in ranks}
+        ranks = {t: r for r, t in enumerate(self.bytes_of) if t}
+        shown = {t: "".join([self.by_latin1[b] for b in t]) for t in ranks}
         merges = []
-        for t, r in sorted(ranks.items(), key=lambda x: x[1]):
+        for t, r in ranks.items():
             for i in range(1, len(t)):
                 left, right = t[:i], t[i:]
                 if ranks.get(left, r) < r and ranks.get(right, r) < r:
                     merges.append((shown[left], shown[right]))
-        self.model = models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
-        self.by_latin1 = chars
-        self.pattern = regex.compile(pattern)
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for t, r in ranks.items():
-            self.bytes_of[r] = t
-        self.length_of = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
-        self.seen: dict[str, bytes] = {}
+        return models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
 
     def _piece(self, piece: str) -> bytes:
         chars = piece.encode("utf-8", "replace").decode("latin-1").translate(self.by_latin1)
@@ -122,34 +127,40 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 PART_ROWS = 512
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """id, n_tokens, ids, the character offsets start and end of each id, and the text if it is
-    to be kept."""
+def _encoded(model: ByteBpe, texts: list[str]) -> list[pa.Array]:
+    """n_tokens, ids, starts and ends of some texts."""
+    ids = [model.encode(t) for t in texts]
+    spans = [model.offsets(i, t.encode("utf-8", "replace")) for i, t in zip(ids, texts)]
+    return [pa.array([len(i) for i in ids], pa.int64()), _lists(ids), _lists([a for a, _ in spans]), _lists([b for _, b in spans])]
+
+
+def _decoded(model: ByteBpe, ids: pa.Array) -> list[bytes]:
+    return [model.decode(x) for x in _arrays(ids)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ids, and the character offsets start and end of each id."""
     ship(df.sparkSession)
     held = file_broadcast(df.sparkSession, ranks_path)
-    names = ["id", "n_tokens", "ids", "starts", "ends", "text"][: 6 if keep_text else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(held.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, PART_ROWS):
-                part = batch.slice(at, PART_ROWS)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [model.encode(t) for t in texts]
-                spans = [model.offsets(i, t.encode("utf-8", "replace")) for i, t in zip(ids, texts)]
-                columns = [
-                    part.column(0), pa.array([len(i) for i in ids], pa.int64()), _lists(ids),
-                    _lists([a for a, _ in spans]), _lists([b for _, b in spans]), pa.array(texts, pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), *_encoded(model, part.column(1).to_pylist())], names=["id", "n_tokens", "ids", "starts", "ends"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, n_tokens long, ids array<int>, starts array<int>, ends array<int>" + ", text string" * keep_text
-    return (
-        df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, schema)
-        .withColumnRenamed("id", id_col)
-    )
+    schema = f"id {id_type}, n_tokens long, ids array<int>, starts array<int>, ends array<int>"
+    return _texts(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -160,13 +171,12 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(held.value, pattern)
-        for batch in batches:
-            ids = _arrays(batch.column(1))
-            data = [model.decode(x) for x in ids]
+        for part in _parts(batches):
+            data = _decoded(model, part.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data], pa.string()),
-                    pa.array([model.decode_pieces(x) for x in ids], pa.list_(pa.string())),
+                    part.column(0), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data], pa.string()),
+                    pa.array([model.decode_pieces(x) for x in _arrays(part.column(1))], pa.list_(pa.string())),
                 ],
                 names=["id", "data", "text", "pieces"],
             )
@@ -182,22 +192,24 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Encodes with offsets, decodes the ids again, and returns id, n_tokens, the ids as
     little-endian unsigned 32-bit integers (if they are to be kept), both digests, whether the
-    text came back and whether the offsets cover it from end to end."""
-    encoded = encode(df, ranks_path, pattern, id_col, text_col, keep_text=True)
+    text came back and whether the offsets cover it from end to end. Both ways pass in one
+    worker, PART_ROWS texts at a time: offsets and ids of more texts are never held."""
+    ship(df.sparkSession)
     held = file_broadcast(df.sparkSession, ranks_path)
     names = ["id", "n_tokens", "ids_u32", "ids_sha256", "decoded_sha256", "same_text", "covered"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, digest = model_of(held.value, pattern), lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            texts, starts, ends = batch.column(5).to_pylist(), _arrays(batch.column(3)), _arrays(batch.column(4))
-            packed = [x.astype("<u4").tobytes() for x in _arrays(batch.column(2))]
-            back = [model.decode(np.frombuffer(x, dtype="<u4")) for x in packed]
+        for part in _parts(batches):
+            texts = part.column(1).to_pylist()
+            n_tokens, ids, starts, ends = _encoded(model, texts)
+            packed, back = [x.astype("<u4").tobytes() for x in _arrays(ids)], _decoded(model, ids)
             covered = [
-                len(t) == 0 if not len(a) else a[0] == 0 and b[-1] == len(t) and bool((a[1:] <= b[:-1]).all()) for t, a, b in zip(texts, starts, ends)
+                len(t) == 0 if not len(a) else a[0] == 0 and b[-1] == len(t) and bool((a[1:] <= b[:-1]).all())
+                for t, a, b in zip(texts, _arrays(starts), _arrays(ends))
             ]
             columns = [
-                batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(map(digest, packed), pa.string()), pa.array(map(digest, back), pa.string()),
+                part.column(0), n_tokens, pa.array(packed, pa.binary()), pa.array(map(digest, packed), pa.string()), pa.array(map(digest, back), pa.string()),
                 pa.array([x.decode("utf-8", "replace") == t for x, t in zip(back, texts)], pa.bool_()), pa.array(covered, pa.bool_()),
             ]
             keep = [k for k, n in enumerate(names) if keep_ids or n != "ids_u32"]
@@ -205,4 +217,4 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, n_tokens long, " + "ids_u32 binary, " * keep_ids + "ids_sha256 string, decoded_sha256 string, same_text boolean, covered boolean"
-    return encoded.withColumnRenamed(id_col, "id").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return _texts(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
