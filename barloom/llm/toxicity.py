@@ -3,7 +3,8 @@
 Texts are lower-cased; every run of 3 to 6 characters, spaces included, is hashed into
 2**20 features, present or absent. On labelled rows the ratio r of a feature is the log of
 its share among toxic rows over its share among others, with add-one smoothing. A logistic
-regression (Spark ML) on the features times r then gives the weights.
+regression (Spark ML) on the features times r then gives the weights; features whose shares
+are within LEAST_ERRORS standard errors of each other tell nothing, and weigh nothing.
 
 Nulls count as empty texts; texts without features score by the intercept alone. Repeated
 rows are scored each. Texts of any length are read whole. Empty tables give empty results.
@@ -30,9 +31,9 @@ LEAST, MOST = 3, 6
 #: About so many labelled rows are fitted at most: where there are more, those whose hash is
 #: in the first FIT_ROWS / rows of all hashes.
 FIT_ROWS = 20_000
-#: So many features are fitted, those with the largest ratio against its error: a choice of
-#: the model, made on all counts. With all 2**20 far fewer toxic texts are found (README).
-FIT_FEATURES = 4096
+#: A feature is fitted if its shares in both classes are so many standard errors apart, however
+#: many features are: what chance alone may have made would only hide the others (README).
+LEAST_ERRORS = 4.0
 #: Score of every text where there is nothing to learn from.
 NO_EVIDENCE = 0.25
 FIT_PARTS = 24
@@ -98,12 +99,12 @@ def _sparse(at: list[np.ndarray], values: list[np.ndarray], size: int) -> pa.Str
     )
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fit_rows: int | None = FIT_ROWS, fit_features: int = FIT_FEATURES) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fit_rows: int | None = FIT_ROWS, least_errors: float = LEAST_ERRORS) -> Model:
     """Learns from text_col and label_col (0 or 1; other labels are left out) alone.
 
-    The counts are made in Spark and reach the driver for at most fit_features features;
-    the sample's bound is fit_rows (None: rows is a sample already), the only limit on what
-    is learned from.
+    The counts are made in Spark; of the 2**FEATURE_BITS features at most, those that tell the
+    labels apart by least_errors reach the driver. The sample's bound is fit_rows (None: rows is a
+    sample already), the only limit on what is learned from.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import VectorUDT
@@ -124,18 +125,21 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     if not clean or not toxic:
         return Model(float(np.log((toxic + 1) / (clean + 1))), flat)
     ratio = F.log((F.col("toxic") + 1) / (toxic + 2)) - F.log((F.col("clean") + 1) / (clean + 2))
-    error = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
+    share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    apart, error = F.abs(F.col("toxic") / toxic - F.col("clean") / clean), F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     chosen = (
         sample.mapInArrow(_counts, "feature long, clean long, toxic long")
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .withColumn("r", ratio)
-        .orderBy(F.desc(F.abs("r") / error), "feature")
-        .limit(fit_features)
+        .where((apart >= least_errors * error) & (share < 1))
+        .where("r <> 0")
         .select("feature", "r")
-        .collect()
+        .toPandas()
     )
-    by = {r["feature"]: r["r"] for r in chosen}
+    if chosen.empty:
+        return Model(float(np.log((toxic + 1) / (clean + 1))), flat)
+    by = dict(zip(chosen["feature"].tolist(), chosen["r"].tolist()))
     at = np.array(sorted(by), dtype="i8")
     ratios = np.array([by[f] for f in at.tolist()])
 
