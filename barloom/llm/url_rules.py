@@ -10,7 +10,8 @@ the largest confidence, then one that blocks.
 
 Null URLs and URLs without :// have empty host and path, no tokens, and are allowed, as is
 a URL that no rule fits. Repeated rows come back each, and hot URLs are judged once. Empty
-tables give empty results; without labels no rule is mined. Only the named columns are read.
+tables give empty results; without labels no rule is mined. URLs of any length are taken whole.
+Only the named columns are read, so that extra columns of any name do no harm.
 """
 
 from __future__ import annotations

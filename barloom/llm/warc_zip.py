@@ -8,7 +8,9 @@ takes the members' places from it, reads the index, and range-reads the records.
 Records with equal payloads of at least 1000 bytes are written once: the one with the
 largest id is the response, the others revisit it. Rows that share the largest id are all
 responses; a null id never is while another id is there. Null texts are empty payloads,
-null URLs have no target. Rows may repeat; each is a record. Empty tables give no archives.
+null URLs have no target. Rows may repeat; each is a record. Payloads of any length are written
+and read whole, one at a time. Empty tables give no archives. Only the named columns are read,
+so that extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -110,8 +112,10 @@ def directory(pages: _Pages) -> dict[str, tuple[int, int]]:
     """Data offset and size of each stored member, from the central directory."""
     tail_at = max(0, pages.size - 22 - 65535 - 20)
     tail = pages.read(tail_at, pages.size - tail_at)
+    # a note may look like the record that it belongs to
+    ends = lambda at: at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and not ends(at):
         at = tail.rfind(END, 0, at)
     if at < 0:
         raise ValueError("no end of a central directory")
