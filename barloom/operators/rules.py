@@ -168,7 +168,7 @@ def cooled_down(fired: DataFrame, signals: DataFrame, as_of_ms: int) -> DataFram
 
 
 def candidate_singles() -> list[Condition]:
-    """The 29 single conditions, in their fixed order."""
+    """The 29 single conditions, in their order."""
     out = []
     for n in (2, 3, 4):
         out += [Condition("consecutive_bars", direction=d, count=n) for d in ("green", "higher_close", "red", "lower_close")]
@@ -182,7 +182,7 @@ def candidate_singles() -> list[Condition]:
 
 
 def candidates() -> list[tuple[Condition, ...]]:
-    """Singles, the pairs i < j < i + 20 of them, and six fixed combinations."""
+    """Singles, the pairs i < j < i + 20 of them, and six combinations (fixed values)."""
     s = candidate_singles()
     c = Condition
     green3, vol12 = c("consecutive_bars", direction="green", count=3), c("volume_compare", operator="gt", reference="sma", period=20, multiplier=1.2)
