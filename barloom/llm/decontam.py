@@ -2,9 +2,10 @@
 
 For each benchmark item of n words, windows of n words slide over a document word by word.
 A window's fingerprint is looked up in the items of n words through a multi-index: the 64
-bits are cut into blocks, and two fingerprints within the radius differ in at most
-radius / blocks bits in some block, so that the lists of all block values within that many
-bits hold every item within the radius. Candidates are verified exactly: the weighted
+bits are cut into blocks, each with an allowance of bits. Two fingerprints that differ by more
+than its allowance in every block differ by at least the sum of (allowance + 1); the allowances
+make that sum radius + 1, so that the lists of all block values within their allowances hold
+every item within the radius. Candidates are verified exactly: the weighted
 Jaccard similarity (sum of minima over sum of maxima of the shingle counts) must reach the
 threshold.
 
@@ -37,12 +38,20 @@ from barloom.llm.common import BROADCAST_LIMIT, ship, work_path
 from barloom.llm.shingles import shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-RADIUS, BLOCKS = 24, 8
+RADIUS = 24
+#: Bits of the blocks that a fingerprint is cut into.
+BLOCKS = (11, 11, 11, 11, 10, 10)
 SCREEN_BITS = 22
 SCREENED_BYTES = 1 << 20
 #: Windows times items of a length that are looked up at once.
 WINDOWS_BY_ITEMS = 1 << 22
-_close = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype="u1") ^ np.uint8(v)) <= RADIUS // BLOCKS) for v in range(256)]
+
+
+def allowances(radius: int, blocks: tuple[int, ...] = BLOCKS) -> list[int]:
+    """The bits by which each block may differ: one more of each makes radius + 1. The first
+    blocks get what is over."""
+    each, over = divmod(radius + 1, len(blocks))
+    return [each + (b < over) - 1 for b in range(len(blocks))]
 
 
 _table = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -81,18 +90,32 @@ class Items:
                 self.with_shingle[x].append(i)
         self.own = [np.array(sorted(c), dtype="u8") for c in self.counts]
         self.prints = np.array(self.prints, dtype="u8")
-        # lists[b][v]: the items whose block b is within RADIUS / BLOCKS bits of v
-        self.lists = [np.zeros((256, len(self.ids)), dtype=bool) for _ in range(BLOCKS)]
-        for i, fp in enumerate(self.prints.tolist()):
-            for b in range(BLOCKS):
-                self.lists[b][_close[fp >> (8 * b) & 255], i] = True
+        # lists[b][v]: a bit for each item whose block b is within the allowance of v
+        self.lists = []
+        for first, bits, most in self._blocks():
+            own = self._block(self.prints, first, bits).astype("u2")
+            values = np.arange(1 << bits, dtype="u2").reshape(-1, 128, 1)
+            self.lists.append(np.concatenate([np.packbits(np.bitwise_count(v ^ own) <= most, axis=1) for v in values]))
+
+    @staticmethod
+    def _blocks() -> list[tuple[int, int, int]]:
+        """First bit, bits and allowance of the blocks."""
+        return [(sum(BLOCKS[:b]), bits, most) for b, (bits, most) in enumerate(zip(BLOCKS, allowances(RADIUS), strict=True))]
+
+    @staticmethod
+    def _block(prints: np.ndarray, first: int, bits: int) -> np.ndarray:
+        return (prints >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype("i8")
+
+    def listed(self, prints: np.ndarray) -> np.ndarray:
+        """For each fingerprint and item, whether a block of theirs is within its allowance."""
+        any_list = np.zeros((len(prints), (len(self.ids) + 7) // 8), dtype="u1")
+        for (first, bits, _), lists in zip(self._blocks(), self.lists, strict=True):
+            any_list |= lists[self._block(prints, first, bits)]
+        return np.unpackbits(any_list, axis=1, count=len(self.ids)).view(bool)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a fingerprint and an item within the radius."""
-        listed = np.zeros((len(prints), len(self.ids)), dtype=bool)
-        for b in range(BLOCKS):
-            listed |= self.lists[b][(prints >> np.uint64(8 * b) & np.uint64(255)).astype("i8")]
-        k, i = np.nonzero(listed)
+        k, i = np.nonzero(self.listed(prints))
         ok = np.bitwise_count(prints[k] ^ self.prints[i]) <= RADIUS
         return k[ok], i[ok]
 
