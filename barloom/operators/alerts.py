@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.operators.ranges import less_pairs
 from barloom.schemas import ALERT_SETTINGS
 from barloom.sources.tables import upsert
 
@@ -40,11 +41,17 @@ def settings_of(stored: DataFrame, user_id: str) -> DataFrame:
 
 
 def price_hits(latest: DataFrame, settings: DataFrame) -> DataFrame:
-    """latest(symbol, close, trigger_time_ms) against each user's thresholds."""
-    hit = F.array_compact(F.array(
-        F.when(F.col("close") > F.col("price_above"), F.lit("price_above")), F.when(F.col("close") < F.col("price_below"), F.lit("price_below"))
-    ))
-    return latest.crossJoin(F.broadcast(settings.where("enabled"))).select("user_id", "symbol", F.explode(hit).alias("type"), F.col("close").alias("price_snapshot"), "trigger_time_ms", "cooldown_minutes")
+    """latest(symbol, close, trigger_time_ms) against each user's thresholds: a close over
+    price_above or under price_below. Only closes and thresholds that make a hit meet."""
+    users = settings.where("enabled")
+    closes = latest.select("symbol", F.col("close").cast("double").alias("price_snapshot"), "trigger_time_ms")
+
+    def threshold(name: str) -> DataFrame:
+        return users.select("user_id", "cooldown_minutes", F.col(name).cast("double").alias("_threshold"), F.lit(name).alias("type"))
+
+    over = less_pairs(threshold("price_above"), closes, "_threshold", "price_snapshot")
+    under = less_pairs(closes, threshold("price_below"), "price_snapshot", "_threshold", deal_high=True)
+    return over.unionByName(under).select("user_id", "symbol", "type", "price_snapshot", "trigger_time_ms", "cooldown_minutes")
 
 
 def not_recent(hits: DataFrame, alerts: DataFrame, as_of_ms: int) -> DataFrame:

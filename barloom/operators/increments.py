@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import patterns as pt
 from barloom.operators.series import KEY, SERIES
+from barloom.operators.volume import BACK as VOLUME_BACK
 from barloom.operators.volume import volume_stats
 from barloom.sources.tables import append_new
 from barloom.streaming import ledger
@@ -22,9 +23,9 @@ PATTERNS = (
     "pattern_type string, span int, trend_direction string, end_time_ms long, category string"
 )
 PATTERN_KEY = [*KEY, "pattern_type"]
-#: Bars that volume statistics look back on, and those that a pattern and its trends do: five
-#: changes of the close before the first of three bars, one of which may be stored already.
-VOLUME_BACK, PATTERN_BACK = 20, 10
+#: Bars that a pattern and its trends look back on: five changes of the close before the first
+#: of three bars, one of which may be stored already.
+PATTERN_BACK = 10
 
 
 def tail(bars: DataFrame, marks: DataFrame, back: int) -> DataFrame:

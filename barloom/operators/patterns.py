@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import ratio, utc_day
-from barloom.operators.series import KEY, SERIES, by_time, index, lag, lead, rows, whole
+from barloom.operators import slices as sl
+from barloom.operators.series import KEY, SERIES, by_time, whole
+from barloom.operators.slices import neighbour
 
 #: Fixed value: shapes smaller than this count as nothing.
 EPSILON = 1e-7
@@ -20,19 +22,29 @@ def shape(o: Column, h: Column, low: Column, c: Column) -> dict[str, Column]:
     }
 
 
-def with_trend(bars: DataFrame) -> DataFrame:
-    """Adds trend (over up to six bars that end at each bar) and global_trend (over the last
-    six bars of the series): Uptrend, Downtrend or Sideways."""
-    up, down = (F.col("close") > lag("close")).cast("int"), (F.col("close") < lag("close")).cast("int")
-    moved = bars.withColumns({"_i": index(), "_n": F.count("*").over(whole()), "_up": F.coalesce(up, F.lit(0)), "_down": F.coalesce(down, F.lit(0))})
-    ups, downs = F.sum("_up").over(rows(-4, 0)), F.sum("_down").over(rows(-4, 0))
-    at = lambda u, d, ok: F.when(ok & (u >= 4) & (d <= 1), "Uptrend").when(ok & (d >= 4) & (u <= 1), "Downtrend").otherwise("Sideways")
-    last = F.col("_i") >= F.col("_n") - 5
-    u = F.sum(F.when(last, F.col("_up")).otherwise(0)).over(whole())
-    d = F.sum(F.when(last, F.col("_down")).otherwise(0)).over(whole())
-    return moved.withColumns({
-        "trend": at(ups, downs, F.least(F.col("_i"), F.lit(5)) >= 3), "global_trend": at(u, d, F.col("_n") >= 6),
-    }).drop("_i", "_n", "_up", "_down")
+def _named(ups: Column, downs: Column, enough: Column) -> Column:
+    """The trend of up to five changes of the close."""
+    up, down = enough & (ups >= 4) & (downs <= 1), enough & (downs >= 4) & (ups <= 1)
+    return F.when(up, "Uptrend").when(down, "Downtrend").otherwise("Sideways")
+
+
+def with_trend(bars: DataFrame, slice_bars: int = sl.SLICE_BARS) -> DataFrame:
+    """bars in slices, with trend (over up to six bars that end at each bar): Uptrend, Downtrend
+    or Sideways. A slice has what its own bars, and two after them, need to be right."""
+    before = sl.neighbour("close", -1)
+    up, down = (F.col("close") > before).cast("int"), (F.col("close") < before).cast("int")
+    moved = sl.sliced(sl.placed(bars), before=5, after=2, slice_bars=slice_bars).withColumns({"_up": F.coalesce(up, F.lit(0)), "_down": F.coalesce(down, F.lit(0))})
+    ups, downs = F.sum("_up").over(sl.window(-4, 0)), F.sum("_down").over(sl.window(-4, 0))
+    return moved.withColumn("trend", _named(ups, downs, F.col("_i") >= 3))
+
+
+def with_global_trend(trended: DataFrame, slice_bars: int = sl.SLICE_BARS) -> DataFrame:
+    """Adds global_trend, over the last six bars of the series, to bars in slices. It comes to
+    them as one row for each slice, so that no series meets in one task."""
+    ends = trended.where(F.col("_own") & (F.col("_i") >= F.col("_n") - 5)).groupBy(*SERIES, "_n").agg(F.sum("_up").alias("u"), F.sum("_down").alias("d"))
+    slices = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.lit(slice_bars)))
+    named = ends.select(*SERIES, F.explode(slices).alias("_slice"), _named(F.col("u"), F.col("d"), F.col("_n") >= 6).alias("global_trend"))
+    return trended.join(named, sl.SLICED)
 
 
 def _rated(s: dict[str, Column]) -> tuple[Column, Column, Column]:
@@ -63,7 +75,7 @@ def single(trend: Column) -> Column:
 
 
 def _next(n: int) -> dict[str, Column]:
-    o, h, low, c = (lead(x, n) for x in ("open", "high", "low", "close"))
+    o, h, low, c = (neighbour(x, n) for x in ("open", "high", "low", "close"))
     return shape(o, h, low, c) | {"o": o, "h": h, "l": low, "c": c}
 
 
@@ -115,27 +127,28 @@ def triple(trend: Column) -> Column:
     )
 
 
-def recognise(bars: DataFrame) -> DataFrame:
+def recognise(bars: DataFrame, slice_bars: int = sl.SLICE_BARS) -> DataFrame:
     """One row for each pattern and start bar: span (bars it takes), the series' global
     trend by which it was judged, the bar's own trend (its last bar's for longer ones), and
     the category, which is Triple for names that start with Three alone."""
-    return _recognised(with_trend(bars))
+    return _recognised(with_global_trend(with_trend(bars, slice_bars), slice_bars))
 
 
-def recognise_daily(bars: DataFrame) -> DataFrame:
+def recognise_daily(bars: DataFrame, slice_bars: int = sl.SLICE_BARS) -> DataFrame:
     """The same, but judged by the trend at the end of the UTC day that a pattern ends in."""
-    day = Window.partitionBy(*SERIES, utc_day(F.col("open_time_ms")))
-    at_end = F.max_by("trend", "open_time_ms").over(day)
-    enough = F.max("_i").over(day) >= 5
-    trended = with_trend(bars).withColumn("_i", index())
-    return _recognised(trended.withColumn("global_trend", F.when(enough, at_end).otherwise("Sideways")).drop("_i"), ahead=True)
+    trended = with_trend(bars, slice_bars).withColumn("_day", utc_day(F.col("open_time_ms")))
+    days = trended.where("_own").groupBy(*SERIES, "_day").agg(
+        F.when(F.max("_i") >= 5, F.max_by("trend", "open_time_ms")).otherwise("Sideways").alias("global_trend")
+    )
+    return _recognised(trended.join(days, [*SERIES, "_day"]), ahead=True)
 
 
 def _recognised(judged: DataFrame, ahead: bool = False) -> DataFrame:
-    """Patterns of bars with their trends. ahead: a pattern is judged by the trend of its last bar."""
-    g = [lead("global_trend", n) if ahead and n else F.col("global_trend") for n in range(3)]
+    """Patterns of bars in slices with their trends. ahead: a pattern is judged by the trend of
+    its last bar."""
+    g = [neighbour("global_trend", n) if ahead and n else F.col("global_trend") for n in range(3)]
     mark = lambda p, n: F.struct(
-        p.alias("pattern_type"), F.lit(n).alias("span"), lead("trend", n - 1).alias("trend_direction"), lead("open_time_ms", n - 1).alias("end_time_ms"),
+        p.alias("pattern_type"), F.lit(n).alias("span"), neighbour("trend", n - 1).alias("trend_direction"), neighbour("open_time_ms", n - 1).alias("end_time_ms"),
         g[n - 1].alias("judged_by"))
     marks = F.filter(
         F.array(
@@ -144,7 +157,7 @@ def _recognised(judged: DataFrame, ahead: bool = False) -> DataFrame:
         ),
         lambda x: x["pattern_type"].isNotNull(),
     )
-    out = judged.withColumn("m", marks).select(*KEY, "open", "high", "low", "close", "volume", F.explode("m").alias("m"))
+    out = judged.withColumn("m", marks).where("_own").select(*KEY, "open", "high", "low", "close", "volume", F.explode("m").alias("m"))
     kind = F.when(F.col("m.span") == 1, "Single").when(F.startswith(F.col("m.pattern_type"), F.lit("Three")), "Triple").otherwise("Double")
     return out.select(
         *KEY, "open", "high", "low", "close", "volume", F.col("m.judged_by").alias("global_trend"), "m.pattern_type", "m.span", "m.trend_direction", "m.end_time_ms", kind.alias("category")

@@ -15,6 +15,7 @@ from barloom.operators import indicators as ti
 from barloom.operators import metrics as mm
 from barloom.operators import patterns as pt
 from barloom.operators import pca as pc
+from barloom.operators import ranges as rg
 from barloom.operators import reads as rd
 from barloom.operators import rules as ru
 from barloom.operators import scenarios as sc
@@ -240,7 +241,8 @@ def feature_rows(spark, d, active_rules: int | DataFrame = 0) -> DataFrame:
     bars = fx.bars(spark, d)
     ind = tb.stored(ti.technical_indicators(bars), "indicators")
     found = pt.recognise(bars).groupBy("symbol", "open_time_ms").agg(F.max("pattern_type").alias("pattern_type"))
-    both = mm.as_of(mm.as_of(ind, market_metrics(spark, d), "metric"), found, "pattern")
+    slot = 30 * 86_400_000
+    both = mm.as_of(mm.as_of(ind, market_metrics(spark, d), "metric", slice_ms=slot), found, "pattern", slice_ms=slot)
     return tb.stored(ft.feature_store(both, "1h", active_rules, gate=None), "features").where("null_ratio <= 0.25")
 
 
@@ -693,11 +695,11 @@ def rule_discovery_saved(spark, d):
     )
 
 
-@query("WITH n AS (SELECT unnest(range(29)) AS i) SELECT a.i, b.i AS j FROM n a JOIN n b ON b.i > a.i AND b.i < a.i + 20")
+@query("SELECT a.p_partkey AS i, b.p_partkey AS j FROM part a JOIN part b ON b.p_partkey > a.p_partkey AND b.p_partkey < a.p_partkey + 20")
 def rule_pairs_band_join(spark, d):
-    n = spark.range(29)
-    a, z = n.select(F.col("id").alias("i")), n.select(F.col("id").alias("j"))
-    return a.join(z, (F.col("j") > F.col("i")) & (F.col("j") < F.col("i") + 20))
+    """Pairs within 20 places, as the discovery pairs its conditions, of the numbers of parts."""
+    n = fx.table(spark, d, "part")
+    return rg.band_pairs(n.select(F.col("p_partkey").alias("i")), n.select(F.col("p_partkey").alias("j")), "i", "j", 20)
 
 
 # vectors and retrieval
