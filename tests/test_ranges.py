@@ -32,8 +32,8 @@ def test_less_pairs(spark, deal_high):
     assert rg.less_pairs(low.limit(0), high, "a", "b", deal_high).count() == rg.less_pairs(low, high.limit(0), "a", "b", deal_high).count() == 0
 
 
-def test_only_pairs_that_hold_meet(spark):
-    """Of rows that hold nowhere, none meets another."""
+def test_less_pairs_join_on_keys(spark):
+    """No pair holds here; the plan joins on equal keys alone."""
     low, high = spark.range(1000, 3000).selectExpr("double(id) a"), spark.range(0, 1000).selectExpr("double(id) b")
     plan = rg.less_pairs(low, high, "a", "b")
     assert plan.count() == 0
