@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import event_ms
+from barloom.functions.scalar import begun_ms, event_ms
 from barloom.operators import slices as sl
 from barloom.plans import blocks as b
 from barloom.plans.catalogue import KEYS, RULES, cols, query
@@ -30,10 +30,11 @@ def land(rows: DataFrame, at: str, folder: str, run: Callable[[], None]) -> None
         run()
 
 
-def over_events(spark: SparkSession, d: str, label: str, run: Callable[[SparkSession, DataFrame, str], None]) -> str:
-    """Lands the events and runs a stream over them; run(session, events, path) starts it and waits."""
+def over_events(spark: SparkSession, d: str, label: str, run: Callable[[SparkSession, DataFrame, str], None], ms: Callable[[Column], Column] = event_ms) -> str:
+    """Lands the events and runs a stream over them; run(session, events, path) starts it and waits.
+    ms is how their times are read."""
     path, own = tb.work_path(spark, label), streams.stream_session(spark)
-    events = fx.table(spark, d, "events").withColumn("t", event_ms(F.col("ts")))
+    events = fx.table(spark, d, "events").withColumn("t", ms(F.col("ts")))
     schema = events.schema
 
     def once() -> None:
@@ -68,7 +69,7 @@ def stream_cooldown(spark, d):
         hits = rows.where("value > 20").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("type"), "t", F.col("value").alias("price"), F.lit(2880).alias("cooldown_minutes"))
         streams.finished(streams.to_table(streams.cooled_alerts(hits), f"{p}/alerts", f"{p}/checkpoint"))
 
-    path = over_events(spark, d, "stream-alerts", run)
+    path = over_events(spark, d, "stream-alerts", run, begun_ms)
     return spark.read.schema(streams.ALERT).parquet(f"{path}/alerts")
 
 
