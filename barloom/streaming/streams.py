@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -69,27 +68,26 @@ class Cooldown(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "last_ms long, until_ms long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.last.get() if self.last.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # each call to the state is a message to the executor: one of a kind for a key, not for a hit
+        state = self.last.get()
         last, until = (int(state[0]), int(state[1])) if state else (None, None)
-        out = []
-        hits = sorted((int(t), float(p), int(m)) for f in rows for t, p, m in zip(f["t"], f["price"], f["cooldown_minutes"]))
-        for t, price, minutes in hits:
+        ends = until
+        for t, price, minutes in sorted((r["t"], r["price"], r["cooldown_minutes"]) for r in rows):
             if last is None or t - last > minutes * 60_000:
-                out.append((key[0], key[1], t, price))
-                last = t
-                if until is not None:
-                    self.handle.deleteTimer(until)
-                until = t + minutes * 60_000 + 1
-                self.handle.registerTimer(until)
-        if last is not None:
-            self.last.update((last, until))
-        yield pd.DataFrame(out, columns=["user_id", "type", "t", "price"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and int(self.last.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+                yield Row(user_id=key[0], type=key[1], t=t, price=price)
+                last, ends = t, t + minutes * 60_000 + 1
+        if ends != until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(ends)
+            self.last.update((last, ends))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.last.get()
+        if state and int(state[1]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
-        yield pd.DataFrame([], columns=["user_id", "type", "t", "price"])
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -104,7 +102,7 @@ def cooled_alerts(hits: DataFrame, late: str = "10 minutes") -> DataFrame:
     session whose state is on disk (stream_session).
     """
     timed = hits.withColumn("at", F.timestamp_millis("t")).withWatermark("at", late)
-    return timed.groupBy("user_id", "type").transformWithStateInPandas(
+    return timed.groupBy("user_id", "type").transformWithState(
         statefulProcessor=Cooldown(), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
     )
 

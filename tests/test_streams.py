@@ -176,3 +176,19 @@ def test_rule_cycles_are_those_of_the_batch(spark, tmp_path):
 def test_rule_stream_query_is_its_batches(spark):
     rows = entry.queries()["rule_stream"](spark, "/root/testdata/sf0.001").collect()
     assert {r["name"] for r in rows} <= {r.name for r in ca.RULES} and all(r["created_ms"] == r["trigger_time_ms"] + 3_600_000 for r in rows)
+
+
+def test_a_key_asks_its_state_once():
+    """However many hits of a key a batch lets through, its state gets one timer and one value."""
+    calls = []
+
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a)) or (self if name == "getValueState" else None)
+
+    cooldown = streams.Cooldown()
+    cooldown.init(Fake())
+    calls.clear()
+    hits = [{"t": k * 2 * MINUTE, "price": 1.0, "cooldown_minutes": 1} for k in range(50)]
+    assert [r["t"] for r in cooldown.handleInputRows(("u", "x"), iter(hits[::-1]), None)] == [h["t"] for h in hits]
+    assert calls == [("get",), ("registerTimer", 99 * MINUTE + 1), ("update", (98 * MINUTE, 99 * MINUTE + 1))]
