@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import file_broadcast, ship
+from barloom.llm.common import file_broadcast, kept, ship
 
 #: Pieces that a worker remembers, and the longest one it does.
 CACHE_PIECES, CACHE_CHARS = 400_000, 48
@@ -102,14 +102,8 @@ class ByteBpe:
         return [reader.decode(self.bytes_of[i], k + 1 == len(ids)) for k, i in enumerate(ids)]
 
 
-_models: dict[tuple[str, str], ByteBpe] = {}
-
-
 def model_of(rank_file: bytes, pattern: str) -> ByteBpe:
-    key = (hashlib.sha256(rank_file).hexdigest(), pattern)
-    if key not in _models:
-        _models[key] = ByteBpe(rank_file, pattern)
-    return _models[key]
+    return kept(("byte_bpe", hashlib.sha256(rank_file).hexdigest(), pattern), lambda: ByteBpe(rank_file, pattern))
 
 
 def _lists(made: list[np.ndarray]) -> pa.Array:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BROADCAST_LIMIT, ship, work_path
+from barloom.llm.common import BROADCAST_LIMIT, kept, ship, work_path
 from barloom.llm.shingles import shingles, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -229,15 +229,8 @@ class Matcher:
                     self._better(own, i, similarity(Counter(h[k : k + width].tolist()), own.counts[i]), a + k, best)
 
 
-_matchers: dict[tuple, Matcher] = {}
-
-
 def _matcher(held, threshold: float) -> Matcher:
-    key = (held.value[0], threshold)
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(held.value[1], threshold)
-    return _matchers[key]
+    return kept(("decontam", held.value[0], threshold), lambda: Matcher(held.value[1], threshold))
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator]:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BROADCAST_LIMIT, cut, ship, work_path
+from barloom.llm.common import BROADCAST_LIMIT, cut, release, ship, work_path
 from barloom.llm.components import connected_components
 from barloom.llm.shingles import shingle_lists
 
@@ -202,6 +202,7 @@ def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
     chunk = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(1 << ORDER_BITS, dtype="u4")
         for batch in batches:
             for h in shingle_lists(batch.column(1).to_pylist(), shingle):
@@ -237,6 +238,7 @@ def _marks(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         often = held.value
         for batch in batches:
             sizes, prints, tokens = [], [], []

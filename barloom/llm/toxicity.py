@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barloom.llm.common import cut, ship
+from barloom.llm.common import cut, release, ship
 
 FEATURE_BITS = 20
 LEAST, MOST = 3, 6
@@ -72,6 +72,7 @@ def held_out(id_col: str) -> Column:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     count = np.zeros((2, 1 << FEATURE_BITS), dtype="i8")
     for batch in batches:
         for y, text in zip(batch.column(0), batch.column(1)):
@@ -144,6 +145,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     ratios = np.array([by[f] for f in at.tolist()])
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             own = [np.searchsorted(at, np.intersect1d(features(t.as_py()), at, assume_unique=True)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), _sparse(own, [ratios[k] for k in own], len(at))], names=["y", "x"])
@@ -171,6 +173,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     held = df.sparkSession.sparkContext.broadcast((model.intercept, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = _scores(held, batch.column(1))
             yield pa.RecordBatch.from_arrays(
@@ -192,6 +195,7 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield batch.filter(pa.array(_scores(held, batch.column(at)) < 0.5))
 
