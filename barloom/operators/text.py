@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,11 +51,15 @@ def chunk(text: str | None, most: int = 1000, overlap: int = 120) -> list[str]:
     return [c if not i or not overlap else f"{out[i - 1][-overlap:]} {c}" for i, c in enumerate(out)]
 
 
+#: Articles that are cut at once: the chunks of more are never held.
+PART_ROWS = 256
+
+
 def chunks(articles: DataFrame, id_col: str = "id", text_col: str = "content", most: int = 1000, overlap: int = 120) -> DataFrame:
     """article_id, chunk_index and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):
             made = [chunk(t.as_py(), most, overlap) for t in batch.column(1)]
             rows = [k for k, c in enumerate(made) for _ in c]
             yield pa.RecordBatch.from_arrays(
@@ -82,7 +87,7 @@ def embed(chunks_: DataFrame, model=hashed_embedding, dim: int = 64, text_col: s
     @F.pandas_udf("array<float>")
     def call(texts):
         made = texts.map(lambda t: model(t) if t else None)
-        return made.map(lambda v: v if v is not None and len(v) == dim else None)
+        return made.map(lambda v: np.array(v, dtype="f4") if v is not None and len(v) == dim else None)
 
     return chunks_.withColumn("embedding", call(F.col(text_col)))
 

@@ -3,6 +3,8 @@
 import datetime as dt
 
 import __spark_entry__ as entry
+import pyarrow as pa
+
 from barloom.operators import features as ft
 from barloom.operators import patterns as pt
 from barloom.operators import scenarios as sc
@@ -100,3 +102,15 @@ def test_rule_counts_by_series(spark):
     out = entry.queries()["ml_features_with_rules"](spark, "/root/testdata/sf0.01").select("symbol", "active_rule_count").distinct().collect()
     assert len({r["symbol"] for r in out}) == len(out) > 1 and max(r["active_rule_count"] for r in out) > 0
     assert ft.FEATURES[-1] == "active_rule_count"
+
+
+def test_chunks_are_cut_in_parts(spark):
+    texts = [None if k % 50 == 3 else f"{k} " + "one two. " * (k % 400) for k in range(2 * tx.PART_ROWS + 7)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, content string").coalesce(1)
+    got = {(r.article_id, r.chunk_index): r.text for r in tx.chunks(rows).collect()}
+    assert got == {(k, i): c for k, t in enumerate(texts) for i, c in enumerate(tx.chunk(t))}
+
+    run = []
+    mapped = tx.chunks(type("Rows", (), {"schema": rows.schema, "select": lambda self, *c: self, "mapInArrow": lambda self, f, s: run.append(f) or self})())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "content"])
+    assert mapped and [len(set(b.column(0).to_pylist())) <= tx.PART_ROWS for b in run[0](iter([batch]))] == [True] * 3
