@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import begun_ms, event_ms
+from barloom.functions.scalar import begun_ms, event_ms, tick_order
 from barloom.operators import slices as sl
 from barloom.plans import blocks as b
 from barloom.plans.catalogue import KEYS, RULES, cols, query
@@ -45,13 +45,17 @@ def over_events(spark: SparkSession, d: str, label: str, run: Callable[[SparkSes
     return path
 
 
+def closed_bars(rows: DataFrame) -> DataFrame:
+    return streams.live_bars(rows, order=tick_order(F.col("t"), F.col("event_id")))
+
+
 @query(f"""
 WITH {b.bars()}, last AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM events)
 SELECT {KEYS}, trade_count, {cols(["open", "high", "low", "close", "volume"])} FROM bars, last WHERE symbol <> 'ALL' AND open_time_ms + 3600000 <= mark
 """)
 def stream_bars(spark, d):
     """Bars of each event type that the watermark has closed, as appended by the runs."""
-    path = over_events(spark, d, "stream-bars", lambda own, rows, p: streams.finished(streams.to_table(streams.live_bars(rows), f"{p}/bars", f"{p}/checkpoint")))
+    path = over_events(spark, d, "stream-bars", lambda own, rows, p: streams.finished(streams.to_table(closed_bars(rows), f"{p}/bars", f"{p}/checkpoint")))
     return spark.read.schema(cycles.LIVE).parquet(f"{path}/bars").select("symbol", "timeframe", "open_time_ms", "trade_count", "open", "high", "low", "close", "volume")
 
 
@@ -106,5 +110,5 @@ def ingestion_cycle(spark, d):
 @query(None)
 def rule_stream(spark, d):
     """Signals of the rules over bars that a stream closes, batch by batch, with their cooldowns."""
-    path = over_events(spark, d, "rule-stream", lambda own, rows, p: streams.finished(cycles.rule_stream(streams.live_bars(rows), p, f"{p}/checkpoint", RULES)))
+    path = over_events(spark, d, "rule-stream", lambda own, rows, p: streams.finished(cycles.rule_stream(closed_bars(rows), p, f"{p}/checkpoint", RULES)))
     return ledger.read(spark, f"{path}/signals", cycles.SIGNALS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,15 +28,17 @@ def tick_stream(spark, schema, folder: str, files_per_trigger: int = 1) -> DataF
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes", timeframe: str = "1h") -> DataFrame:
-    """Bars of each event type, closed once the watermark passes their end."""
+def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes", timeframe: str = "1h", order: Column | None = None) -> DataFrame:
+    """Bars of each event type, closed once the watermark passes their end. order says which tick is
+    first and which last; without it, the time and then the event's number."""
     cents = F.round(F.col("value") * 100).cast("long")
+    order = F.struct("at", "event_id") if order is None else order
     return (
         ticks.withWatermark("at", late)
         .groupBy(F.window("at", width), F.col("event_type").alias("symbol"))
         .agg(
-            F.min_by("value", F.struct("at", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-            F.max_by("value", F.struct("at", "event_id")).alias("close"), (F.sum(cents).cast("double") / 100).alias("volume"), F.count("*").alias("trade_count"),
+            F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+            F.max_by("value", order).alias("close"), (F.sum(cents).cast("double") / 100).alias("volume"), F.count("*").alias("trade_count"),
         )
         .select("symbol", F.lit(timeframe).alias("timeframe"), F.unix_millis("window.start").alias("open_time_ms"), "open", "high", "low", "close", "volume", "trade_count")
     )
