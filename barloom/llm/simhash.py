@@ -17,13 +17,14 @@ Survivors are verified by their true Hamming distance. No pair within the radius
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,17 +189,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 FIRST_RADIUS = 20
 #: Orders in which the texts of a shingle choose their leader.
 LEADER_ORDERS = 4
-#: Slots and texts that order the shingles of prefixes; texts in a slice of a hot shingle.
-ORDER_BITS, ORDER_TEXTS, HOT_SLICE = 22, 200_000, 512
+#: Slots that order the shingles of prefixes, tasks whose counts are added up at first; texts in
+#: a slice of a hot shingle.
+ORDER_BITS, ORDER_TASKS, HOT_SLICE = 22, 32, 512
 #: Rows of keys that may be broadcast: at most 64 bytes each.
 BROADCAST_KEYS = BROADCAST_LIMIT // 64
 
 
 def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How many texts have a shingle in each of 2**ORDER_BITS slots, from at most about
-    ORDER_TEXTS texts. It only sets the order of the shingles in prefixes, and any order is
-    exact. A slot's number is a byte: counts from 16 on go by their logarithm."""
-    n = max(1, texts.count() // ORDER_TEXTS)
+    """How many of all texts have a shingle in each of 2**ORDER_BITS slots. It only sets the
+    order of the shingles in prefixes, and any order is exact. A slot's number is a byte: counts
+    from 16 on go by their logarithm."""
     chunk = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,26 +208,35 @@ def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
         for batch in batches:
             for h in shingle_lists(batch.column(1).to_pylist(), shingle):
                 total[np.unique(h >> np.uint64(64 - ORDER_BITS))] += 1
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() // ORDER_TASKS
         at = [c for c in range(len(total) // chunk) if total[c * chunk : (c + 1) * chunk].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int32()), pa.array([pack(total[c * chunk : (c + 1) * chunk].tobytes()) for c in at], pa.binary())], names=["chunk", "counts"]
+            [pa.array(at, pa.int32()), pa.array([part] * len(at), pa.int32()), pa.array([pack(total[c * chunk : (c + 1) * chunk].tobytes()) for c in at], pa.binary())],
+            names=["chunk", "part", "counts"],
         )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            sums = []
-            for some in batch.column(1):
-                one = np.zeros(chunk, dtype="u4")
-                for x in some:
-                    one += np.frombuffer(unpack(x.as_py()), dtype="u4")
-                sums.append(np.where(one < 16, one, np.minimum(16 + 8 * np.log2(np.maximum(one, 16) / 16), 255)).astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], names=["chunk", "counts"])
+    def add(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+            for batch in batches:
+                sums = []
+                for some in batch.column(1):
+                    one = np.zeros(chunk, dtype="u4")
+                    for x in some:
+                        one += np.frombuffer(unpack(x.as_py()), dtype="u4")
+                    if last:
+                        sums.append(np.where(one < 16, one, np.minimum(16 + 8 * np.log2(np.maximum(one, 16) / 16), 255)).astype("u1").tobytes())
+                    else:
+                        sums.append(pack(one.tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], names=["chunk", "counts"])
+
+        return run
 
     out = np.zeros(1 << ORDER_BITS, dtype="u1")
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(n)) == 0).mapInArrow(count, "chunk int, counts binary")
-    for r in some.groupBy("chunk").agg(F.collect_list("counts").alias("some")).mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+    rows = texts.select("key", "text").mapInArrow(count, "chunk int, part int, counts binary")
+    for last, by in ((False, ["chunk", "part"]), (True, ["chunk"])):
+        rows = rows.groupBy(*by).agg(F.collect_list("counts").alias("some")).select("chunk", "some").mapInArrow(add(last), "chunk int, counts binary")
+    for r in rows.toLocalIterator():
         out[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype="u1")
     return out
 

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barloom.llm import simhash
 from barloom.llm.common import ship
 from barloom.llm.components import connected_components
+from barloom.llm.shingles import shingle_lists
 
 
 def groups_of(nodes, links):
@@ -140,3 +142,18 @@ def test_random_groups_lose_no_link(spark):
         df = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "key long, text string")
         found = {(r["a"], r["b"]) for r in simhash.similar_texts(df).collect()}
         assert found <= links and groups_of(sets, found) == groups_of(sets, links)
+
+
+def test_shingles_are_ordered_by_all_texts(spark, monkeypatch):
+    """Every text counts, however many there are, and counts of tasks add up in two steps."""
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 10, raising=False)
+    monkeypatch.setattr(simhash, "ORDER_TASKS", 2, raising=False)
+    ship(spark)
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices("abcdefgh", k=12)) for _ in range(90)]
+    want = np.zeros(1 << simhash.ORDER_BITS, dtype="i8")
+    for h in shingle_lists(texts, 2):
+        want[np.unique(h >> np.uint64(64 - simhash.ORDER_BITS))] += 1
+    got = simhash._frequencies(spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(7), 2)
+    assert want.max() >= 16
+    assert np.array_equal(got, np.where(want < 16, want, 16 + 8 * np.log2(np.maximum(want, 16) / 16)).astype("u1"))
